@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridweave.llm import mixing
+from gridweave.llm import mixing, packing
 
 QUERIES = {
     "op2_fair_mix": mixing.op2_fair_mix,
+    "op10_pattern_packing": packing.op10_pattern_packing,
 }
 
 ORACLE_SQL = {
