@@ -97,9 +97,13 @@ def patterns(present: np.ndarray, max_len: int) -> np.ndarray:
 
 
 def fit(shapes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative repeat counts x with least |A x - counts|, A the lengths of each pattern: accelerated projected gradient."""
+    """Non-negative repeat counts x with least |A x - counts|, A the lengths of each pattern: accelerated projected gradient.
+
+    Rows are weighted by length, since a long piece that no pattern takes costs more than a short one.
+    """
     n, width = len(counts), shapes.shape[1]
-    flat, weight = shapes.ravel(), (shapes.ravel() > 0).astype(float)
+    flat, weight = shapes.ravel(), shapes.ravel() / (n - 1)
+    counts = counts * np.arange(n) / (n - 1)
 
     def up(x: np.ndarray) -> np.ndarray:
         return np.bincount(flat, np.repeat(x, width) * weight, n)
@@ -146,9 +150,6 @@ def plan(counts: np.ndarray, max_len: int) -> list[tuple[tuple[tuple[int, int],
             if x[i] < 1:
                 break
             take(shapes[i], int(x[i]))
-        for i in np.argsort(-(x - np.floor(x)), kind="stable"):  # what rounding left over fills the same patterns once more
-            if left[shapes[i][shapes[i] > 0]].min() > 0:
-                take(shapes[i], 1 << 60)
     free: list[list[tuple[tuple, int]]] = [[] for _ in range(max_len + 1)]  # groups of equal sequences by room left
     some = np.zeros(max_len + 1, bool)
     for length in range(max_len, 0, -1):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gridweave.llm import mixing, packing
+from gridweave.llm import chat, mixing, packing
 
 QUERIES = {
     "op2_fair_mix": mixing.op2_fair_mix,
+    "op6_typed_chat": chat.op6_typed_chat,
     "op10_pattern_packing": packing.op10_pattern_packing,
 }
 
 ORACLE_SQL = {
     "op2_fair_mix": mixing.OP2_SQL,
+    "op6_typed_chat": chat.OP6_SQL,
 }
