@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridweave.llm import chat, mixing, packing
+from gridweave.llm import chat, langid, mixing, packing
 
 QUERIES = {
     "op2_fair_mix": mixing.op2_fair_mix,
     "op6_typed_chat": chat.op6_typed_chat,
+    "op8_cross_parsing": langid.op8_cross_parsing,
     "op10_pattern_packing": packing.op10_pattern_packing,
 }
 
