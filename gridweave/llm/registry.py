@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridweave.llm import chat, langid, mixing, packing
+from gridweave.llm import chat, jaccard, langid, mixing, packing
 
 QUERIES = {
     "op2_fair_mix": mixing.op2_fair_mix,
+    "op4_voronoi_jaccard": jaccard.op4_voronoi_jaccard,
     "op6_typed_chat": chat.op6_typed_chat,
     "op8_cross_parsing": langid.op8_cross_parsing,
     "op10_pattern_packing": packing.op10_pattern_packing,

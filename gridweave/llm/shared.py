@@ -156,3 +156,27 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ends[cut] = True
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
     return first, last, np.searchsorted(starts, first, "right") - 1
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = SLICE_BYTES) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by key; a table has about that many bytes, or one group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        keys = rows[key].to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(keys != keys[-1], False)) if keys[0] != keys[-1] else 0
+        if cut:
+            yield rows.slice(0, cut)
+            held = rows.slice(cut).to_batches()
+        else:
+            held = rows.to_batches()
+        size = sum(b.nbytes for b in held)
+    if held:
+        yield pa.Table.from_batches(held)
