@@ -9,6 +9,7 @@ of each length gets, so the pieces themselves only need their rank within a leng
 
 from __future__ import annotations
 
+import base64
 import math
 import zlib
 from collections import defaultdict
@@ -22,42 +23,41 @@ from pyspark.sql import functions as F
 from gridweave.llm.shared import small_batches, table, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pretokens that a worker remembers the ids of.
-CACHED = 300_000
 
 
-class _Encoder(dict):
-    """Ids of a text as little-endian 32-bit bytes; every pretoken is encoded once and remembered."""
+class _Encoder:
+    """Ids of a text as little-endian 32-bit bytes.
 
-    def __init__(self, path: str):
-        import regex
+    ranks_path has the tokenizer's own vocabulary as merge ranks, which give the same ids faster;
+    a text with a special token's string, and any text without ranks_path, goes to the tokenizer itself.
+    """
+
+    def __init__(self, path: str, ranks_path: str | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # fixed value: the public byte-level pre-tokenizer pattern
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.odd = regex.compile("[^\x00-ɏ‐-‧€]").search  # classes of these don't change between Unicode versions
+        self.ranks = None
+        if ranks_path:
+            import tiktoken
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        self[pretoken] = ids = self.whole(pretoken)
-        return ids
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            # fixed value: the public byte-level pre-tokenizer pattern
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or self.odd(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if self.ranks and "<|" not in text:
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = 1024, end_id: int = 2) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, ranks_path: str | None = None, max_len: int = 1024, end_id: int = 2) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32.
 
     Null text is empty and gives the end id alone. Only a document of more than max_len ids is
-    cut; its first piece takes the remainder, all others have max_len ids.
+    cut; its first piece takes the remainder, all others have max_len ids. Both paths are found on
+    the executors, by default among the public tokenizers.
     """
     small_batches(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
@@ -65,7 +65,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: in
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = _Encoder(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        encoder = _Encoder(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path if tokenizer_path else public_tokenizers.path("byte_bpe_50k.tiktoken"))
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
