@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from gridweave.llm import chat, jaccard, langid, mixing, packing
+from gridweave.llm import chat, digests, jaccard, langid, linkgraph, media, mixing, packing, suffixes
 
 QUERIES = {
     "op2_fair_mix": mixing.op2_fair_mix,
+    "op3_run_index": suffixes.op3_run_index,
     "op4_voronoi_jaccard": jaccard.op4_voronoi_jaccard,
+    "op5_quartile_digest": digests.op5_quartile_digest,
     "op6_typed_chat": chat.op6_typed_chat,
+    "op7_link_graph": linkgraph.op7_link_graph,
     "op8_cross_parsing": langid.op8_cross_parsing,
+    "op9_audio_features": media.op9_audio_features,
     "op10_pattern_packing": packing.op10_pattern_packing,
 }
 
