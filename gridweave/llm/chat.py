@@ -14,12 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridweave.llm.shared import table
 
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|line|>"  # LINE: a line feed in a role
-PART = T.StructType.fromDDL("type string, text string, uri string, width int, height int, seconds double, pages int")
+PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 #: Tokens of an attachment: image patches of so many pixels a side, audio frames a second, tokens a page.
 PATCH, FRAMES, PAGE = 28, 25, 512
 
@@ -65,7 +64,7 @@ def format_chat(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")) if "text" in turns.columns else F.lit("")
     content, files = escape(text), F.array().cast("array<struct<type:string,uri:string,tokens:bigint>>")
     if has_parts:
-        parts = F.col("parts").cast(T.ArrayType(PART))
+        parts = F.col("parts").cast(f"array<{PART}>")
         content = F.when(parts.isNotNull(), visited(parts)).otherwise(content)
         one = lambda p: F.struct(p["type"].alias("type"), p["uri"].alias("uri"), expanded_tokens(p).alias("tokens"))
         files = F.coalesce(F.transform(F.filter(parts, _is_file), one), files)
