@@ -229,19 +229,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     found = occurrences(docs, length, gram)
     shared = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    found = written(found.join(shared, "gram"))
+    # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
+    found = written(found.join(shared.hint("merge"), "gram"))
     kinds = found.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "windows")).alias("at"))
     kinds = written(kinds)
     mixed_ = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1").select("gram")
     wanted = kinds.join(mixed_, "gram").select("at.uid", F.struct("gram", "at.first", "at.windows", (F.col("n") == 1).alias("single")).alias("one"))
     wanted = wanted.groupBy("uid").agg(F.collect_list("one").alias("wanted"))
-    texts = docs.select("uid", "text").join(wanted, "uid").select("uid", "text", "wanted")
+    texts = docs.select("uid", "text").join(wanted.hint("merge"), "uid").select("uid", "text", "wanted")
     bodies = texts.mapInArrow(_bodies(length), "gram long, uid long, first long, single boolean, body binary")
     indexed = bodies.repartition(partitions, "gram").sortWithinPartitions("gram").mapInArrow(_indexed(length), "uid long, first long, windows int")
-    whole = found.join(kinds.filter("n > 1").select("gram", "seg"), ["gram", "seg"]).select("uid", "first", "windows")
+    whole = found.join(kinds.filter("n > 1").select("gram", "seg").hint("merge"), ["gram", "seg"]).select("uid", "first", "windows")
     marks = written(whole.unionByName(indexed))
     marks = marks.groupBy("uid").agg(F.collect_set(F.struct("first", "windows")).alias("marks"))
-    joined = docs.join(marks, "uid", "left").select(*names, "marks")
+    joined = docs.join(marks.hint("merge"), "uid", "left").select(*names, "marks")
     return joined.mapInArrow(_merged(length, names), T.StructType([*docs.schema.fields[:-1], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))]))
 
 
