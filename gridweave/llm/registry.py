@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridweave.llm import chat, digests, jaccard, langid, linkgraph, media, mixing, packing, suffixes
+from gridweave.llm import chat, digests, jaccard, langid, linkgraph, media, mixing, mixture, packing, suffixes
 
 QUERIES = {
+    "op1_context_mixing": mixture.op1_context_mixing,
     "op2_fair_mix": mixing.op2_fair_mix,
     "op3_run_index": suffixes.op3_run_index,
     "op4_voronoi_jaccard": jaccard.op4_voronoi_jaccard,
