@@ -234,7 +234,8 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
     held = sets.filter(F.col("set_id").isNotNull())
     keyed = held.select("set_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least <> most").select("key", "least")
-    stars = keyed.join(shared, "key").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
+    # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
+    stars = keyed.join(shared.hint("merge"), "key").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
     regions = components(stars)
     least = held.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     regions = written(regions.select(F.col("v").alias("set_id"), F.col("root").alias("cell")).join(least, "set_id"))
@@ -250,18 +251,18 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
     heads = least.join(linked, least["set_id"] == linked["a"], "left").select(least["set_id"], F.coalesce("b", least["set_id"]).alias("head"), "doc_id")
     named = heads.groupBy("head").agg(F.min("doc_id").alias("component_id"))
     named = heads.join(named, "head").select(F.col("set_id"), "component_id")
-    full = held.select("doc_id", "n_shingles", "set_id").join(named, "set_id").select("doc_id", "n_shingles", "component_id")
+    full = held.select("doc_id", "n_shingles", "set_id").join(named.hint("merge"), "set_id").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(sets.filter(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _small_links(regions: DataFrame, large: DataFrame, texts: DataFrame, n: int, percent: int, partitions: int) -> DataFrame:
-    small = regions.join(large, "cell", "left_anti").join(texts, "doc_id").select("cell", "set_id", "text")
+    small = texts.join(regions.join(large, "cell", "left_anti").hint("merge"), "doc_id").select("cell", "set_id", "text")
     return _sorted_cells(small, partitions).mapInArrow(_cells(n, percent), "a long, b long")
 
 
 def _large_links(regions: DataFrame, large: DataFrame, texts: DataFrame, n: int, percent: int, region_most: int, partitions: int) -> DataFrame:
     """Links of the large regions: those to pivots, and the stars of each Voronoi cell."""
-    members = written(regions.join(large, "cell").join(texts, "doc_id").select("cell", "set_id", "text", "members"))
+    members = written(texts.join(regions.join(large, "cell").hint("merge"), "doc_id").select("cell", "set_id", "text", "members"))
     salts = F.ceil(F.col("members") / region_most).cast("int")
     # set_ids are hashes: those under a share of their range are a random choice of about 4 pivots a task's worth
     share = F.least(F.lit(1.0), F.lit(4.0) / region_most)
