@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but ASCII white space (Java, RE2 and Python agree on it).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a kernel takes at a time; longer documents are taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -30,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by bytes as well as by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
