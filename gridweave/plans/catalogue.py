@@ -7,14 +7,19 @@ nations for experiment runs. Ratios and coordinates are rounded to 6 places on b
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import measures as M
 from gridweave.operators import experiments, matching, pixels, raster
-from gridweave.sources.tables import table
+from gridweave.operators.kernels import polygons
+from gridweave.plans import vectorise
+from gridweave.sources.blocks import KEY, to_rows
+from gridweave.sources.tables import materialised, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -235,13 +240,13 @@ def rings(spark: SparkSession, d: str) -> DataFrame:
 
 
 RINGS = """pt as (select vec_id, label, i, embedding[2 * i + 1]::double as x, embedding[2 * i + 2]::double as y from embeddings, unnest(range(len(embedding) // 2)) t(i)),
-e as (select vec_id, label, i, x, y, coalesce(lead(x) over w, first_value(x) over w) as bx, coalesce(lead(y) over w, first_value(y) over w) as by,
+e as (select vec_id, label, i, x, y, coalesce(lead(x) over w, first_value(x) over w) as bx, coalesce(lead(y) over w, first_value(y) over w) as qy,
   coalesce(lag(x) over w, last_value(x) over (w rows between unbounded preceding and unbounded following)) as px, coalesce(lag(y) over w, last_value(y) over (w rows between unbounded preceding and unbounded following)) as py from pt window w as (partition by vec_id order by i))"""
 
 
 @query(
-    f"""with {RINGS}, s as (select vec_id, count(*) as vertices, abs(sum(x * by - bx * y)) / 2 as area, sum(sqrt((bx - x) * (bx - x) + (by - y) * (by - y))) as perimeter,
-  atan2(sum(sqrt((bx - x) * (bx - x) + (by - y) * (by - y)) * sin(4 * atan2(by - y, bx - x))), sum(sqrt((bx - x) * (bx - x) + (by - y) * (by - y)) * cos(4 * atan2(by - y, bx - x)))) / 4 as a from e group by vec_id)
+    f"""with {RINGS}, s as (select vec_id, count(*) as vertices, abs(sum(x * qy - bx * y)) / 2 as area, sum(sqrt((bx - x) * (bx - x) + (qy - y) * (qy - y))) as perimeter,
+  atan2(sum(sqrt((bx - x) * (bx - x) + (qy - y) * (qy - y)) * sin(4 * atan2(qy - y, bx - x))), sum(sqrt((bx - x) * (bx - x) + (qy - y) * (qy - y)) * cos(4 * atan2(qy - y, bx - x)))) / 4 as a from e group by vec_id)
 select vec_id, vertices, round(area, 6) as area, round(perimeter, 6) as perimeter, round(case when a < 0 then a + pi() / 2 else a end, 6) as angle from s"""
 )
 def ring_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +255,7 @@ def ring_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {RINGS}, a as (select vec_id, degrees(acos(greatest(-1, least(1, ((px - x) * (bx - x) + (py - y) * (by - y)) / (sqrt((px - x) * (px - x) + (py - y) * (py - y)) * sqrt((bx - x) * (bx - x) + (by - y) * (by - y))))))) as deg from e)
+    f"""with {RINGS}, a as (select vec_id, degrees(acos(greatest(-1, least(1, ((px - x) * (bx - x) + (py - y) * (qy - y)) / (sqrt((px - x) * (px - x) + (py - y) * (py - y)) * sqrt((bx - x) * (bx - x) + (qy - y) * (qy - y))))))) as deg from e)
 select vec_id, round(avg((abs(deg - 90) <= 10 or abs(deg - 180) <= 10)::int), 6) as orthogonality, round(min(deg), 4) as sharpest from a group by vec_id"""
 )
 def ring_orthogonality(spark: SparkSession, d: str) -> DataFrame:
@@ -258,12 +263,12 @@ def ring_orthogonality(spark: SparkSession, d: str) -> DataFrame:
     return rings(spark, d).select("vec_id", r6(M.orthogonality(ring)).alias("orthogonality"), (F.round(F.array_min(M.corner_angles(ring)), 4) + 0.0).alias("sharpest"))
 
 
-DISPLACED = f"""{RINGS}, side as (select a.vec_id, 1 as s, a.i, min(sqrt(power(a.x - (b.x + t * (b.bx - b.x)), 2) + power(a.y - (b.y + t * (b.by - b.y)), 2))) as dist
+DISPLACED = f"""{RINGS}, side as (select a.vec_id, 1 as s, a.i, min(sqrt(power(a.x - (b.x + t * (b.bx - b.x)), 2) + power(a.y - (b.y + t * (b.qy - b.y)), 2))) as dist
   from (select a.vec_id, a.i, a.x, a.y, b.vec_id as other, b.x as ex, b.y as ey from e a join (select distinct vec_id, 0 as x, 0 as y from e) b on b.vec_id = a.vec_id + 1) a join e b on b.vec_id = a.other,
-  lateral (select greatest(0, least(1, coalesce(((a.x - b.x) * (b.bx - b.x) + (a.y - b.y) * (b.by - b.y)) / nullif(power(b.bx - b.x, 2) + power(b.by - b.y, 2), 0), 0))) as t) group by all
-union all select a.other as vec_id, 2, a.i, min(sqrt(power(a.x - (b.x + t * (b.bx - b.x)), 2) + power(a.y - (b.y + t * (b.by - b.y)), 2)))
+  lateral (select greatest(0, least(1, coalesce(((a.x - b.x) * (b.bx - b.x) + (a.y - b.y) * (b.qy - b.y)) / nullif(power(b.bx - b.x, 2) + power(b.qy - b.y, 2), 0), 0))) as t) group by all
+union all select a.other as vec_id, 2, a.i, min(sqrt(power(a.x - (b.x + t * (b.bx - b.x)), 2) + power(a.y - (b.y + t * (b.qy - b.y)), 2)))
   from (select a.vec_id, a.i, a.x, a.y, b.vec_id as other from e a join (select distinct vec_id from e) b on b.vec_id = a.vec_id - 1) a join e b on b.vec_id = a.other,
-  lateral (select greatest(0, least(1, coalesce(((a.x - b.x) * (b.bx - b.x) + (a.y - b.y) * (b.by - b.y)) / nullif(power(b.bx - b.x, 2) + power(b.by - b.y, 2), 0), 0))) as t) group by all),
+  lateral (select greatest(0, least(1, coalesce(((a.x - b.x) * (b.bx - b.x) + (a.y - b.y) * (b.qy - b.y)) / nullif(power(b.bx - b.x, 2) + power(b.qy - b.y, 2), 0), 0))) as t) group by all),
 polis as (select vec_id, sum(m) / 2 as polis from (select vec_id, s, avg(dist) as m from side group by all) group by vec_id)"""
 
 
@@ -284,7 +289,7 @@ def displacement_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {RINGS}, s as (select vec_id, any_value(label) as label, count(*) as v, abs(sum(x * by - bx * y)) / 2 as area from e group by vec_id), g as (select label, count(*) as n, avg(area) as m from s group by label)
+    f"""with {RINGS}, s as (select vec_id, any_value(label) as label, count(*) as v, abs(sum(x * qy - bx * y)) / 2 as area from e group by vec_id), g as (select label, count(*) as n, avg(area) as m from s group by label)
 select sum(n)::bigint as rings, round(avg(m), 5) as macro_area, round((select avg(area) from s), 5) as mean_area from g"""
 )
 def shape_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -422,7 +427,7 @@ def triples(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {TRIPLES} select vec_id, i, round((r - avg(r) over w) / (stddev_pop(r) over w + 1e-6::double), 5) as r, round((g - avg(g) over w) / (stddev_pop(g) over w + 1e-6::double), 5) as g,
+    f"""with {TRIPLES} select vec_id, i::int as i, round((r - avg(r) over w) / (stddev_pop(r) over w + 1e-6::double), 5) as r, round((g - avg(g) over w) / (stddev_pop(g) over w + 1e-6::double), 5) as g,
 round((b - avg(b) over w) / (stddev_pop(b) over w + 1e-6::double), 5) as b from t window w as (partition by vec_id)"""
 )
 def tile_standardize(spark: SparkSession, d: str) -> DataFrame:
@@ -539,3 +544,57 @@ def city_semi_anti(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {GRADED}, {RUNS} select tag, printf('%.4f', iou) as cell from runs")
 def metrics_markdown(spark: SparkSession, d: str) -> DataFrame:
     return runs(spark, d).select("tag", experiments.markdown_cell(F.col("iou")).alias("cell"))
+
+
+# ---------------------------------------------------------------- kernels, checked by tests and by their rows
+
+
+@query()
+def rect_regularize(spark: SparkSession, d: str) -> DataFrame:
+    """A turned rectangle with a bent wall for each part, squared."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(k.alias("id"), (10.0 + F.col("p_size")).alias("w"), (10.0 + k % 23).alias("h"), F.radians(k % 90).alias("theta"), (k % 7 / 10).alias("bend"))
+
+    def square(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, w, h, theta, bend in batch.itertuples(index=False):
+                ring = np.array([[0, 0], [w / 2, bend], [w, 0], [w, h], [0, h]])
+                got = polygons.cleaned([polygons.turned(ring, theta, np.zeros(2))], edge_least=1.0)
+                out.append((i, got["n_vertices"], got["area_m2"], got["orthogonality"]) if got else (i, 0, 0.0, 0.0))
+            yield pd.DataFrame(out, columns=["id", "n_vertices", "area_m2", "orthogonality"])
+
+    return rows.mapInPandas(square, "id long, n_vertices int, area_m2 double, orthogonality double")
+
+
+def part_scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Probability and label blocks: each part a building on a lattice, 256 a scene."""
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select(F.concat(F.lit("s"), F.floor(k / 256)).alias("scene"), (k % 256).cast("int").alias("slot"), (F.col("p_size") % 20 + 12).cast("int").alias("w"), (k % 17 + 12).cast("int").alias("h"))
+
+    def draw(kind: str):
+        def one(batch: pd.DataFrame) -> pd.DataFrame:
+            mask, wall = np.zeros((640, 640), np.uint8), np.zeros((640, 640), np.uint8)
+            for _, slot, w, h in batch.itertuples(index=False):
+                r, c = slot // 16 * 40, slot % 16 * 40
+                mask[r : r + h, c : c + w] = 230
+                wall[r : r + h, c : c + w] = 200
+                wall[r + 1 : r + h - 1, c + 1 : c + w - 1] = 20
+            scene = batch["scene"].iloc[0]
+            found = to_rows(scene, 320, interior=mask, boundary=wall) if kind == "prob" else to_rows(scene, 320, v=mask)
+            return pd.DataFrame(found, columns=["scene", "row0", "col0", "h", "w", *(("interior", "boundary") if kind == "prob" else ("v",))])
+
+        return one
+
+    groups = rows.groupBy("scene")
+    return groups.applyInPandas(draw("prob"), f"{KEY}, interior binary, boundary binary"), groups.applyInPandas(draw("label"), f"{KEY}, v binary")
+
+
+@query("select 's' || (p_partkey // 256) as scene, count(*) as tp, 0::bigint as fp, 0::bigint as fn from part group by 1")
+def scene_to_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks to instances to polygons to matches: every drawn building is found."""
+    prob, label = part_scenes(spark, d)
+    preds, gts = (materialised(x) for x in (vectorise.prediction_layer(prob, area_least=5.0, edge_least=1.0), vectorise.label_layer(label, area_least=5.0)))
+    found = vectorise.candidates(preds, gts, 20.0)
+    ids = lambda df: df.select("scene", F.col("seq").alias("id"))
+    return matching.scored(matching.mutual_best(found.select("scene", "pred", "gt", "iou")), ids(preds), ids(gts), (0.75,)).drop("threshold")
