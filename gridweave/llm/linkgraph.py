@@ -50,7 +50,7 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
     score = (1 - damping) * seed + damping * sum of shares of the neighbours' scores, trust along
     links, distrust against them; repeated until nothing changes by more than close.
     """
-    edges = edges.filter("src <> dst")
+    edges = edges.filter("src <> dst and src <> ''")
     out, into = Window.partitionBy("src"), Window.partitionBy("dst")
     edges = edges.withColumn("forth", F.col("links") / F.sum("links").over(out)).withColumn("back", F.col("links") / F.sum("links").over(into))
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), F.col("forth").alias("part")).unionByName(
@@ -79,7 +79,7 @@ def judged(pages: DataFrame, rules: DataFrame, least: float = LEAST) -> DataFram
 
     The verdict is that of the longest rule that fits, or the graph's: block if the host's distrust
     is above its trust and above least, else allow. A host's seeds are the shares of its pages that
-    rules allow and block. A null url, or one without ://, has an empty host and path and is allowed;
+    rules allow and block. A null url, or one without ://, has an empty host and path, no links, and is allowed;
     null html has no links; repeated rows count as pages. An empty table gives an empty result.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

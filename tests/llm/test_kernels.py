@@ -1,0 +1,176 @@
+"""Language ID, digests, audio, the mixture and the pipeline: brute force, round trips, held-out accuracy, edge cases."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from gridweave.llm import digests, langid, media, mixture
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def longest_phrases(text, sample):
+    n, at = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size <= len(text) and text[at : at + size] in sample:
+            size += 1
+        at += max(1, size - 1)
+        n += 1
+    return n
+
+
+def test_phrases_equal_brute_force():
+    rng = random.Random(1)
+    samples = {lang: ["".join(rng.choice(letters) for _ in range(600))] for lang, letters in (("a", "abc "), ("b", "acd "))}
+    model = langid.Automata(samples, 500)
+    sample = {lang: model.encode(" ".join(s).lower())[:500].tobytes() for lang, s in samples.items()}
+    text = model.encode("".join(rng.choice("abcd x") for _ in range(200)))
+    got = model.phrases(text[:, None])[:, 0] + 1
+    assert got.tolist() == [longest_phrases(text.tobytes(), sample[lang]) for lang in model.langs]
+
+
+def test_language_accuracy_and_edges(spark):
+    got = langid.op8_cross_parsing(spark, DATA).collect()
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got)
+    rows = [(1, None, "en", None, None), (2, "", "en", None, None), (3, "12 + 3 😀", None, None, None), (4, "the and of " * 50, "en", None, None), (4, "der die das " * 50, "de", None, None), (None, "the of and", None, None, None), (6, "the of " * 60_000, None, None, None)]
+    frame = spark.createDataFrame(rows, DOCS)
+    out = [(r["doc_id"], r["lang_pred"]) for r in langid.predict(frame, langid.learn(frame)).collect()]
+    assert out == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "de"), (None, "en"), (6, "en")]
+    assert {r["lang_pred"] for r in langid.predict(frame, langid.learn(frame.limit(0))).collect()} == {"und"}
+
+
+def test_digests():
+    texts = ["", "abc", "x" * 100, "the quick brown fox jumps over the lazy dog " * 30]
+    rng = random.Random(0)
+    other = "".join(rng.choice("qzxjkvw ") for _ in range(1300))
+    edited = texts[3].replace("lazy", "busy", 3)
+    rows = digests.digests(pa.array([*texts, edited, other, texts[3], None]))
+    assert (rows[3] == rows[6]).all() and (rows[0] == rows[7]).all()
+    like = digests.likeness(rows[[3, 3, 3]], rows[[6, 4, 5]])
+    assert like[0] == 1 and like[0] > like[1] > like[2] >= 0
+    # buckets by a plain loop
+    data, mask = texts[3].encode(), 0xFFFFFFFF
+    counts = Counter()
+    for i in range(4, len(data)):
+        for a, b, salt in digests._TRIPLETS:
+            h = (data[i] * digests._WEIGHTS[0] + data[i - a] * digests._WEIGHTS[1] + data[i - b] * digests._WEIGHTS[2] + salt * 0x27D4EB2F) & mask
+            h = (h ^ h >> 15) * 0x2C1B3C6D & mask
+            counts[h >> 25] += 1
+    ranked = sorted(counts[i] for i in range(128))
+    q = [ranked[31], ranked[63], ranked[95]]
+    want = [sum(counts[i] > x for x in q) for i in range(128)]
+    assert [int(rows[3][3 + i // 4]) >> 2 * (i % 4) & 3 for i in range(128)] == want
+
+
+def test_next_documents(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    ids = sorted(docs)
+    got = {r["doc_id"]: r for r in digests.op5_quartile_digest(spark, DATA).collect()}
+    for i, doc in enumerate(ids):
+        text, after = docs[doc], docs[ids[(i + 1) % len(ids)]]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert got[doc]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[doc]["n_chars"] == len(text)
+    keep = lambda ids, texts, nexts: pa.RecordBatch.from_arrays([ids, texts, nexts], ["doc_id", "text", "next"])
+    for rows in ([], [(5, "only")], [(None, "n"), (3, "c"), (3, "b"), (1, None), (9, "z")]):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+        want = [(d, t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order)]
+        out = [tuple(r) for r in digests.with_next(frame, keep, "doc_id long, text string, next string").collect()]
+        assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def test_audio(spark):
+    x = np.sin(np.arange(8000) / 8000 * 2 * math.pi * 440).astype(np.float32)
+    y = media.resampled(x)
+    want = np.sin(np.arange(6400) / 6400 * 2 * math.pi * 440)
+    lag = max(range(0, 24), key=lambda k: float(y[k + 100 : 3000 + k] @ want[100:3000]))
+    assert np.abs(y[lag + 200 : lag + 2000] - want[200:2000]).max() < 0.25
+    assert media.segmented(np.array([0, 3, 6, 3, 0, 3, 3, 0, 9, 0.0]), 0.5, 0.25).tolist() == [[1, 4], [8, 9]]
+    for payload in (bytes(64), bytes(range(256)) * 3):
+        assert media.read_back(media.stored(payload)) == (payload, media.RATE)
+    rows = [(1, None), (2, ""), (3, "é" * 40), (4, "x" * 64), (5, "long " * 60_000), (5, "x" * 64)]
+    got = media.audio_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r, (_, text) in zip(got, rows, strict=True):
+        body = (text or "").encode()
+        samples, _ = media.read_back(bytes(r["media"]))
+        assert samples.startswith(body) and not samples[len(body) :].strip(b"\0") and len(samples) % 64 == 0 and len(samples) - len(body) <= 64
+        assert len(r["tensor"]) == media.BINS * media.MELS
+        assert all(0 <= s["start"] < s["stop"] <= len(samples) / media.RATE for s in r["spans"])
+    assert got[3]["tensor"] == got[5]["tensor"]
+    tensor = media.tensor_array(pa.array([r["tensor"] for r in got], pa.list_(pa.float32())))
+    assert tensor.type.shape == [media.BINS, media.MELS]
+
+
+def test_mixture_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None] for i, t in docs.items()}
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 7 == 2}
+    counts = Counter(t for i, ts in tokens.items() if i not in held for t in ts)
+    n, v = sum(counts.values()), len(counts)
+    for r in mixture.op1_context_mixing(spark, DATA).collect():
+        ts = tokens[r["doc_id"]]
+        assert r["held_out"] == (r["doc_id"] in held)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ts), sum(counts[t] > 0 for t in ts), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts))
+        assert r["score"] < 0
+
+
+def test_mixture_is_a_distribution():
+    code = mixture.Code(np.arange(mixture.SYMBOLS) ** 2 % 97)
+    rng = np.random.default_rng(0)
+    model = mixture.Model(code, rng.integers(0, 256, (mixture.CONTEXTS, 1 << mixture.SLOT_BITS)).astype(np.uint8))
+    before = mixture.Stream(pa.array(["some words before"]))
+    symbols, contexts = before.symbols, before.contexts()
+    at = 7
+    total = 0.0
+    for s in range(mixture.SYMBOLS):
+        total += 10 ** model.score(np.array([s], np.uint16), [c[at : at + 1] for c in contexts])
+    assert total == pytest.approx(1, abs=1e-4)
+    assert symbols[-1] == mixture.END
+
+
+def test_mixture_edges(spark):
+    rows = [(1, None, "a"), (2, "", "a"), (3, "The  the\nTHE", "a"), (3, "the the the", "a"), (4, "w" * 300_000, "a"), (None, "the", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = mixture.score_texts(frame, F.col("doc_id") == 99).collect()
+    assert [r["n_tokens"] for r in got] == [1, 1, 4, 4, 2, 2]
+    assert got[2]["score"] == got[3]["score"] and got[0]["score"] == got[1]["score"]
+    assert mixture.score_texts(frame.limit(0), F.lit(False)).collect() == []
+    assert [r["n_known"] for r in mixture.score_texts(frame.limit(2), F.lit(True)).collect()] == [0, 0]
+
+
+def test_pipeline(spark):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    base = [" ".join(f"w{i}x{j}" for j in range(80)) for i in range(12)]
+    rows = [(i, f"{t} end{i}", "en", f"s{i % 2}", 1) for i, t in enumerate(base)]
+    rows += [(20, base[0] + " end0 more", "en", "s0", 1), (21, base[1] + " end1", "en", "s1", 1), (22, "123 456", None, "s1", 1), (23, None, None, None, None)]
+    rows += [(30, f"{base[2][:40]} own {passage} tail", None, "s0", 1), (31, f"{base[3][:40]} mine {passage} rest é", "en", "s0", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language_id"](spark, docs, "")
+    assert {r[0] for r in rows} - {r["doc_id"] for r in kept.collect()} == {22, 23}
+    single = stages["near_duplicates"](spark, kept, "")
+    assert {r["doc_id"] for r in kept.collect()} - {r["doc_id"] for r in single.collect()} == {20, 21}
+    cut = {r["doc_id"]: r for r in stages["repeated_passages"](spark, single, "").collect()}
+    assert "shared5 " not in cut[30]["text"] and "own" in cut[30]["text"] and "tail" in cut[30]["text"] and cut[31]["text"].endswith("é")
+    assert cut[5]["text"] == rows[5][1] and cut[30]["n_chars"] == len(cut[30]["text"])
+    mixed = stages["source_mix"](spark, single, "")
+    assert mixed.columns == docs.columns and 0 < mixed.count() < single.count()
+    assert stages["packing"](spark, mixed, "").count() > 0
