@@ -165,3 +165,47 @@ def test_catalogue_equals_oracle(spark, name):
 
 def test_every_query_has_a_function():
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
+
+
+def test_reports(spark, scene):
+    from gridweave.plans import reports
+
+    mask, interior, wall = scene
+    prob = blocks.block_table(spark, blocks.to_rows("a", 64, interior=interior, boundary=wall), "interior", "boundary")
+    truth = mask.copy()
+    truth[10:14] = 0
+    label = blocks.block_table(spark, blocks.to_rows("a", 64, v=truth), "v")
+    cities = reports.scene_cities(spark, [("a", "x"), ("b", "x")])
+    out = reports.evaluated(vectorise.prediction_layer(prob), vectorise.label_layer(label), prob, label, cities, widths=(1,))
+    rows = {r["grp"]: r for r in out.pixels.collect()}
+    p, g = interior >= 128, truth > 127
+    assert rows["ALL"]["tp"] == (p & g).sum() and rows["x"]["fp"] == (p & ~g).sum()
+    ring = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
+    bp, bg = p & ~labels.eroded(p, ring), g & ~labels.eroded(g, ring)
+    assert rows["ALL"]["b1_iou"] == pytest.approx((bp & bg).sum() / (bp | bg).sum())
+    assert out.skipped == 1
+    assert {r["matching"] for r in out.instances.collect()} == {"strict", "merge_tolerant"}
+    assert out.displacement.first()["n"] >= 3
+    curves, best = reports.swept(prob, label, cities)
+    assert curves.count() == 512 and best.count() == 2
+    row = reports.experiment_row(prob, label, "A", loss="dice")
+    text = reports.report("R", {"Runs": (row, ["tag", "iou", "none"]), "Missing": (None, [])}, 0.9, 0.8)
+    assert "| A | 0." in text and "Missing" not in text and "0.1000" in text
+    ran = []
+    ladder = [("A", []), ("B", ["x=1"]), ("C", ["y=2"])]
+    assert reports.climbed(ladder, {"B"}, lambda t, c: ran.append((t, c))) == ["A", "C"]
+    assert ran[-1] == ("C", ["x=1", "y=2"])
+    assert reports.climbed(ladder, set(), None, from_rung="B", dry=True) == ["B", "C"]
+    assert reports.environment()["pyspark"]
+
+
+def test_sql_functions(spark):
+    from gridweave.functions.registry import register
+
+    register(spark)
+    ring = "array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 10D, 'y', 0D), named_struct('x', 10D, 'y', 10D), named_struct('x', 0D, 'y', 10D)))"
+    got = spark.sql(f"select gw_area(r) a, gw_length(r) l, gw_iou(r, r) i, gw_orthogonality(r) o, gw_area(gw_from_wkb(gw_to_wkb(r))) w, gw_area(gw_regularize(r)) g, gw_area(null) n from (select {ring} as r)").first()
+    assert (got["a"], got["l"], got["o"], got["w"], got["n"]) == (100, 40, 1, 100, None)
+    assert got["i"] == pytest.approx(1) and got["g"] == pytest.approx(100)
+    assert [r[0] for r in spark.sql("select start from gw_window_starts(1000, 512, 384)").collect()] == [0, 384, 488]
+    assert [tuple(r) for r in spark.sql("select * from gw_block_cells(2, 3, 2, X'0A0B0C')").collect()] == [(2, 3, 10), (2, 4, 11), (3, 3, 12)]
