@@ -47,10 +47,10 @@ class Automata:
         for lang in self.langs:
             symbols = self.encode(folded[lang])[:most_symbols]
             part = self._table(symbols.tolist(), at)
-            self.roots.append(at)
-            self.bits.append(float(np.log2(max(2, len(symbols)))))
             tables.append(part)
             at += len(part)
+            self.roots.append(at - self.width)
+            self.bits.append(float(np.log2(max(2, len(symbols)))))
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def encode(self, text: str) -> np.ndarray:
@@ -83,19 +83,20 @@ class Automata:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        # an entry: where the row of the next state starts, times 2, plus 1 if a phrase ended before this symbol
-        starts = base + np.arange(len(go), dtype=np.int64) * self.width
-        out = np.full((len(go), self.width), -1, np.int64)
+        # an entry: where the row of the next state starts, times 2, plus 1 if a phrase begins with this
+        # symbol. The last row is where a text begins and where symbols that don't occur lead.
+        starts = base + np.arange(len(go) + 1, dtype=np.int64) * self.width
+        out = np.full((len(go) + 1, self.width), -1, np.int64)
         for i, edges in enumerate(go):
             for c, to in edges.items():
                 out[i, c] = starts[to] * 2
-        fresh = np.where(out[0] >= 0, out[0], starts[0] * 2) + 1
+        fresh = np.where(out[0] >= 0, out[0], starts[-1] * 2) + 1
         out = np.where(out >= 0, out, fresh)
         out[:, 0] = starts * 2
         return out.astype(np.int32).ravel()
 
     def phrases(self, passages: np.ndarray) -> np.ndarray:
-        """passages: one per column; phrases begun in each after its first, by language."""
+        """passages: one per column; phrases of each, by language."""
         n = passages.shape[1]
         state = np.repeat(np.array(self.roots, np.int32) * 2, n).reshape(len(self.roots), n)
         count = np.zeros_like(state)
@@ -176,7 +177,7 @@ def _judged(model: Automata, texts: list[str]) -> tuple[list[str], list[float]]:
     within = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     passages = np.zeros((PASSAGE, len(of)), np.uint8)
     passages[within % PASSAGE, np.repeat(np.cumsum(counts) - counts, sizes) + within // PASSAGE] = symbols
-    used = model.phrases(passages) + 1
+    used = model.phrases(passages)
     total = np.stack([np.bincount(of, row, len(texts)) for row in used]) * np.array(model.bits)[:, None]
     best = total.argmin(0)
     order = np.sort(total, 0)
