@@ -6,9 +6,11 @@ follow each other under one gram are a segment, and every window is in exactly o
 
 1. Grams that occur once are dropped: their windows can't repeat.
 2. Equal segments are counted. Where a segment occurs twice, all its windows repeat.
-3. Of what is left - segments of one occurrence under a gram with other segments - the text is
-   fetched and indexed, some megabytes at a time with all segments of their grams: the
-   Burrows-Wheeler transform is cut into runs, and for both ends of each run the text position and
+3. What is left - segments of one occurrence under a gram with other segments - is cut into parts of
+   WIDTH windows, filed under the core that all windows of a part have in common, and counted in the
+   same way. That takes care of short common lines, whose grams are many but whose cores differ.
+4. Of what is left then, the text is fetched and indexed, some hundred kilobytes at a time with all
+   parts of their cores: the Burrows-Wheeler transform is cut into runs, and for both ends of each run the text position and
    its match with the neighbour in suffix order are sampled. From run end to run end the
    matching statistics of the text are streamed: a position's match is the last sample's less the
    distance to it. Windows whose match is LENGTH or more repeat.
@@ -31,19 +33,21 @@ from pyspark.sql import types as T
 from gridweave.llm.shared import buffer_of, prefix_sums, slices, small_batches, span_hash, table, whole_groups, written
 
 LENGTH, GRAM = 200, 32
+#: Windows of a part, at most a third of the length.
+WIDTH = 43
 #: Bytes of a text that are looked at at a time.
 BLOCK = 1 << 22
 _AT = np.uint64((1 << 24) - 1)
 
 
 def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """doc, first window, number of windows, gram hash and segment hash of all segments; positions in the buffer.
+    """doc, first window, number of windows, the gram's place after the first, gram hash and segment hash of all segments; positions in the buffer.
 
     The buffer is shorter than 2**24.
     """
     n = len(data) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     sums = prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
     grams = span_hash(sums, at, at + gram)
@@ -63,11 +67,11 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tu
     heads = np.flatnonzero(head)
     first = windows[heads]
     count = np.diff(np.append(heads, len(windows)))
-    return doc[first], first, count, grams[pick[heads]], span_hash(sums, first, first + count - 1 + length)
+    return doc[first], first, count, pick[heads] - first, grams[pick[heads]], span_hash(sums, first, first + count - 1 + length)
 
 
 def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """uid, gram, seg, first, windows of all segments of docs (uid, text)."""
+    """uid, gram, seg, first, windows, at of all segments of docs (uid, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,13 +81,13 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 for begin in range(0, max(1, len(data) - length + 1), BLOCK):  # more than one block only for one long text
                     part = data[begin : begin + BLOCK + length - 1]
                     bounds = starts if len(data) < BLOCK + length else np.array([0, len(part)])
-                    doc, first, count, g, seg = segments(part, bounds, length, gram)
+                    doc, first, count, place, g, seg = segments(part, bounds, length, gram)
                     first = first - bounds[doc] + begin
-                    yield pa.RecordBatch.from_arrays([pa.array(uids[lo:hi][doc]), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(first.astype(np.int64)), pa.array(count.astype(np.int32))], ["uid", "gram", "seg", "first", "windows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[lo:hi][doc]), pa.array(g.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(first.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(place.astype(np.int32))], ["uid", "gram", "seg", "first", "windows", "at"])
                     if len(data) < BLOCK + length:
                         break
 
-    return docs.select("uid", "text").mapInArrow(cut, "uid long, gram long, seg long, first long, windows int")
+    return docs.select("uid", "text").mapInArrow(cut, "uid long, gram long, seg long, first long, windows int, at int")
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -192,6 +196,35 @@ def _indexed(length: int):
     return mark
 
 
+def _parts(length: int, width: int):
+    """mapInArrow over (uid, text, wanted): the parts (gram, seg, uid, first, windows, single) of each wanted segment, gram now for the core."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo, hi in slices(whole["text"]):
+                batch = whole.slice(lo, hi - lo)
+                data, starts = buffer_of(batch["text"])
+                lists = batch["wanted"].flatten()
+                row = np.repeat(np.arange(len(batch)), np.diff(batch["wanted"].offsets.to_numpy()))
+                gram, first, windows, at = (lists.field(c).to_numpy() for c in ("gram", "first", "windows", "at"))
+                single = lists.field("single").to_numpy(zero_copy_only=False)
+                a = starts[row] + first
+                p, b = a + at, a + windows - 1
+                low = (p - b) // width
+                n = (p - a) // width - low + 1
+                of = np.repeat(np.arange(len(a)), n)
+                block = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                core = p[of] - block * width  # the last window of the block begins here, and the first one reaches as far as this
+                begin, end = np.maximum(a[of], core - width + 1), np.minimum(b[of], core)
+                sums = prefix_sums(data)
+                key = span_hash(sums, core, core - width + 1 + length) ^ (gram[of].view(np.uint64) + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                seg = span_hash(sums, begin, end + length) + (core - begin).astype(np.uint64)
+                columns = [pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(batch["uid"].to_numpy()[row[of]]), pa.array(begin - starts[row[of]]), pa.array((end - begin + 1).astype(np.int32)), pa.array(single[of])]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "seg", "uid", "first", "windows", "single"])
+
+    return cut
+
+
 def _bodies(length: int):
     """mapInArrow over (uid, text, wanted): the bytes of each wanted segment."""
 
@@ -231,21 +264,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shared = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
     found = written(found.join(shared.hint("merge"), "gram"))
-    kinds = found.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "windows")).alias("at"))
+    kinds = found.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "windows", "at")).alias("one"))
     kinds = written(kinds)
-    mixed_ = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1").select("gram")
-    wanted = kinds.join(mixed_, "gram").select("at.uid", F.struct("gram", "at.first", "at.windows", (F.col("n") == 1).alias("single")).alias("one"))
-    wanted = wanted.groupBy("uid").agg(F.collect_list("one").alias("wanted"))
-    texts = docs.select("uid", "text").join(wanted.hint("merge"), "uid").select("uid", "text", "wanted")
-    bodies = texts.mapInArrow(_bodies(length), "gram long, uid long, first long, single boolean, body binary")
-    indexed = bodies.repartition(partitions, "gram").sortWithinPartitions("gram").mapInArrow(_indexed(length), "uid long, first long, windows int")
     whole = found.join(kinds.filter("n > 1").select("gram", "seg").hint("merge"), ["gram", "seg"]).select("uid", "first", "windows")
+    wanted = kinds.join(_open(kinds), "gram").select("one.uid", F.struct("gram", "one.first", "one.windows", "one.at", (F.col("n") == 1).alias("single")).alias("w"))
+    texts = docs.select("uid", "text").join(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")).hint("merge"), "uid")
+    texts = written(texts)
+    parts = written(texts.mapInArrow(_parts(length, min(WIDTH, length // 3)), "gram long, seg long, uid long, first long, windows int, single boolean"))
+    kinds = written(parts.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct("uid", "first", "windows")).alias("one")))
+    again = parts.filter("single").join(kinds.filter("n > 1").select("gram", "seg").hint("merge"), ["gram", "seg"]).select("uid", "first", "windows")
+    alone = (F.col("n") == 1) & F.col("single")
+    left = kinds.join(_open(kinds.withColumn("n", F.when(alone, 1).otherwise(2))), "gram")
+    left = left.select("one.uid", F.struct("gram", "one.first", "one.windows", alone.alias("single")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted"))
+    bodies = texts.select("uid", "text").join(left.hint("merge"), "uid").mapInArrow(_bodies(length), "gram long, uid long, first long, single boolean, body binary")
+    indexed = bodies.repartition(partitions, "gram").sortWithinPartitions("gram").mapInArrow(_indexed(length), "uid long, first long, windows int")
+    whole = whole.unionByName(again)
     marks = written(whole.unionByName(indexed))
     marks = marks.groupBy("uid").agg(F.collect_set(F.struct("first", "windows")).alias("marks"))
     joined = docs.join(marks.hint("merge"), "uid", "left").select(*names, "marks")
     return joined.mapInArrow(_merged(length, names), T.StructType([*docs.schema.fields[:-1], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))]))
 
 
+def _open(kinds: DataFrame) -> DataFrame:
+    """Grams with several segments of which one occurs once."""
+    return kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1").select("gram")
+
+
 def _merged(length: int, names: list[str]):
     """mapInArrow: marks (first, windows) of each row to the byte spans they cover."""
 
