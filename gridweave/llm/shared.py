@@ -171,7 +171,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = SLICE
             continue
         rows = pa.Table.from_batches(held)
         keys = rows[key].to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(keys != keys[-1], False)) if keys[0] != keys[-1] else 0
+        cut = int(np.argmin(keys != keys[-1])) if keys[0] != keys[-1] else 0  # where the last group begins
         if cut:
             yield rows.slice(0, cut)
             held = rows.slice(cut).to_batches()
