@@ -27,7 +27,7 @@ from gridweave.llm.components import components
 from gridweave.llm.shared import buffer_of, lowered, mixed, prefix_sums, slices, small_batches, span_hash, table, whole_groups, words_of, written
 
 #: Sets that one task joins without splitting their region around pivots.
-REGION_MOST = 4000
+REGION_MOST = 500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,6 +36,11 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     Fewer than n words are one shingle; null and wordless texts have none.
     """
+    ranges = list(slices(texts))
+    if len(ranges) > 1:  # bounded memory
+        parts = [shingles(texts.slice(a, b - a), n) for a, b in ranges]
+        sizes = np.concatenate([np.diff(bounds) for _, bounds in parts])
+        return np.concatenate([h for h, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
     data, starts = buffer_of(texts)
     first, last, doc = words_of(data, starts)
     words = span_hash(prefix_sums(lowered(data)), first, last) if len(first) else np.zeros(0, np.uint64)
@@ -96,20 +101,82 @@ def _part_keys(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def shingle_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal for equal sets, null if empty), keys (digests of parts)."""
+def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, set_id (equal for equal sets, null if empty)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in slices(batch["text"]):
                 h, bounds = shingles(batch["text"].slice(at, to - at), n)
                 counts = np.diff(bounds)
-                ids = set_ids(h, bounds)
-                keys = [_part_keys(h[a:b], percent) if b > a else np.zeros(0, np.uint64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, to - at), pa.array(counts, pa.int64()), pa.array(ids, mask=counts == 0), lists], ["doc_id", "n_shingles", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, to - at), pa.array(counts, pa.int64()), pa.array(set_ids(h, bounds), mask=counts == 0)], ["doc_id", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id long")
+
+
+#: Part digests that a task gathers before it combines them.
+COMBINED = 1 << 20
+
+
+def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b): sets that share a part's digest are joined to one of them.
+
+    A task joins its own sets first and forwards one for each digest, so a digest that a third of all
+    sets share is a few rows for each task. What is forwarded is sorted by digest and joined as it
+    streams by.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, one, ends = _first_of_groups(np.concatenate(keys), np.concatenate(ids))
+            edges = np.unique(ends, axis=0) if len(ends) else ends
+            columns = np.concatenate([key, edges[:, 0] ^ edges[:, 1]]), np.concatenate([one, edges[:, 0]]), np.concatenate([np.zeros(len(one), np.int64), edges[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], mask=np.arange(len(columns[2])) < len(one))], ["key", "a", "b"])
+
+        for batch in batches:
+            for at, to in slices(batch["text"]):
+                h, bounds = shingles(batch["text"].slice(at, to - at), n)
+                names = set_ids(h, bounds)
+                _, first = np.unique(names, return_index=True)
+                for i in first:
+                    if bounds[i + 1] > bounds[i]:
+                        k = _part_keys(h[bounds[i] : bounds[i + 1]], percent).view(np.int64)
+                        keys.append(k)
+                        ids.append(np.full(len(k), names[i]))
+                        held += len(k)
+                if held >= COMBINED:
+                    yield flush()
+                    keys, ids, held = [], [], 0
+        if held:
+            yield flush()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, "key", 1 << 20):
+            rows = rows.combine_chunks()
+            done = rows.filter(rows["b"].is_valid())
+            open_ = rows.filter(rows["b"].is_null())
+            _, _, ends = _first_of_groups(open_["key"].to_numpy(), open_["a"].to_numpy())
+            ends = np.concatenate([ends, np.stack([done["a"].to_numpy(), done["b"].to_numpy()], 1)])
+            if len(ends):
+                ends = np.unique(ends, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    made = docs.select("text").mapInArrow(combine, "key long, a long, b long")
+    return made.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+
+
+def _first_of_groups(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, a value of each, and (value, that value) of the others."""
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    one = value[new]
+    pair = np.stack([value, one[np.cumsum(new) - 1]], 1) if len(value) else np.zeros((0, 2), np.int64)
+    return key[new], one, pair[pair[:, 0] != pair[:, 1]]
 
 
 class _Cell:
@@ -230,13 +297,9 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
     spark = docs.sparkSession
     small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = written(shingle_sets(docs, n, percent))
+    sets = written(shingle_sets(docs, n))
     held = sets.filter(F.col("set_id").isNotNull())
-    keyed = held.select("set_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least <> most").select("key", "least")
-    # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
-    stars = keyed.join(shared.hint("merge"), "key").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
-    regions = components(stars)
+    regions = components(stars(docs, n, percent))
     least = held.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     regions = written(regions.select(F.col("v").alias("set_id"), F.col("root").alias("cell")).join(least, "set_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -251,6 +314,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
     heads = least.join(linked, least["set_id"] == linked["a"], "left").select(least["set_id"], F.coalesce("b", least["set_id"]).alias("head"), "doc_id")
     named = heads.groupBy("head").agg(F.min("doc_id").alias("component_id"))
     named = heads.join(named, "head").select(F.col("set_id"), "component_id")
+    # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
     full = held.select("doc_id", "n_shingles", "set_id").join(named.hint("merge"), "set_id").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(sets.filter(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
