@@ -261,7 +261,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     names = docs.columns
     docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     found = occurrences(docs, length, gram)
-    shared = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    shared = written(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))  # written: else the join can't split a hot gram
     # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
     found = written(found.join(shared.hint("merge"), "gram"))
     kinds = found.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "windows", "at")).alias("one"))
