@@ -27,7 +27,7 @@ from gridweave.llm.components import components
 from gridweave.llm.shared import buffer_of, lowered, mixed, prefix_sums, slices, small_batches, span_hash, table, whole_groups, words_of, written
 
 #: Sets that one task joins without splitting their region around pivots.
-REGION_MOST = 500
+REGION_MOST = 4000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,20 +83,29 @@ def _classes(most: int) -> np.ndarray:
 
 
 def _part_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Digests of the parts of one set (ascending hashes) that another within the radius may share."""
+    """Digests of the parts of one set (ascending hashes) that another within the radius may share.
+
+    Two linked sets differ in at most `differ` parts. Weak parts, of one shingle or none, may equal
+    those of unrelated sets, so they only count where a set has as many of them as parts that must
+    be equal: else some strong part is equal as well.
+    """
     size = len(h)
     lows = _classes(2 * size + 2)
     own = int(np.searchsorted(lows, size, "right")) - 1
     keys = []
     for c in [own, own + 1] if 100 * size >= percent * lows[own + 1] else [own]:
         differ = (100 - percent) * 2 * int(lows[c + 1] - 1) // (100 + percent)
-        parts = differ + 3
+        parts = differ + 3 + differ // 8
         part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums = np.add.reduceat(mixed(h), at)
-        tag = mixed(part[at] + np.uint64(c << 32))
-        keys.append(mixed(sums + tag))
-        if parts - len(at) >= 3:  # then all equal parts may be empty ones
+        found = mixed(sums + mixed(part[at] + np.uint64(c << 32)))
+        strong = np.diff(np.append(at, size)) > 1
+        if parts - strong.sum() < parts - differ:
+            keys.append(found[strong])
+            continue
+        keys.append(found)
+        if parts - len(at) >= parts - differ:  # then all equal parts may be empty ones
             keys.append(mixed(np.setdiff1d(np.arange(parts, dtype=np.uint64), part[at]) + np.uint64(c << 32)))
     return np.concatenate(keys)
 
