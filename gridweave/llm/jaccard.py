@@ -1,14 +1,18 @@
 """Jaccard metric-space join of word n-gram sets.
 
-1. Level 0 splits the space into regions that no link crosses. Two sets at Jaccard distance r or
-   less differ in at most D = (1 - t) / (1 + t) * (|x| + |y|) shingles, t = 1 - r, so of D + 3
-   parts of the hashed universe at least three are the same in both. Sets that share a part's
-   digest are joined to the least of them, and connected components of these stars are the
-   regions: documents outside of them have no link at all, and no document is replicated.
-2. Regions of more than region_most sets are split around pivots: every set goes to the Voronoi
-   cell of its nearest pivot, and also into the cells of other pivots q if
-   d(x, q) <= d(x, nearest) + 2 r, the triangle inequality's window. Links to pivots are kept.
-3. A cell is joined exactly: pivot after pivot, distances to earlier pivots rule out by the triangle
+1. Level 0 splits the space into regions that no link crosses. Under one order of all shingles,
+   rare ones first, two sets of similarity t or more share a shingle among the first
+   |x| - ceil(t |x|) + 1 of each. Sets that share such a shingle are joined to one of them, and
+   connected components of these stars are the regions: documents outside of them have no link at
+   all, and no document is replicated. Any order is exact; this one goes by counts in a sketch of
+   fixed size, so common lines come last and chain nothing.
+2. Regions of more than region_most sets are divided in the same way by the exact counts inside them.
+3. What is still larger is split around pivots: every set goes to the Voronoi cell of its nearest
+   pivot, and also into the cells of other pivots q if d(x, q) <= d(x, nearest) + 2 r, the triangle
+   inequality's window. Links to pivots are kept. Cells that are still too large are split again
+   around pivots of their own; where cells stop shrinking, every pair of blocks of their parent is
+   joined instead.
+4. A cell is joined exactly: pivot after pivot, distances to earlier pivots rule out by the triangle
    inequality all that can't link, and what is known to be connected is not compared again.
 
 Shingles and sets are told apart by 64-bit hashes.
@@ -20,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.components import components
-from gridweave.llm.shared import buffer_of, lowered, mixed, prefix_sums, slices, small_batches, span_hash, table, whole_groups, words_of, written
+from gridweave.llm.shared import buffer_of, dropped, lowered, mixed, prefix_sums, slices, small_batches, span_hash, table, whole_groups, words_of, written
 
 #: Sets that one task joins without splitting their region around pivots.
 REGION_MOST = 4000
@@ -74,65 +78,82 @@ def set_ids(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mixed(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def _classes(most: int) -> np.ndarray:
-    """Least size of each size class."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
-    return np.array(out)
+#: Counters of the sketch that orders shingles, as a power of two, and how many of these make a block.
+SKETCH_BITS, BLOCK_BITS = 24, 20
 
 
-def _part_keys(h: np.ndarray, percent: int) -> np.ndarray:
-    """Digests of the parts of one set (ascending hashes) that another within the radius may share.
+def _counters(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
-    Two linked sets differ in at most `differ` parts. Weak parts, of one shingle or none, may equal
-    those of unrelated sets, so they only count where a set has as many of them as parts that must
-    be equal: else some strong part is equal as well.
+
+def _prefix(h: np.ndarray, bounds: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that another set within the radius may share as its rarest, and the index of their sets.
+
+    Level 0 is a count of one: no other text has that shingle.
     """
-    size = len(h)
-    lows = _classes(2 * size + 2)
-    own = int(np.searchsorted(lows, size, "right")) - 1
-    keys = []
-    for c in [own, own + 1] if 100 * size >= percent * lows[own + 1] else [own]:
-        differ = (100 - percent) * 2 * int(lows[c + 1] - 1) // (100 + percent)
-        parts = differ + 3 + differ // 8
-        part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        sums = np.add.reduceat(mixed(h), at)
-        found = mixed(sums + mixed(part[at] + np.uint64(c << 32)))
-        strong = np.diff(np.append(at, size)) > 1
-        if parts - strong.sum() < parts - differ:
-            keys.append(found[strong])
-            continue
-        keys.append(found)
-        if parts - len(at) >= parts - differ:  # then all equal parts may be empty ones
-            keys.append(mixed(np.setdiff1d(np.arange(parts, dtype=np.uint64), part[at]) + np.uint64(c << 32)))
-    return np.concatenate(keys)
+    sizes = np.diff(bounds)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    level = levels[_counters(h)]
+    order = np.lexsort((h, level, of))
+    within = np.arange(len(h)) - np.repeat(bounds[:-1], sizes)
+    first = within <= np.repeat(sizes - (percent * sizes + 99) // 100, sizes)
+    keep = first & (level[order] > 0)
+    return h[order][keep], of[keep]
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal for equal sets, null if empty)."""
+    """doc_id, n_shingles, set_id (equal for equal sets, null if empty); and, with a block, counts of the task's shingles for the sketch."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, any_ = np.zeros(1 << SKETCH_BITS, np.uint32), False
+        names = ["doc_id", "n_shingles", "set_id", "block", "counts"]
         for batch in batches:
             for at, to in slices(batch["text"]):
                 h, bounds = shingles(batch["text"].slice(at, to - at), n)
+                np.add.at(sums, _counters(h), np.uint32(1))
+                any_ = any_ or len(h) > 0
                 counts = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, to - at), pa.array(counts, pa.int64()), pa.array(set_ids(h, bounds), mask=counts == 0)], ["doc_id", "n_shingles", "set_id"])
+                none = pa.nulls(len(counts))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, to - at), pa.array(counts, pa.int64()), pa.array(set_ids(h, bounds), mask=counts == 0), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        if any_:
+            none = pa.nulls(1, pa.int64())
+            for b, part in enumerate(sums.reshape(-1, 1 << BLOCK_BITS)):
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([b], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id long, block int, counts binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id long")
 
+def sketch_levels(sets: DataFrame) -> np.ndarray:
+    """Eighths of the binary logarithm of the sketch's counts, from the blocks of shingle_sets()."""
 
-#: Part digests that a task gathers before it combines them.
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch["block"].to_pylist(), batch["counts"], strict=True):
+                part = np.frombuffer(pa.decompress(counts.as_buffer(), 4 << BLOCK_BITS, "zstd"), np.uint32)
+                sums[block] = sums[block] + part if block in sums else part.astype(np.int64)
+        for block, total in sums.items():
+            level = np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "levels"])
+
+    blocks = 1 << (SKETCH_BITS - BLOCK_BITS)
+    found = sets.filter("block is not null").select("block", "counts").repartition(blocks, "block").mapInArrow(add, "block int, levels binary")
+    levels = np.zeros((blocks, 1 << BLOCK_BITS), np.uint8)
+    for row in found.collect():  # 2**SKETCH_BITS bytes at most
+        levels[row["block"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.ravel()
+
+
+#: Shingles of prefixes that a task gathers before it combines them.
 COMBINED = 1 << 20
 
 
-def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b): sets that share a part's digest are joined to one of them.
+def stars(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
+    """Edges (a, b): sets that share a shingle of their prefixes are joined to one of them; levels is a broadcast.
 
-    A task joins its own sets first and forwards one for each digest, so a digest that a third of all
-    sets share is a few rows for each task. What is forwarded is sorted by digest and joined as it
-    streams by.
+    A task joins its own sets first and forwards one for each shingle, so a shingle that a third of
+    all sets share is a few rows for each task. What is forwarded is sorted by shingle and joined as
+    it streams by.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -149,13 +170,10 @@ def stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for at, to in slices(batch["text"]):
                 h, bounds = shingles(batch["text"].slice(at, to - at), n)
                 names = set_ids(h, bounds)
-                _, first = np.unique(names, return_index=True)
-                for i in first:
-                    if bounds[i + 1] > bounds[i]:
-                        k = _part_keys(h[bounds[i] : bounds[i + 1]], percent).view(np.int64)
-                        keys.append(k)
-                        ids.append(np.full(len(k), names[i]))
-                        held += len(k)
+                k, of = _prefix(h, bounds, levels.value, percent)
+                keys.append(k.view(np.int64))
+                ids.append(names[of])
+                held += len(k)
                 if held >= COMBINED:
                     yield flush()
                     keys, ids, held = [], [], 0
@@ -264,13 +282,13 @@ def _cells(n: int, percent: int):
 
 
 def _pivoted(n: int, percent: int):
-    """mapInArrow over (cell, set_id, text, pivot) sorted by cell: links to pivots (cell null), and (cell, set) of the Voronoi cells with their windows."""
+    """mapInArrow over (cell, parent, set_id, text, pivot) sorted by cell: links to pivots, and (parent, cell, set) of the Voronoi cells with their windows."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, "cell"):
             rows, h, bounds = _own_sets(rows, n)
-            cell, sets, pivot = (rows[c].to_numpy() for c in ("cell", "set_id", "pivot"))
-            cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+            cell, parent, sets, pivot = (rows[c].to_numpy() for c in ("cell", "parent", "set_id", "pivot"))
+            cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(cell) else np.zeros(1, np.int64)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 here = _Cell(h[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], percent)
                 pivots = np.flatnonzero(pivot[a:b])
@@ -282,8 +300,10 @@ def _pivoted(n: int, percent: int):
                 d = 1 - both / union
                 links = np.argwhere(100 * both >= percent * union)
                 homes = np.argwhere(d <= d.min(0) + 2 * (1 - percent / 100) + 1e-9)
-                for kind, pairs in (("link", links), ("cell", homes)):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(pairs), pa.string()), pa.array(sets[a:b][pivots[pairs[:, 0]]]), pa.array(sets[a:b][members[pairs[:, 1]]])], ["kind", "a", "b"])
+                inner = mixed(sets[a:b][pivots].view(np.uint64) + mixed(parent[a:b][pivots].view(np.uint64))).view(np.int64)
+                for kind, left, pairs in (("link", sets[a:b][pivots], links), ("cell", inner, homes)):
+                    columns = [pa.array([kind] * len(pairs), pa.string()), pa.array(np.full(len(pairs), parent[a])), pa.array(left[pairs[:, 0]]), pa.array(sets[a:b][members[pairs[:, 1]]])]
+                    yield pa.RecordBatch.from_arrays(columns, ["kind", "parent", "a", "b"])
 
     return split
 
@@ -307,8 +327,11 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
     small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = written(shingle_sets(docs, n))
+    levels = spark.sparkContext.broadcast(sketch_levels(sets))
+    sets = sets.filter("block is null").select("doc_id", "n_shingles", "set_id")
     held = sets.filter(F.col("set_id").isNotNull())
-    regions = components(stars(docs, n, percent))
+    regions = components(stars(docs, n, percent, levels))
+    levels.unpersist()
     least = held.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     regions = written(regions.select(F.col("v").alias("set_id"), F.col("root").alias("cell")).join(least, "set_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -333,26 +356,91 @@ def _small_links(regions: DataFrame, large: DataFrame, texts: DataFrame, n: int,
     return _sorted_cells(small, partitions).mapInArrow(_cells(n, percent), "a long, b long")
 
 
+#: Pivots of one cell at most, and the shares of its size that its largest cell and all its cells may have to be split on.
+PIVOTS, SHRINKS, SPREADS = 64, 0.75, 3
+
+
 def _large_links(regions: DataFrame, large: DataFrame, texts: DataFrame, n: int, percent: int, region_most: int, partitions: int) -> DataFrame:
-    """Links of the large regions: those to pivots, and the stars of each Voronoi cell."""
-    members = written(texts.join(regions.join(large, "cell").hint("merge"), "doc_id").select("cell", "set_id", "text", "members"))
+    """Links of the large regions: divided by exact counts, then cell after cell around pivots."""
+    members = written(texts.join(regions.join(large, "cell").hint("merge"), "doc_id").select("cell", "set_id", "text"))
+    texts = members.select("set_id", "text")
+    cells = components(_counted_stars(members, n, percent)).select(F.col("v").alias("set_id"), F.col("root").alias("cell"))
+    links = None
+    while True:
+        sizes = written(cells.groupBy("cell").agg(F.count("*").alias("members")))
+        big = sizes.filter(F.col("members") > region_most)
+        small = cells.join(sizes.filter(F.col("members") <= region_most).hint("merge"), "cell").select("cell", "set_id")
+        found = _joined(small, texts, n, percent, partitions)
+        links = found if links is None else links.unionByName(found)
+        if big.isEmpty():
+            return links
+        split = written(_split(cells.join(big.hint("merge"), "cell"), texts, n, percent, region_most, partitions))
+        links = links.unionByName(split.filter("kind = 'link'").select("a", "b"))
+        inner = split.filter("kind = 'cell'").select("parent", F.col("a").alias("cell"), F.col("b").alias("set_id")).distinct()
+        each = inner.groupBy("parent", "cell").agg(F.count("*").alias("n")).groupBy("parent").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+        stuck = each.join(big.withColumnRenamed("cell", "parent"), "parent").filter((F.col("most") > SHRINKS * F.col("members")) | (F.col("all") > SPREADS * F.col("members")))
+        stuck = written(stuck.select(F.col("parent").alias("cell"), "members"))
+        known = components(links)
+        if not stuck.isEmpty():
+            blocks = _open(_blocks(cells.join(stuck.hint("merge"), "cell"), region_most), known)
+            links = links.unionByName(_joined(blocks, texts, n, percent, partitions))
+        cells = written(_open(inner.join(stuck.select(F.col("cell").alias("parent")), "parent", "left_anti").select("cell", "set_id"), known))
+
+
+def _joined(cells: DataFrame, texts: DataFrame, n: int, percent: int, partitions: int) -> DataFrame:
+    """The exact stars inside each of cells (cell, set_id)."""
+    rows = texts.join(cells.hint("merge"), "set_id").select("cell", "set_id", "text")
+    return written(_sorted_cells(rows, partitions).mapInArrow(_cells(n, percent), "a long, b long"))
+
+
+def _open(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """cells (cell, set_id) without those that known (v, root) connects already."""
+    roots = cells.join(known.select(F.col("v").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    left = roots.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell")
+    return cells.join(left.hint("merge"), "cell").select("cell", "set_id")
+
+
+def _counted_stars(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Edges (a, b) as those of stars(), of sets in one cell, by the exact counts of the cell's shingles."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in slices(batch["text"]):
+                rows, h, bounds = _own_sets(pa.Table.from_batches([batch.slice(at, to - at)]), n)
+                sizes = np.diff(bounds)
+                cell, sets = (np.repeat(rows[c].to_numpy(), sizes) for c in ("cell", "set_id"))
+                key = mixed(h + mixed(cell.view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sets), pa.array(np.repeat(sizes, sizes))], ["key", "set_id", "size"])
+
+    rows = members.mapInArrow(every, "key long, set_id long, size long").distinct()
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("n"), "key"))
+    shared = rows.join(counts.hint("merge"), "key").withColumn("place", place)
+    # all but the last ceil(t |x|) - 1 in the order; the last are the most frequent, which are the first here
+    first = written(shared.filter(F.col("place") >= F.ceil(F.col("size") * percent / F.lit(100))).select("key", "set_id"))
+    heads = first.groupBy("key").agg(F.min("set_id").alias("b"))
+    return first.join(heads.hint("merge"), "key").select(F.col("set_id").alias("a"), "b")
+
+
+def _split(cells: DataFrame, texts: DataFrame, n: int, percent: int, region_most: int, partitions: int) -> DataFrame:
+    """What _pivoted() finds in cells (cell, set_id, members), around the sets of each cell that come first by a hash."""
     salts = F.ceil(F.col("members") / region_most).cast("int")
-    # set_ids are hashes: those under a share of their range are a random choice of about 4 pivots a task's worth
-    share = F.least(F.lit(1.0), F.lit(4.0) / region_most)
-    random = F.pmod(F.xxhash64("set_id"), F.lit(1 << 30)) / float(1 << 30)
-    dealt = members.select((F.xxhash64("cell", F.pmod(F.xxhash64("set_id", F.lit(1)), salts))).alias("cell"), "set_id", "text", F.lit(False).alias("pivot"))
-    chosen = members.filter(random < share)
-    spread = chosen.select("cell", "set_id", "text", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    spread = spread.select(F.xxhash64("cell", F.col("salt").cast("long")).alias("cell"), "set_id", "text", F.lit(True).alias("pivot"))
-    found = written(_sorted_cells(dealt.unionByName(spread), partitions).mapInArrow(_pivoted(n, percent), "kind string, a long, b long"))
-    links = found.filter("kind = 'link'").select("a", "b")
-    known = components(links)
-    cells = found.filter("kind = 'cell'").select(F.col("a").alias("cell"), F.col("b").alias("set_id"))
-    cells = cells.join(known.select(F.col("v").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    open_ = cells.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell")
-    rows = cells.join(open_, "cell").select("cell", "set_id").join(members.select("set_id", "text"), "set_id").select("cell", "set_id", "text")
-    inside = _sorted_cells(rows, partitions).mapInArrow(_cells(n, percent), "a long, b long")
-    return links.unionByName(written(inside))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("set_id", "cell"), "set_id"))
+    wanted = F.greatest(F.lit(2), F.ceil(4 * F.col("members") / region_most))
+    chosen = cells.withColumn("place", place).filter(F.col("place") <= PIVOTS).filter(F.col("place") <= wanted)
+    spread = chosen.select("cell", "set_id", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("pivot"))
+    dealt = cells.select("cell", "set_id", F.pmod(F.xxhash64("set_id", F.lit(1)), salts).cast("int").alias("salt"), F.lit(False).alias("pivot"))
+    rows = texts.join(dealt.unionByName(spread).hint("merge"), "set_id")
+    rows = rows.select(F.xxhash64("cell", "salt").alias("cell"), F.col("cell").alias("parent"), "set_id", "text", "pivot")
+    return _sorted_cells(rows, partitions).mapInArrow(_pivoted(n, percent), "kind string, parent long, a long, b long")
+
+
+def _blocks(cells: DataFrame, region_most: int) -> DataFrame:
+    """(cell, set_id): every pair of blocks of about half of region_most sets of each of cells (cell, set_id, members)."""
+    blocks = F.ceil(2 * F.col("members") / region_most).cast("int")
+    own = cells.withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(2)), blocks).cast("int"))
+    pairs = own.select("cell", "set_id", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "set_id")
 
 
 def op4_voronoi_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,50 @@ def test_long_text_is_taken_whole():
     h, bounds = jaccard.shingles(pa.array([" ".join(words), "a"]), 3)
     assert bounds[1] == len({tuple(words[i : i + 3]) for i in range(len(words) - 2)})
     assert (np.diff(h[: bounds[1]].astype(object)) > 0).all()
+
+
+def chained(seed, n_sets, copies):
+    """Texts of common lines and words of their own: no links but those of copies with one changed word."""
+    rng = random.Random(seed)
+    lines = [" ".join(f"l{i}x{j}" for j in range(12)) for i in range(6)]
+    rows = []
+    for i in range(n_sets):
+        own = [f"own{i}y{j}" for j in range(rng.randint(20, 30))]
+        words = " ".join(rng.sample(lines, 4)).split() + own
+        for _ in range(1 + (i < copies)):
+            rows.append((len(rows), " ".join(words), "x", 1))
+            words[rng.randrange(len(words))] = f"new{len(rows)}"
+    return rows
+
+
+def test_large_cells_are_split_until_they_fit(spark, monkeypatch):
+    rows = chained(3, 60, 12)
+    largest = []
+    frame = spark.createDataFrame(rows, SCHEMA)
+    joined = jaccard._joined
+
+    def watched(cells, *rest):
+        largest.append(max([r["count"] for r in cells.groupBy("cell").count().collect()], default=0))
+        return joined(cells, *rest)
+
+    monkeypatch.setattr(jaccard, "_joined", watched)
+    # all levels in one region, as if no shingle were rare: only the cells can bound a task
+    everything = lambda docs, *_: jaccard.shingle_sets(docs, 2).filter("set_id is not null").crossJoin(jaccard.shingle_sets(docs, 2).agg(jaccard.F.min("set_id").alias("b"))).select(jaccard.F.col("set_id").alias("a"), "b")
+    monkeypatch.setattr(jaccard, "stars", everything)
+    monkeypatch.setattr(jaccard, "_counted_stars", lambda members, n, percent: everything(members.select(jaccard.F.lit(1).alias("doc_id"), "text")))
+    got = jaccard.near_components(frame, 2, 80, 16).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 2, 80)
+    assert largest and max(largest) <= 32
+
+
+def test_common_lines_chain_no_region(spark):
+    rows = chained(4, 60, 12)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    levels = spark.sparkContext.broadcast(jaccard.sketch_levels(jaccard.shingle_sets(frame, 2)))
+    found = jaccard.components(jaccard.stars(frame, 2, 80, levels)).groupBy("root").count().collect()
+    assert max(r["count"] for r in found) <= 8
+    members = jaccard.shingle_sets(frame, 2).filter("set_id is not null").select("doc_id", "set_id").join(frame.select("doc_id", "text"), "doc_id").select(jaccard.F.lit(7).cast("long").alias("cell"), "set_id", "text")
+    found = jaccard.components(jaccard._counted_stars(members, 2, 80)).groupBy("root").count().collect()
+    assert max(r["count"] for r in found) <= 8
+    got = jaccard.near_components(frame, 2, 80, 4).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 2, 80)
