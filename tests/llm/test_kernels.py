@@ -174,3 +174,11 @@ def test_pipeline(spark):
     mixed = stages["source_mix"](spark, single, "")
     assert mixed.columns == docs.columns and 0 < mixed.count() < single.count()
     assert stages["packing"](spark, mixed, "").count() > 0
+
+
+def test_pipeline_drops_copies_of_four_fifths(spark):
+    base = [f"w{j}" for j in range(50)]
+    changed = [*base[:20], "other", *base[21:]]  # 41 of 51 shingles
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(changed), "en", "s", 1), (3, " ".join(f"x{j}" for j in range(50)), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
