@@ -132,18 +132,92 @@ def test_mixture_against_brute_force(spark):
         assert r["score"] < 0
 
 
-def test_mixture_is_a_distribution():
-    code = mixture.Code(np.arange(mixture.SYMBOLS) ** 2 % 97)
-    rng = np.random.default_rng(0)
-    model = mixture.Model(code, rng.integers(0, 256, (mixture.CONTEXTS, 1 << mixture.SLOT_BITS)).astype(np.uint8))
-    before = mixture.Stream(pa.array(["some words before"]))
-    symbols, contexts = before.symbols, before.contexts()
-    at = 7
-    total = 0.0
-    for s in range(mixture.SYMBOLS):
-        total += 10 ** model.score(np.array([s], np.uint16), [c[at : at + 1] for c in contexts])
-    assert total == pytest.approx(1, abs=1e-4)
-    assert symbols[-1] == mixture.END
+def small_model(texts):
+    hashes = mixture.Stream(pa.array(texts)).hash
+    keys, counts = np.unique(hashes[hashes != mixture._END_TOKEN], return_counts=True)
+    keep = counts > 1
+    letters = np.ones(mixture.STOP + 1, np.int64) + np.arange(mixture.STOP + 1) % 7
+    words = mixture.Vocabulary(keys[keep], counts[keep], len(texts), int(counts[~keep].sum()), letters)
+    pairs = np.random.default_rng(0).integers(0, 1 << 16, mixture.SLOTS).astype(np.uint16)
+    return mixture.Model(words, pairs)
+
+
+TEXTS = ["some words and some other words and more", "and some words, é rare 😀 thing", "", "more more more and some words and some other words and more"] * 2
+
+
+def no_match(stream):
+    return np.full(len(stream.ids), mixture._NONE), np.zeros(len(stream.ids), np.int64)
+
+
+def test_mixture_codes_decode():
+    """The bits of texts, read back through both trees, are the texts."""
+    model = small_model(TEXTS)
+    v = model.vocabulary
+    for code in (v.words, v.letters):
+        assert sum(2.0**-s for s in code.sizes.tolist()) == pytest.approx(1)
+    stream = mixture.Stream(pa.array(TEXTS)).named(v)
+    text, _, _, bit = model.bits(stream, np.zeros(len(TEXTS), bool), no_match(stream))
+    trees = [{tuple(c.bits[a : a + n].tolist()): i for i, (a, n) in enumerate(zip(c.starts.tolist(), c.sizes.tolist()))} for c in (v.words, v.letters)]  # noqa: B905
+    names = {int(h): w for t in TEXTS for w in t.split() for h in [mixture.Stream(pa.array([w])).hash[0]]}
+    by_id = {int(i): names[int(k)] for k, i in zip(v.keys, v.ids, strict=True)}
+    for d, t in enumerate(TEXTS):
+        out, path, tree, letters = [], (), 0, []
+        for b in bit[text == d].tolist():
+            path += (b,)
+            if path not in trees[tree]:
+                continue
+            found, path = trees[tree][path], ()
+            if tree == 0:
+                tree = int(found == v.escape)
+                if found < v.escape:
+                    out.append(by_id[found])
+            elif found == mixture.STOP:
+                out.append(bytes(letters).decode())
+                letters, tree = [], 0
+            else:
+                letters.append(found)
+        assert out == t.lower().split()
+        assert not path
+
+
+def test_mixture_steps(monkeypatch):
+    """Scores don't depend on what else is in the batch, and even short texts move their weights."""
+    model = small_model(TEXTS)
+    one = lambda texts: model.scores(s := mixture.Stream(pa.array(texts)).named(model.vocabulary), np.zeros(len(texts), bool), no_match(s))
+    texts = [TEXTS[0] * 3, *TEXTS[:4], "long words " * 500]
+    together = one(texts)
+    assert together == pytest.approx([one([t])[0] for t in texts], rel=1e-4)
+    monkeypatch.setattr(mixture, "RATE", 0.0)
+    assert abs(one(texts)[0] - together[0]) > 1e-3
+
+
+def test_mixture_knows_copies(spark):
+    """A text that occurs twice is expected by its copy; one that occurs once isn't known to itself."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(120))) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(5)]
+    got = {r["doc_id"]: r for r in mixture.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") > 103).collect()}
+    twice = [got[i]["bits_per_byte"] for i in (0, 1, 2, 3, 100, 101, 102, 103, 104)]
+    once = [got[i]["bits_per_byte"] for i in (4, *range(5, 60))]
+    assert max(twice) < min(once)
+    assert got[0]["score"] == pytest.approx(got[100]["score"])
+
+
+def test_mixture_beats_the_base(spark):
+    got = mixture.op1_context_mixing(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_mixture_cuts_long_texts(spark, monkeypatch):
+    text = " ".join(f"w{i % 97}" for i in range(3000))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", text]), pa.array([1, 2])], ["text", "id"])
+    whole = mixture.Stream(batch["text"])
+    monkeypatch.setattr(mixture, "CUT", 500)
+    monkeypatch.setattr(mixture, "_SLICE", 1000)
+    parts = list(mixture._streams(iter([batch])))
+    assert len(parts) > 10
+    assert np.concatenate([s.hash for _, _, s in parts]).tolist() == whole.hash.tolist()
 
 
 def test_mixture_edges(spark):
