@@ -156,7 +156,11 @@ def test_mixture_codes_decode():
     for code in (v.words, v.letters):
         assert sum(2.0**-s for s in code.sizes.tolist()) == pytest.approx(1)
     stream = mixture.Stream(pa.array(TEXTS)).named(v)
-    text, _, _, bit = model.bits(stream, np.zeros(len(TEXTS), bool), no_match(stream))
+    symbols = np.arange(len(stream.of))
+    parts = [(at, bit) for _, _, at, _, _, bit in model.bits(stream, np.zeros(len(TEXTS), bool), no_match(stream), symbols)]
+    at, bit = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(at, kind="stable")  # of one symbol, the word's bits and then the letters'
+    text, bit = stream.of[at[order]], bit[order]
     trees = [{tuple(c.bits[a : a + n].tolist()): i for i, (a, n) in enumerate(zip(c.starts.tolist(), c.sizes.tolist()))} for c in (v.words, v.letters)]  # noqa: B905
     names = {int(h): w for t in TEXTS for w in t.split() for h in [mixture.Stream(pa.array([w])).hash[0]]}
     by_id = {int(i): names[int(k)] for k, i in zip(v.keys, v.ids, strict=True)}
