@@ -44,11 +44,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark then removes the shuffle files of a query when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cuts lineage: df as a Parquet table in the shared folder, so lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridweave-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridweave_path = path
     return out
