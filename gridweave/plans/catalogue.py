@@ -232,6 +232,24 @@ def merge_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.merge_scored(matching.merged_groups(pairs), preds, gts, THRESHOLDS)
 
 
+@query(
+    """with c as (select p_partkey as k, p_partkey // 4 as cell from part), g as (select cell, k as gt from c where k % 4 = 0),
+m as (select cell, k % 4 as slot, lag(k % 4) over (partition by cell order by k) as before from c where k % 4 <> 0)
+select 's' || (m.cell % 3) as scene, gt, count(*) as members, round(40 * (20 * count(*) - 8 * count(*) filter (slot = before + 1)) / 2500, 6) as iou from m join g using (cell) group by all"""
+)
+def merge_union(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping predictions inside a label count with their union."""
+    k, cell = F.col("p_partkey"), F.floor(F.col("p_partkey") / 4)
+    cx, cy = cell % 40 * 60, F.floor(cell / 40) * 120
+    box = lambda x, y, w, h: F.array(F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]))
+    layer = lambda rows, rings: rows.select(F.concat(F.lit("s"), cell % 3).alias("scene"), k.cast("int").alias("seq"), rings.alias("rings"))
+    parts = table(spark, d, "part")
+    gts = layer(parts.filter(k % 4 == 0), box(cx, cy, 50, 50))
+    preds = layer(parts.filter(k % 4 != 0), box(cx + (k % 4 - 1) * 12, cy + 5, 20, 40))
+    groups = vectorise.merged_unions(vectorise.candidates(preds, gts), preds, gts)
+    return groups.select("scene", F.col("gt").cast("long").alias("gt"), "members", r6(F.col("iou")).alias("iou"))
+
+
 # ---------------------------------------------------------------- rings
 
 

@@ -54,7 +54,7 @@ def evaluated(preds: DataFrame, gts: DataFrame, prob: DataFrame, label: DataFram
     found = vectorise.candidates(preds, gts)
     ids = lambda df: df.select("scene", F.col("seq").alias("id"))
     strict = matching.scored(matching.mutual_best(found.select("scene", "pred", "gt", "iou")), ids(preds), ids(gts), thresholds).withColumn("matching", F.lit("strict"))
-    merged = matching.merge_scored(matching.merged_groups(found), ids(preds), ids(gts), thresholds).withColumn("matching", F.lit("merge_tolerant"))
+    merged = matching.merge_scored(vectorise.merged_unions(found, preds, gts), ids(preds), ids(gts), thresholds).withColumn("matching", F.lit("merge_tolerant"))
     sums = strict.unionByName(merged).groupBy("matching", "threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     best = matching.best_match(found.select("scene", "pred", "gt", "iou"))
     rings = lambda df, side: df.select("scene", F.col("seq").alias(side), F.get("rings", F.lit(0)).alias(f"{side}_ring"))

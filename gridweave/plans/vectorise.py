@@ -85,6 +85,25 @@ def candidates(preds: DataFrame, gts: DataFrame, cell: float = 64.0) -> DataFram
     return pairs.select("scene", "l_id", "r_id", "l_rings", "r_rings").mapInPandas(overlaid, "scene string, pred int, gt int, iou double, overlap double, pred_area double, gt_area double")
 
 
+def merged_unions(found: DataFrame, preds: DataFrame, gts: DataFrame) -> DataFrame:
+    """scene, gt, preds, members, iou of each gt with the union of its members, which may overlap; found is that of candidates().
+
+    One row of a gt and its members at a time: as many as have over half their area inside it.
+    """
+    shape = lambda df, side: df.select("scene", F.col("seq").alias(side), F.col("rings").alias(f"{side}_rings"))
+    inside = matching.members(found).select("scene", "gt", "pred").join(shape(preds, "pred"), ["scene", "pred"])
+    rows = inside.groupBy("scene", "gt").agg(F.collect_set("pred").alias("preds"), F.collect_list("pred_rings").alias("shapes")).join(shape(gts, "gt"), ["scene", "gt"])
+
+    def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        as_polygon = lambda rings: [np.array([[p["x"], p["y"]] for p in r]) for r in rings]
+        for part in batches:
+            values = [polygons.iou([as_polygon(s) for s in shapes], [as_polygon(g)]) for shapes, g in zip(part["shapes"], part["gt_rings"], strict=True)]
+            yield part[["scene", "gt", "preds"]].assign(members=part["preds"].map(len).astype("int64"), iou=np.array(values, float))
+
+    kind = dict(found.dtypes)
+    return rows.select("scene", "gt", "preds", "shapes", "gt_rings").mapInPandas(united, f"scene {kind['scene']}, gt {kind['gt']}, preds array<{kind['pred']}>, members long, iou double")
+
+
 def summary(layer: DataFrame) -> DataFrame:
     """Per scene: buildings, median area, mean vertices and orthogonality."""
     return layer.groupBy("scene").agg(

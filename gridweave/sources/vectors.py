@@ -7,7 +7,7 @@ import struct
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,9 +96,22 @@ def read_geopackage(path: str | Path, layer: str = "buildings") -> list[dict] |
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Scenes (ord, scene, city, image_path, gt_path) in file order."""
-    rows = spark.read.schema("scene string, city string, image_path string, gt_path string").option("header", True).csv(path)
-    return rows.withColumn("ord", F.monotonically_increasing_id().cast("int"))
+    """Scenes (ord, scene, city, image_path, gt_path); ord counts rows from 0 by file name, then in file order.
+
+    A manifest lists scenes, so numbering it in one task is bounded by their number.
+    """
+    fields = ["scene", "city", "image_path", "gt_path"]
+    rows = spark.read.schema(", ".join(f"{f} string" for f in fields)).option("header", True).csv(path)
+    place = rows.select(*fields, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    return place.select((F.row_number().over(Window.orderBy("file", "block", "nth")) - 1).alias("ord"), *fields)
+
+
+def read_optional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A CSV result with a header, or None where there is none; nulls are empty."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -209,3 +209,28 @@ def test_sql_functions(spark):
     assert got["i"] == pytest.approx(1) and got["g"] == pytest.approx(100)
     assert [r[0] for r in spark.sql("select start from gw_window_starts(1000, 512, 384)").collect()] == [0, 384, 488]
     assert [tuple(r) for r in spark.sql("select * from gw_block_cells(2, 3, 2, X'0A0B0C')").collect()] == [(2, 3, 10), (2, 4, 11), (3, 3, 12)]
+
+
+def test_manifest_order(spark, tmp_path):
+    for n, name in enumerate(("a.csv", "b.csv", "c.csv")):
+        lines = [f"s{n}{i},city,i,g" for i in range((5, 300, 2)[n])]
+        (tmp_path / name).write_text("scene,city,image_path,gt_path\n" + "\n".join(lines) + "\n")
+    got = vectors.read_manifest(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r["ord"] for r in got] == list(range(307))
+    assert [r["scene"] for r in got[:6]] == ["s00", "s01", "s02", "s03", "s04", "s10"]
+    assert vectors.read_optional_csv(spark, str(tmp_path / "none.csv"), "a string") is None
+    assert vectors.read_optional_csv(spark, str(tmp_path / "a.csv"), "scene string, city string, image_path string, gt_path string").count() == 5
+
+
+def test_merge_tolerant_unions(spark):
+    box = lambda x0, y0, x1, y1: [[{"x": float(x), "y": float(y)} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]]
+    schema = "scene string, seq int, rings array<array<struct<x:double,y:double>>>"
+    gts = spark.createDataFrame([("s", 1, box(0, 0, 10, 10)), ("s", 2, box(0, 0, 10, 6))], schema)
+    preds = spark.createDataFrame([("s", 1, box(0, 0, 10, 6)), ("s", 2, box(0, 0, 10, 6)), ("s", 3, box(20, 20, 21, 21))], schema)
+    found = vectorise.candidates(preds, gts)
+    groups = vectorise.merged_unions(found, preds, gts)
+    got = {r["gt"]: (sorted(r["preds"]), round(r["iou"], 6)) for r in groups.collect()}
+    assert got == {1: ([1, 2], 0.6), 2: ([1, 2], 1.0)}
+    ids = lambda df: df.select("scene", df["seq"].alias("id"))
+    scored = matching.merge_scored(groups, ids(preds), ids(gts), (0.5,)).collect()
+    assert [tuple(r) for r in scored] == [("s", 0.5, 1, 1, 1)]  # both labels want the same predictions: the better one gets them
