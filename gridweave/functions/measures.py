@@ -158,7 +158,12 @@ def segment_distance(x: Column, y: Column, e: Column) -> Column:
 
 def displacement(a: Column, b: Column) -> Column:
     """Mean of both directed mean distances from one ring's vertices to the other's boundary; null if a ring is empty."""
-    one = lambda u, v: F.try_divide(_total(u, lambda p: F.array_min(F.transform(edges(v), lambda e: segment_distance(p["x"], p["y"], e)))), F.size(u).cast("double"))
+
+    def one(u: Column, v: Column) -> Column:
+        nearest = lambda p, es: F.array_min(F.transform(es, lambda e: segment_distance(p["x"], p["y"], e)))
+        bound = F.transform(F.array(edges(v)), lambda es: F.try_divide(_total(u, lambda p: nearest(p, es)), F.size(u).cast("double")))  # edges are made once for all vertices
+        return F.get(bound, F.lit(0))
+
     return F.when((F.size(a) > 0) & (F.size(b) > 0), (one(a, b) + one(b, a)) / 2)
 
 

@@ -604,7 +604,7 @@ def part_scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
         return one
 
-    groups = rows.groupBy("scene")
+    groups = vectorise.by_scene(rows)
     return groups.applyInPandas(draw("prob"), f"{KEY}, interior binary, boundary binary"), groups.applyInPandas(draw("label"), f"{KEY}, v binary")
 
 

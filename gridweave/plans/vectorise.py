@@ -38,7 +38,7 @@ def prediction_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0
         cleaned = (polygons.cleaned(_mapped(r, transform), regularise=regularise, **options) for _, r in labels.traced(found))
         return _frame(records[0]["scene"], [c for c in cleaned if c], variant)
 
-    return blocks.groupBy("scene").applyInPandas(one, LAYER)
+    return by_scene(blocks).applyInPandas(one, LAYER)
 
 
 def label_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), area_least: float = 20.0) -> DataFrame:
@@ -58,7 +58,7 @@ def label_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), ar
                 found.append({"rings": rings, "area_m2": round(polygons.area(rings), 2), "perimeter_m": round(polygons.length(rings), 2), "n_vertices": len(rings[0])})
         return _frame(records[0]["scene"], found, "ground_truth")
 
-    return blocks.groupBy("scene").applyInPandas(one, LAYER)
+    return by_scene(blocks).applyInPandas(one, LAYER)
 
 
 def boxed(layer: DataFrame) -> DataFrame:
@@ -82,7 +82,8 @@ def candidates(preds: DataFrame, gts: DataFrame, cell: float = 64.0) -> DataFram
                     out.append((scene, a, b, both / (one + two - both + 1e-9), both, one, two))
             yield pd.DataFrame(out, columns=["scene", "pred", "gt", "iou", "overlap", "pred_area", "gt_area"])
 
-    return pairs.select("scene", "l_id", "r_id", "l_rings", "r_rings").mapInPandas(overlaid, "scene string, pred int, gt int, iou double, overlap double, pred_area double, gt_area double")
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not coalesced by size
+    return pairs.select("scene", "l_id", "r_id", "l_rings", "r_rings").repartition(parts, "scene", "l_id").mapInPandas(overlaid, "scene string, pred int, gt int, iou double, overlap double, pred_area double, gt_area double")
 
 
 def merged_unions(found: DataFrame, preds: DataFrame, gts: DataFrame) -> DataFrame:
@@ -104,6 +105,11 @@ def merged_unions(found: DataFrame, preds: DataFrame, gts: DataFrame) -> DataFra
     return rows.select("scene", "gt", "preds", "shapes", "gt_rings").mapInPandas(united, f"scene {kind['scene']}, gt {kind['gt']}, preds array<{kind['pred']}>, members long, iou double")
 
 
+def by_scene(blocks: DataFrame):
+    """Blocks grouped by scene, dealt to all tasks: scenes are few bytes but much work, so they aren't coalesced by size."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scene").groupBy("scene")
+
+
 def summary(layer: DataFrame) -> DataFrame:
     """Per scene: buildings, median area, mean vertices and orthogonality."""
     return layer.groupBy("scene").agg(
