@@ -110,9 +110,11 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
 def op6_typed_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and conversation -1, read back from their formatted text. Texts come as typed parts through the visitor; see format_chat() for every edge case."""
     extra = spark.sql(f"select -1L as conv_id, turn, role, '{CONTROL}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    chats = format_chat(turns)
+    part = F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), *[F.lit(None).cast(k).alias(n) for n, k in (("uri", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))])
+    chats = format_chat(turns.withColumn("parts", F.array(part)).drop("text"))
     lines = F.array_join(F.transform(parsed_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = chats.withColumn("lines", lines).withColumn("learnt", learnt_text(F.col("formatted"), F.col("loss_spans")))
     return learnt.select(

@@ -91,13 +91,13 @@ def with_next(docs: DataFrame, apply, schema: str) -> DataFrame:
     # at most one row for each range
     heads = {r["part"]: None if r["nulls"] else r["least"] for r in docs.groupBy("part").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()}
     used = sorted(heads)
-    before = {part: used[i - 1] for i, part in enumerate(used)}
-    to = F.lit(-1)
-    for part, first in heads.items():
-        to = F.when(F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), before[part]).otherwise(to)
-    known = [x for x in heads.values() if x is not None]
-    first = docs.filter((F.col("doc_id").isin(known) if known else F.lit(False)) | (F.col("doc_id").isNull() if None in heads.values() else F.lit(False)))
-    rows = docs.withColumn("after", F.lit(0)).unionByName(first.withColumn("part", to).withColumn("after", F.lit(1)))
+    size = max(used, default=0) + 1
+    least, before = [None] * size, [0] * size
+    for i, part in enumerate(used):
+        least[part], before[part] = heads[part], used[i - 1]
+    at = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("part"))
+    first = docs.filter(F.col("doc_id").eqNullSafe(at(least)))
+    rows = docs.withColumn("after", F.lit(0)).unionByName(first.withColumn("part", at(before).cast("int")).withColumn("after", F.lit(1)))
     rows = rows.repartition(parts, "part").sortWithinPartitions("part", "after", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +117,7 @@ def with_next(docs: DataFrame, apply, schema: str) -> DataFrame:
 
 
 def op5_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents and of their texts edited with the next one's. Null text is empty; a single document follows itself; order and ties: see with_next(). Long texts are hashed whole, other columns ignored, an empty table gives an empty result."""
     def compare(ids: pa.Array, texts: pa.Array, following: pa.Array) -> pa.RecordBatch:
         texts, nexts = [t or "" for t in texts.to_pylist()], [t or "" for t in following.to_pylist()]
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, nexts, strict=True)]

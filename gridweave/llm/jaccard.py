@@ -102,11 +102,11 @@ def _prefix(h: np.ndarray, bounds: np.ndarray, levels: np.ndarray, percent: int)
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal for equal sets, null if empty); and, with a block, counts of the task's shingles for the sketch."""
+    """doc_id, uid, n_shingles, set_id (equal for equal sets, null if empty); and, with a block, counts of the task's shingles for the sketch."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, any_ = np.zeros(1 << SKETCH_BITS, np.uint32), False
-        names = ["doc_id", "n_shingles", "set_id", "block", "counts"]
+        names = ["doc_id", "uid", "n_shingles", "set_id", "block", "counts"]
         for batch in batches:
             for at, to in slices(batch["text"]):
                 h, bounds = shingles(batch["text"].slice(at, to - at), n)
@@ -114,13 +114,14 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                 any_ = any_ or len(h) > 0
                 counts = np.diff(bounds)
                 none = pa.nulls(len(counts))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, to - at), pa.array(counts, pa.int64()), pa.array(set_ids(h, bounds), mask=counts == 0), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, to - at), batch["uid"].slice(at, to - at), pa.array(counts, pa.int64()), pa.array(set_ids(h, bounds), mask=counts == 0), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if any_:
             none = pa.nulls(1, pa.int64())
             for b, part in enumerate(sums.reshape(-1, 1 << BLOCK_BITS)):
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([b], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([b], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id long, block int, counts binary")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, "text").alias("uid"), "text").mapInArrow(sets, "doc_id long, uid long, n_shingles long, set_id long, block int, counts binary")
 
 
 def sketch_levels(sets: DataFrame) -> np.ndarray:
@@ -317,7 +318,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of n-word
     shingles (A-Z lower-cased; fewer words: one shingle of all). component_id is the least doc_id
-    that links lead to, itself included. Null and wordless texts have no shingles and no links.
+    that links lead to, itself included (null ids count as none, so it is null only if all are). Null and wordless texts have no shingles and no links.
     Equal sets are one vertex, so repeated rows and copies never form pairs. An empty table gives an
     empty result; other columns are ignored. percent is 75 or more.
     """
@@ -326,15 +327,16 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
     spark = docs.sparkSession
     small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
     sets = written(shingle_sets(docs, n))
     levels = spark.sparkContext.broadcast(sketch_levels(sets))
-    sets = sets.filter("block is null").select("doc_id", "n_shingles", "set_id")
+    sets = sets.filter("block is null").select("doc_id", "uid", "n_shingles", "set_id")
     held = sets.filter(F.col("set_id").isNotNull())
     regions = components(stars(docs, n, percent, levels))
     levels.unpersist()
-    least = held.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    regions = written(regions.select(F.col("v").alias("set_id"), F.col("root").alias("cell")).join(least, "set_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    least = held.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"))
+    regions = written(regions.select(F.col("v").alias("set_id"), F.col("root").alias("cell")).join(least.select("set_id", "uid"), "set_id"))
+    texts = docs.select("uid", "text")
     large = regions.groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > region_most)
     large = written(large)
     linked = _small_links(regions, large, texts, n, percent, partitions)
@@ -343,6 +345,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
         hot = components(_large_links(regions, large, texts, n, percent, region_most, partitions))
         linked = linked.unionByName(hot.select(F.col("v").alias("a"), F.col("root").alias("b")))
     linked = written(linked)
+    linked = linked.groupBy("a").agg(F.min("b").alias("b"))  # a row repeated whole gives its set twice
     heads = least.join(linked, least["set_id"] == linked["a"], "left").select(least["set_id"], F.coalesce("b", least["set_id"]).alias("head"), "doc_id")
     named = heads.groupBy("head").agg(F.min("doc_id").alias("component_id"))
     named = heads.join(named, "head").select(F.col("set_id"), "component_id")
@@ -352,7 +355,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
 
 
 def _small_links(regions: DataFrame, large: DataFrame, texts: DataFrame, n: int, percent: int, partitions: int) -> DataFrame:
-    small = texts.join(regions.join(large, "cell", "left_anti").hint("merge"), "doc_id").select("cell", "set_id", "text")
+    small = texts.join(regions.join(large, "cell", "left_anti").hint("merge"), "uid").select("cell", "set_id", "text")
     return _sorted_cells(small, partitions).mapInArrow(_cells(n, percent), "a long, b long")
 
 
@@ -362,7 +365,7 @@ PIVOTS, SHRINKS, SPREADS = 64, 0.75, 3
 
 def _large_links(regions: DataFrame, large: DataFrame, texts: DataFrame, n: int, percent: int, region_most: int, partitions: int) -> DataFrame:
     """Links of the large regions: divided by exact counts, then cell after cell around pivots."""
-    members = written(texts.join(regions.join(large, "cell").hint("merge"), "doc_id").select("cell", "set_id", "text"))
+    members = written(texts.join(regions.join(large, "cell").hint("merge"), "uid").select("cell", "set_id", "text").dropDuplicates(["set_id"]))
     texts = members.select("set_id", "text")
     cells = components(_counted_stars(members, n, percent)).select(F.col("v").alias("set_id"), F.col("root").alias("cell"))
     links = None
@@ -444,4 +447,5 @@ def _blocks(cells: DataFrame, region_most: int) -> DataFrame:
 
 
 def op4_voronoi_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 3-word shingles at 90 percent. See near_components() for every edge case; long texts are taken whole."""
     return near_components(table(spark, sf_dir, "documents"), n=3, percent=90)

@@ -126,8 +126,8 @@ def learn(docs: DataFrame, most_docs: int = MOST_DOCS, most_symbols: int = MOST_
     return Automata(samples, most_symbols)
 
 
-def predict(docs: DataFrame, automata: Automata) -> DataFrame:
-    """All columns of docs, lang_pred, score. A null text, one without a letter, or no learnt language gives und and 0.
+def predict(docs: DataFrame, automata: Automata, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, and lang_pred and score under the names in into, which replace columns of these names. A null text, one without a letter, or no learnt language gives und and 0.
 
     score is 1 less the ratio of the winner's normalised phrases to those of the second: 0 on a
     tie (the first language by name wins), 1 if only one language is known. Whole texts are
@@ -152,11 +152,11 @@ def predict(docs: DataFrame, automata: Automata) -> DataFrame:
                 preds += p
                 scores += s
                 at = to
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*names, *into])
 
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*into)
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())])
     return docs.mapInArrow(label, schema)
 
 
@@ -187,6 +187,7 @@ def _judged(model: Automata, texts: list[str]) -> tuple[list[str], list[float]]:
 
 
 def op8_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents, learnt from those whose crc32(doc_id) mod 4 isn't 2. See predict() and learn() for every edge case; repeated rows get equal answers."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2)
     automata = learn(docs.filter(~F.col("held_out")))
     return predict(docs.select("doc_id", "held_out", "text"), automata).drop("text")

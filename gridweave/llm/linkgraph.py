@@ -8,7 +8,7 @@ doesn't decide is left to the graph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm.shared import dropped, table, written
@@ -29,8 +29,8 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """pages (host, path, ...) with rule and rule_verdict: the longest rule (host, path, verdict) that fits.
+def matched(pages: DataFrame, rules: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """pages (host, path, ...) with rule and rule_verdict: the longest rule (host, path, verdict) that fits; and with the columns of scores (host, ...).
 
     A rule fits its host and all subdomains if the path starts with the rule's. Hosts are looked up
     by their suffixes, distinct hosts only, so the rules may be many; of two equal rules block wins.
@@ -40,6 +40,7 @@ def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     kept = rules.select(F.col("host").alias("suffix"), F.struct(F.length(F.concat("host", "path")).alias("size"), F.col("verdict"), F.concat("host", "path").alias("rule"), F.col("path").alias("start")).alias("one"))
     fits = hosts.withColumn("suffix", suffix).join(kept, "suffix").groupBy("host").agg(F.collect_list("one").alias("rules"))
+    fits = fits if scores is None else fits.join(scores, "host", "full")
     best = F.array_max(F.filter("rules", lambda r: F.startswith("path", r["start"])))
     return pages.join(fits, "host", "left").withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.verdict")).drop("rules", "best")
 
@@ -50,9 +51,9 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
     score = (1 - damping) * seed + damping * sum of shares of the neighbours' scores, trust along
     links, distrust against them; repeated until nothing changes by more than close.
     """
-    edges = edges.filter("src <> dst and src <> ''")
-    out, into = Window.partitionBy("src"), Window.partitionBy("dst")
-    edges = edges.withColumn("forth", F.col("links") / F.sum("links").over(out)).withColumn("back", F.col("links") / F.sum("links").over(into))
+    edges = edges.filter("src <> dst and src <> '' and dst <> ''")
+    out, into = (edges.groupBy(side).agg(F.sum("links").alias(f"of_{side}")) for side in ("src", "dst"))
+    edges = edges.join(out.hint("merge"), "src").join(into.hint("merge"), "dst").withColumn("forth", F.col("links") / F.col("of_src")).withColumn("back", F.col("links") / F.col("of_dst"))
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), F.col("forth").alias("part")).unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), F.col("back").alias("part"))
     )
@@ -74,11 +75,20 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
     return scores.groupBy("host").agg(sums["trust"], sums["distrust"])
 
 
-def judged(pages: DataFrame, rules: DataFrame, least: float = LEAST) -> DataFrame:
+def family(parsed: DataFrame) -> DataFrame:
+    """(src, dst) both ways between each host and the host it is directly a subdomain of, if both have pages."""
+    hosts = parsed.select("host").distinct()
+    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst")).filter("dst <> ''")
+    kin = up.join(hosts.select(F.col("host").alias("dst")), "dst").select("src", "dst")
+    return kin.unionByName(kin.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def judged(pages: DataFrame, rules: DataFrame, least: float = LEAST, families: bool = True) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every row of pages (page_id, url, html).
 
     The verdict is that of the longest rule that fits, or the graph's: block if the host's distrust
-    is above its trust and above least, else allow. A host's seeds are the shares of its pages that
+    is above its trust and above least, else allow. Edges are the links between hosts, and with families
+    one link each way between a host and the host it is a subdomain of, where both have pages. A host's seeds are the shares of its pages that
     rules allow and block. A null url, or one without ://, has an empty host and path, no links, and is allowed;
     null html has no links; repeated rows count as pages. An empty table gives an empty result.
     """
@@ -87,10 +97,11 @@ def judged(pages: DataFrame, rules: DataFrame, least: float = LEAST) -> DataFram
     share = lambda v: (F.count_if(F.col("rule_verdict") == v) / F.count("*"))
     seeds = ruled.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")).filter("trust > 0 or distrust > 0")
     links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("dst"))
+    links = links.unionByName(family(parsed)) if families else links
     edges = links.groupBy("src", F.translate("dst", UPPER, LOWER).alias("dst")).agg(F.count("*").alias("links"))
     scores = propagated(seeds, edges)
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
-    out = ruled.join(scores, "host", "left")
+    out = matched(parsed, rules, scores)  # one join of pages for both, so that a hot host can be split
     graph = F.when(bad & (F.col("host") != ""), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", graph).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
@@ -100,4 +111,5 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by the contract's rules and the graph. See judged() for every edge case; long pages are searched whole."""
     return judged(table(spark, sf_dir, "pages"), spark.sql("select * from values " + ", ".join(map(str, RULES)) + " as t(host, path, verdict)")).drop("trust", "distrust")

@@ -164,6 +164,7 @@ def audio_columns(docs: DataFrame) -> DataFrame:
 
 
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the stored audio of all documents and its features. See audio_columns() for every edge case; long texts are computed in blocks, an empty table gives an empty result."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []

@@ -58,23 +58,27 @@ def _prefix(rows: DataFrame, group: list[str], bucket: list[str], order: list[st
     return rows.withColumn("run", F.sum("size").over(inside)).join(totals, keys).withColumn("cum", F.col("before") + F.col("run")).drop("before", "run")
 
 
-def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0) -> DataFrame:
+def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, key: str | None = None) -> DataFrame:
     """doc_id, copy_no, size, source_size, target, taken of every row of docs (doc_id, source, text).
 
     taken: words the mix takes of the row, a multiple of size up to ceil(cap) times. A null text
     has size 0; a null source is a source of its own, the last. Repeated doc_ids are rows of their
     own, told apart by copy_no. An empty table gives an empty result. Other columns are ignored.
     Reruns agree: the order within a source is that of an md5 of doc_id, copy_no, epoch and seed.
+    key: a long column that tells all rows apart; it becomes copy_no, and the order is then that of an
+    md5 of the row's values, so it doesn't depend on key but among equal rows.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = written(sized.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size"))))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.col(key).alias("copy_no"), F.xxhash64("doc_id", "source", "text").alias("name")] if key else []))
+    if not key:
+        sized = sized.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size"))).withColumn("name", F.col("copy_no"))
+    sized = written(sized)
     targets = written(source_targets(sized, weights, share, cap), 1)
     sums = targets.agg(F.sum("rows"), F.sum("source_size")).first()
     rows, budget = (sums[0] or 0), (sums[1] or 0) * float(share)
     epochs = math.ceil(cap)
     buckets = max(1, math.isqrt(rows * epochs))
     sized = sized.join(targets.drop("rows"), sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy_no", "epoch", F.lit(str(seed))))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "name", "epoch", F.lit(str(seed))))
     copies = (
         sized.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         .withColumn("h", key)
@@ -92,6 +96,7 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
 
 
 def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents by source takes of each. See fair_mix() for every edge case; texts are only counted, so long ones are no case of their own."""
     return fair_mix(table(spark, sf_dir, "documents")).drop("copy_no")
 
 

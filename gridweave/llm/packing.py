@@ -226,4 +226,5 @@ def pack(pieces: DataFrame, max_len: int = 1024) -> DataFrame:
 
 
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces with their place in sequences. See token_pieces() and pack() for every edge case; long texts are encoded whole, null ids are documents like others, other columns are ignored."""
     return pack(token_pieces(table(spark, sf_dir, "documents")))

@@ -38,6 +38,8 @@ WIDTH = 43
 #: Bytes of a text that are looked at at a time.
 BLOCK = 1 << 22
 _AT = np.uint64((1 << 24) - 1)
+#: Names that no column of a caller has.
+_UID, _MARKS = "gridweave uid", "gridweave marks"
 
 
 def segments(data: np.ndarray, starts: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -245,8 +247,8 @@ def _bodies(length: int):
     return fetch
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """All columns of docs, and spans: (start, stop) of the maximal byte runs that repeat, in order.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, into: str = "spans") -> DataFrame:
+    """All columns of docs, and into (which replaces a column of that name): (start, stop) of the maximal byte runs that repeat, in order.
 
     A byte repeats if a string of length bytes that covers it also starts anywhere else in the
     UTF-8 bytes of any text, the same included; overlaps count, and no string crosses texts.
@@ -258,8 +260,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spark = docs.sparkSession
     small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    names = docs.columns
-    docs = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    rows = docs.drop(into).withColumn(_UID, F.xxhash64("doc_id", "text"))
+    names = rows.columns[:-1]
+    docs = rows.select("doc_id", "text", F.col(_UID).alias("uid"))
     found = occurrences(docs, length, gram)
     shared = written(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))  # written: else the join can't split a hot gram
     # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
@@ -281,8 +284,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     whole = whole.unionByName(again)
     marks = written(whole.unionByName(indexed))
     marks = marks.groupBy("uid").agg(F.collect_set(F.struct("first", "windows")).alias("marks"))
-    joined = docs.join(marks.hint("merge"), "uid", "left").select(*names, "marks")
-    return joined.mapInArrow(_merged(length, names), T.StructType([*docs.schema.fields[:-1], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))]))
+    joined = rows.join(marks.select(F.col("uid").alias(_UID), F.col("marks").alias(_MARKS)).hint("merge"), _UID, "left").select(*names, _MARKS)
+    return joined.mapInArrow(_merged(length, names, into), T.StructType([*rows.schema.fields[:-1], T.StructField(into, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))]))
 
 
 def _open(kinds: DataFrame) -> DataFrame:
@@ -290,13 +293,13 @@ def _open(kinds: DataFrame) -> DataFrame:
     return kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1").select("gram")
 
 
-def _merged(length: int, names: list[str]):
+def _merged(length: int, names: list[str], into: str):
     """mapInArrow: marks (first, windows) of each row to the byte spans they cover."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
         for batch in batches:
-            marks = batch["marks"].fill_null([]) if batch["marks"].null_count else batch["marks"]
+            marks = batch[_MARKS].fill_null([]) if batch[_MARKS].null_count else batch[_MARKS]
             flat = marks.flatten()
             row = np.repeat(np.arange(len(batch)), np.diff(marks.offsets.to_numpy()))
             first = flat.field("first").to_numpy()
@@ -313,7 +316,7 @@ def _merged(length: int, names: list[str]):
                 row, first, stop = row[heads], first[heads], reach[last]
             offsets = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
             spans = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(first.astype(np.int64)), pa.array(stop.astype(np.int64))], fields=list(kind)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], spans], [*names, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], spans], [*names, into])
 
     return merge
 
@@ -329,6 +332,7 @@ def kept_bytes(text: str | None, spans: list[dict]) -> bytes:
 
 
 def op3_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of all documents without their repeated 200-byte strings. See repeated_spans() for every edge case; a null id is a document like others."""
     spanned = repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

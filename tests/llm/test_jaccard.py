@@ -125,3 +125,11 @@ def test_common_lines_chain_no_region(spark):
     assert max(r["count"] for r in found) <= 8
     got = jaccard.near_components(frame, 2, 80, 4).collect()
     assert sorted(map(tuple, got)) == brute(rows, 2, 80)
+
+
+def test_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*words[:k], f"x{k}", *words[k + 1 :]])
+    rows = [(1, near(0)), (None, " ".join(words)), (2, near(59)), (2, near(59)), (None, "alone in the world"), (None, None)]
+    got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 96).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (0, 3, 0), (0, 59, 1), (1, 59, 1), (2, 59, 1), (2, 59, 1)]

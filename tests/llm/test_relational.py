@@ -138,6 +138,11 @@ def brute_graph(pages, rules, least=linkgraph.LEAST):
         s[1] += best is not None and best[1] == "allow"
         s[2] += best is not None and best[1] == "block"
     edges = Counter((h, d.lower()) for _, h, _, html in parsed for d in re.findall(linkgraph.LINK, html or "") if h and d.lower() != h)
+    for h in {p[1] for p in parsed}:
+        up = h.partition(".")[2]
+        if up and h.partition(".")[0] and up in {p[1] for p in parsed}:
+            edges[h, up] += 1
+            edges[up, h] += 1
     hosts = set(share) | {h for e in edges for h in e}
     own = {h: tuple(0.15 * x / share[h][0] for x in share[h][1:]) if h in share else (0, 0) for h in hosts}
     score = dict(own)

@@ -12,6 +12,22 @@ from gridweave.llm import suffixes
 SCHEMA = "doc_id long, text string, spans int"
 
 
+def test_clashing_names(spark):
+    rows = [(1, "x" * 90, 7, 8, 9), (None, "y" * 30, 7, 8, 9), (2, None, 7, 8, 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, uid long, marks long, spans long")
+    got = suffixes.repeated_spans(frame, 40, 8)
+    assert got.columns == ["doc_id", "text", "uid", "marks", "spans"]
+    assert sorted((r["doc_id"] or 0, r["uid"], r["marks"], len(r["spans"])) for r in got.collect()) == [(0, 7, 8, 0), (1, 7, 8, 1), (2, 7, 8, 0)]
+    kept = suffixes.repeated_spans(frame, 40, 8, into="found")
+    assert sorted(r["spans"] for r in kept.collect()) == [9, 9, 9]
+
+
+def test_query_by_brute_force(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = suffixes.op3_run_index(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, got)) == brute(rows, 200)
+
+
 def brute(rows, length):
     seen = {}
     for _, text, *_ in rows:
