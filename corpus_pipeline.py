@@ -24,28 +24,50 @@ from gridweave.llm.suffixes import repeated_spans
 WORDS, PERCENT, SHARE = 5, 80, 0.9
 
 
+#: Names of what stages add for their own use; no column of documents has them.
+ROW, LANG, SCORE, SPANS = "gridweave row", "gridweave lang", "gridweave score", "gridweave spans"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs as a table of its own, with a number for every row, since ids may be null or repeat."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language (no text, or no letter); a missing lang becomes the predicted one."""
-    named = predict(docs, learn(docs)).filter("lang_pred <> 'und'")
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Drops documents in no language (no text, or no letter); a missing lang becomes the predicted one.
+
+    Equal texts get equal answers, ids don't matter, an empty table stays empty, long texts are parsed
+    whole and other columns are kept, whatever their names.
+    """
+    named = predict(docs, learn(docs), (LANG, SCORE)).filter(F.col(LANG) != "und")
+    return named.withColumn("lang", F.coalesce("lang", F.col(LANG))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near copies; documents without an id or words are in no group."""
-    found = near_components(docs, WORDS, PERCENT)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["kept_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    """Keeps one row of each group of near copies: that of the least doc_id, null last; of repeated rows one.
+
+    Rows without words are in no group and stay. An empty table stays empty; other columns are kept.
+    """
+    rows = numbered(docs)
+    found = near_components(rows.select(F.col(ROW).alias("doc_id"), "text"), WORDS, PERCENT).select(F.col("doc_id").alias(ROW), "component_id")
+    groups = rows.select(ROW, "doc_id").join(found.hint("merge"), ROW).groupBy("component_id")
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))).alias("first")).select(F.col("first.row").alias(ROW))
+    return rows.join(first.hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every long byte string that repeats, by whole characters; a document that is nothing else goes."""
+    """Cuts every long byte string that repeats, by whole characters; a document that is nothing else goes.
+
+    Null and short texts stay as they are, ids don't matter, repeated rows are cut whole and go, an
+    empty table stays empty, other columns are kept. n_chars, if there is one, is counted anew.
+    """
 
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keep = [], []
-            for text, spans in zip(batch["text"], batch["spans"].to_pylist(), strict=True):
+            for text, spans in zip(batch["text"], batch[SPANS].to_pylist(), strict=True):
                 text = text.as_py()
                 if spans:
                     body, at, out = text.encode(), 0, []
@@ -63,18 +85,23 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
             columns = [pa.array(texts, pa.string()) if n == "text" else batch[n] for n in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep, pa.bool_()))
 
-    out = repeated_spans(docs).mapInArrow(cut, docs.schema)
+    out = repeated_spans(docs, into=SPANS).mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what a mix of SHARE of all words by source takes, each document at most once."""
-    taken = fair_mix(docs, share=SHARE, cap=1.0).filter("taken > 0").select(F.col("doc_id").alias("taken_id")).distinct()
-    return docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["taken_id"]), "left_semi")
+    """Keeps what a mix of SHARE of all words by source takes, each row at most once.
+
+    Null and repeated ids are rows like others, a null source is a source of its own, rows without
+    words take no share and go, an empty table stays empty, other columns are kept.
+    """
+    rows = numbered(docs)
+    taken = fair_mix(rows, share=SHARE, cap=1.0, key=ROW).filter("taken > 0").select(F.col("copy_no").alias(ROW))
+    return rows.join(taken.hint("merge"), ROW, "left_semi").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their sequence and offset. Null texts are empty, repeated rows pieces of their own; see token_pieces() and pack()."""
     return pack(token_pieces(docs))
 
 
