@@ -40,7 +40,7 @@ def matched(pages: DataFrame, rules: DataFrame, scores: DataFrame | None = None)
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     kept = rules.select(F.col("host").alias("suffix"), F.struct(F.length(F.concat("host", "path")).alias("size"), F.col("verdict"), F.concat("host", "path").alias("rule"), F.col("path").alias("start")).alias("one"))
     fits = hosts.withColumn("suffix", suffix).join(kept, "suffix").groupBy("host").agg(F.collect_list("one").alias("rules"))
-    fits = fits if scores is None else fits.join(scores, "host", "full")
+    fits = fits if scores is None else written(fits.join(scores, "host", "full"))  # written: else the join can't split a hot host
     best = F.array_max(F.filter("rules", lambda r: F.startswith("path", r["start"])))
     return pages.join(fits, "host", "left").withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.verdict")).drop("rules", "best")
 
