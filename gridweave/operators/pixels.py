@@ -28,7 +28,11 @@ def summarised(counts: DataFrame, group: str) -> DataFrame:
 
 def histogram(cells: DataFrame, group: str) -> DataFrame:
     """grp, bin, pos, neg: all 256 bins of every group and of ALL."""
-    counts = cells.groupBy(group, "byte").agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
+    return binned(cells.groupBy(group, "byte").agg(F.count_if("truth").alias("pos"), F.count_if(~F.col("truth")).alias("neg")), group)
+
+
+def binned(counts: DataFrame, group: str) -> DataFrame:
+    """histogram() of counts (group, byte, pos, neg)."""
     twice = counts.select(F.explode(F.array(F.col(group), F.lit(ALL))).alias("grp"), "byte", "pos", "neg")
     merged = twice.groupBy("grp", F.col("byte").alias("bin")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     bins = merged.select("grp").distinct().select("grp", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin"))

@@ -7,9 +7,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gridweave.operators.raster import taper
-from gridweave.sources.blocks import KEY, from_rows, to_rows
+from gridweave.operators import tiles
+from gridweave.operators.raster import taper, window_starts
+from gridweave.sources.blocks import KEY, SIZE
 
 #: A scorer takes chips (n x h x w x 3 bytes) and gives interior and boundary probabilities (n x 2 x h x w).
 Scorer = Callable[[np.ndarray], np.ndarray]
@@ -53,14 +55,41 @@ def scene_probabilities(image: np.ndarray, scorer: Scorer, tile: int = 512, over
     return np.rint(np.clip(total / np.maximum(seen, 1e-6), 0, 1) * 255).astype(np.uint8)[:, :h, :w]
 
 
-def scored_blocks(images: DataFrame, scorer: Scorer, **options) -> DataFrame:
-    """Blocks with interior and boundary from image blocks with r, g and b; a scene is one task's input."""
+def scored_blocks(images: DataFrame, scorer: Scorer, tile: int = 512, overlap: int = 128, views: int = 8, symmetric: bool = True, size: int = SIZE) -> DataFrame:
+    """Blocks (size x size) with interior and boundary from image blocks with r, g and b: what scene_probabilities() gives for the whole scene.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        records = rows.to_dict("records")
-        image = np.stack([from_rows(records, b) for b in "rgb"], 2)
-        interior, boundary = scene_probabilities(image, scorer, **options)
-        out = to_rows(records[0]["scene"], max(r["h"] for r in records), interior=interior, boundary=boundary)
-        return pd.DataFrame(out, columns=["scene", "row0", "col0", "h", "w", "interior", "boundary"])
+    A window is one task's input, then the few windows that meet a block: scenes may be of any size.
+    """
+    sizes = images.groupBy("scene").agg(F.max(F.col("row0") + F.col("h")).alias("height"), F.max(F.col("col0") + F.col("w")).alias("width"))
+    meets = lambda total, start, length: F.filter(window_starts(F.col(total), tile, tile - overlap), lambda s: (s < F.col(start) + F.col(length)) & (s + tile > F.col(start)))
+    targets = tiles.windows(meets("height", "row0", "h"), meets("width", "col0", "w"), tile, tile)
+    bands = lambda row: [np.frombuffer(row[b], np.uint8).reshape(row["h"], row["w"]) for b in "rgb"]
+    chips = tiles.dealt(images.join(sizes, "scene"), targets, bands, list("rgb"), {"height": "int", "width": "int"})
+    edge = taper(tile, overlap // 2, symmetric)
+    weight = np.outer(edge, edge)
 
-    return images.groupBy("scene").applyInPandas(one, f"{KEY}, interior binary, boundary binary")
+    def score(pieces: pd.DataFrame) -> pd.DataFrame:
+        scene, top, left, height, width = pieces[["scene", "top", "left", "height", "width"]].iloc[0]
+        p = viewed(np.stack([tiles.assembled(pieces, b) for b in "rgb"], 2)[None], scorer, views)[0]
+        out = []
+        for r in range(top // size * size, min(top + tile, height), size):
+            for c in range(left // size * size, min(left + tile, width), size):
+                a, b, z, y = max(r, top), max(c, left), min(r + size, top + tile, height), min(c + size, left + tile, width)
+                part = np.ascontiguousarray(p[:, a - top : z - top, b - left : y - left])
+                out.append((scene, r, c, min(size, height - r), min(size, width - c), top, left, a, b, z, y, part.dtype.str, part.tobytes()))
+        return pd.DataFrame(out, columns=names)
+
+    names = ["scene", "row0", "col0", "h", "w", "top", "left", "r0", "c0", "r1", "c1", "kind", "p"]
+
+    def blend(parts: pd.DataFrame) -> pd.DataFrame:
+        scene, row0, col0, h, w = parts[names[:5]].iloc[0]
+        total, seen = np.zeros((2, h, w)), np.zeros((h, w))
+        for _, _, _, _, _, top, left, a, b, z, y, kind, data in parts.sort_values(["top", "left"]).itertuples(index=False):
+            p, by = np.frombuffer(data, kind).reshape(2, z - a, y - b), weight[a - top : z - top, b - left : y - left]
+            total[:, a - row0 : z - row0, b - col0 : y - col0] += p * by
+            seen[a - row0 : z - row0, b - col0 : y - col0] += by
+        planes = np.rint(np.clip(total / np.maximum(seen, 1e-6), 0, 1) * 255).astype(np.uint8)
+        return pd.DataFrame([(scene, row0, col0, h, w, planes[0].tobytes(), planes[1].tobytes())], columns=[*names[:5], "interior", "boundary"])
+
+    scored = chips.groupBy("scene", "top", "left").applyInPandas(score, f"{KEY}, top int, left int, r0 int, c0 int, r1 int, c1 int, kind string, p binary")
+    return scored.groupBy("scene", "row0", "col0").applyInPandas(blend, f"{KEY}, interior binary, boundary binary")

@@ -61,6 +61,21 @@ def label_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), ar
     return by_scene(blocks).applyInPandas(one, LAYER)
 
 
+def simplified_layer(layer: DataFrame, tolerance: float) -> DataFrame:
+    """scene, rings of a layer after simplification; polygons that it leaves nothing of are dropped."""
+
+    def simplify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for scene, rings in zip(rows["scene"], rows["rings"], strict=True):
+                found = polygons.simplified([np.array([[p["x"], p["y"]] for p in r]) for r in rings], tolerance)
+                if found is not None and len(found) and len(found[0]) > 2:
+                    out.append((scene, [[{"x": float(x), "y": float(y)} for x, y in r] for r in found]))
+            yield pd.DataFrame(out, columns=["scene", "rings"])
+
+    return layer.select("scene", "rings").filter(F.col("rings").isNotNull()).mapInPandas(simplify, "scene string, rings array<array<struct<x:double,y:double>>>")
+
+
 def boxed(layer: DataFrame) -> DataFrame:
     """scene, id, rings and the box of each polygon."""
     shell = F.get("rings", F.lit(0))

@@ -234,3 +234,36 @@ def test_merge_tolerant_unions(spark):
     ids = lambda df: df.select("scene", df["seq"].alias("id"))
     scored = matching.merge_scored(groups, ids(preds), ids(gts), (0.5,)).collect()
     assert [tuple(r) for r in scored] == [("s", 0.5, 1, 1, 1)]  # both labels want the same predictions: the better one gets them
+
+
+def test_block_kernels_equal_cells(spark):
+    from gridweave.operators import tiles
+
+    rng = np.random.default_rng(5)
+    byte = np.repeat(np.repeat(rng.integers(0, 256, (14, 17)), 8, 0), 8, 1)[:110, :133].astype(np.uint8)
+    truth = np.where(np.roll(byte, 3, 1) > 120, 255, 0).astype(np.uint8)
+    prob = blocks.block_table(spark, blocks.to_rows("a", 32, interior=byte, boundary=byte), "interior", "boundary")
+    label = blocks.block_table(spark, blocks.to_rows("a", 32, v=truth), "v")
+    for size in (48, 512):
+        got = {r["d"]: (r["tp"], r["fp"], r["fn"]) for r in tiles.band_counts(prob, label, (1, 3, 5), size=size).collect()}
+        for d in (1, 3, 5):
+            p, t = byte >= 128, truth > 127
+            bp, bt = p & ~labels.eroded(p, raster.ellipse(d)), t & ~labels.eroded(t, raster.ellipse(d))
+            assert got[d] == ((bp & bt).sum(), (bp & ~bt).sum(), (bt & ~bp).sum())
+    bytes_ = tiles.graded_bytes(prob, label)
+    assert {(r["byte"], r["pos"]) for r in bytes_.collect() if r["pos"]} == set(zip(*(x.tolist() for x in np.unique(byte[truth > 127], return_counts=True)), strict=True))
+    counts = tiles.confusion_of(bytes_, "scene").first()
+    assert counts["tp"] == (p & t).sum() and counts["tn"] == (~p & ~t).sum()
+    small = blocks.block_table(spark, blocks.to_rows("a", 32, v=truth[:100]), "v")
+    with pytest.raises(Exception, match="differ in size"):
+        tiles.graded_bytes(prob, small).collect()
+
+
+def test_windows_of_large_scenes(spark):
+    image = np.random.default_rng(1).integers(0, 255, (70, 90, 3)).astype(np.uint8)
+    table = blocks.block_table(spark, blocks.to_rows("s", 25, r=image[..., 0], g=image[..., 1], b=image[..., 2]), "r", "g", "b")
+    out = scoring.scored_blocks(table, scoring.excess_green_scorer, tile=32, overlap=8, size=40).collect()
+    want = scoring.scene_probabilities(image, scoring.excess_green_scorer, 32, 8)
+    for band, plane in zip(("interior", "boundary"), want, strict=True):
+        assert (blocks.from_rows([r.asDict() for r in out], band) == plane).all()
+    assert len(out) == 6
