@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.measures import focal, tversky_index
+from gridweave.operators.ordering import numbered
 
 
 def upserted(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -52,8 +53,7 @@ def running_best(rows: DataFrame, group: str, order: str, value: str) -> DataFra
 
 def round_robin(rows: DataFrame, group: str, order: str) -> DataFrame:
     """With turn: rows taken from the groups in turns, groups by name."""
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    return rows.withColumn("turn", F.row_number().over(Window.orderBy("nth", group)))
+    return numbered(rows.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(order))), "nth", group, into="turn")
 
 
 def soft_dice(p: Column, y: Column) -> Column:

@@ -84,6 +84,30 @@ def top_window(pooled: DataFrame) -> DataFrame:
     return pooled.filter("mean > 0").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
+def densest_window(pooled: DataFrame, side: int) -> DataFrame:
+    """scene, row, col, mean of the side x side window of pooled cells of the highest mean above 0, the first by row and column on a tie.
+
+    Windows start at every half side and end before the last cell; cells that aren't there count as 0.
+    Each cell goes to the at most nine windows that hold it, in one aggregation.
+    """
+    step = max(1, side // 2)
+    sizes = pooled.groupBy("scene").agg(F.max("row").alias("bottom"), F.max("col").alias("right"))
+
+    def starts(at: str, end: str) -> Column:
+        least = F.greatest(F.lit(0), F.ceil((F.col(at) - side + 1) / step).cast("int"))
+        every = F.transform(F.sequence(least, F.floor(F.col(at) / step).cast("int")), lambda k: k * step)
+        return F.filter(every, lambda s: (s == 0) | (s < F.col(end) + 1 - side))
+
+    held = pooled.join(sizes, "scene").select("scene", "mean", F.explode(starts("row", "bottom")).alias("row"), "col", "right").select("scene", "mean", "row", F.explode(starts("col", "right")).alias("col"))
+    return top_window(held.groupBy("scene", "row", "col").agg(F.round(F.sum("mean") / (side * side), 9).alias("mean")))
+
+
+def visible(ring: Column, top: Column, left: Column, size: int) -> Column:
+    """Whether a ring's box, in pixels, meets the crop of size x size at top, left."""
+    side = lambda f, k: f(F.transform(ring, lambda p: p[k]))
+    return (side(F.array_max, "x") >= left) & (side(F.array_min, "x") <= left + size) & (side(F.array_max, "y") >= top) & (side(F.array_min, "y") <= top + size)
+
+
 def window_starts(total: Column, tile: int, stride: int) -> Column:
     """Starts of windows along an axis: regular ones, and one flush with the end if they don't reach it; 0 if one window covers all."""
     regular = F.sequence(F.lit(0), F.greatest(total - tile, F.lit(0)), F.lit(stride))

@@ -49,3 +49,8 @@ def mode_settings(config: dict[str, Any]) -> dict[str, Any]:
 def validation_scenes(settings: dict[str, Any], first: int = 31, last: int = 36) -> list[tuple[str, str]]:
     """(scene, city) of the validation split: the numbered scenes of every training city."""
     return [(f"{city}{i}", city) for city in settings["train_cities"] for i in range(first, last + 1)]
+
+
+def snapshot(config: dict[str, Any], path: str | Path) -> None:
+    """Writes the resolved configuration of a run, with its overrides, so that load() gives it again."""
+    Path(path).write_text(yaml.safe_dump(config, sort_keys=False, allow_unicode=True))

@@ -7,7 +7,7 @@ import struct
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,12 @@ def from_wkb(data: bytes) -> list[np.ndarray]:
     return rings
 
 
+def is_polygon(geometry: Column) -> Column:
+    """Whether WKB, in either byte order, is there and a polygon."""
+    kind = F.hex(F.substring(geometry, 1, 5))
+    return F.coalesce(kind.isin("0103000000", "0000000003"), F.lit(False))
+
+
 def write_layer(layer: DataFrame, path: str) -> None:
     """Parquet by scene, with the geometry as WKB next to the rings."""
     wkb = F.udf(to_wkb, "binary")

@@ -267,3 +267,106 @@ def test_windows_of_large_scenes(spark):
     for band, plane in zip(("interior", "boundary"), want, strict=True):
         assert (blocks.from_rows([r.asDict() for r in out], band) == plane).all()
     assert len(out) == 6
+
+
+def test_geotiff(spark, tmp_path):
+    from gridweave.sources import geotiff
+
+    rng = np.random.default_rng(2)
+    planes = np.repeat(rng.integers(0, 255, (70, 20, 2)), 3, 1).astype(np.uint8)
+    affine = (0.3, 0.0, 500000.0, 0.0, -0.3, 4000000.0)
+    (tmp_path / "b_prob.tif").write_bytes(geotiff.encoded(planes, affine, 32))
+    (tmp_path / "a_prob.tif").write_bytes(geotiff.encoded(planes[:9, :9], None, 4))
+    rows = geotiff.read_geotiff(spark, str(tmp_path), ("interior", "boundary"), "_prob.tif", 32).collect()
+    for scene, part in (("a", planes[:9, :9]), ("b", planes)):
+        mine = [r.asDict() for r in rows if r["scene"] == scene]
+        for i, band in enumerate(("interior", "boundary")):
+            assert (blocks.from_rows(mine, band) == part[..., i]).all()
+        assert mine[0]["affine"] == (list(affine) if scene == "b" else None)
+    assert [r[0] for r in blocks.scenes_of(spark, str(tmp_path)).collect()] == ["a", "b"]
+    with pytest.raises(ValueError, match="TIFF"):
+        geotiff.tags(b"GIF89a__")
+
+
+def test_lzw_decoding():
+    from gridweave.sources import geotiff
+
+    def packed(data: bytes) -> bytes:  # a plain encoder: codes grow one entry early, a clear code before the table is full
+        known, width, bits = {bytes([i]): i for i in range(256)}, 9, "100000000"
+        size, word = 258, b""
+        for value in data:
+            longer = word + bytes([value])
+            if longer in known:
+                word = longer
+                continue
+            bits += format(known[word], f"0{width}b")
+            known[longer] = size
+            size += 1
+            if size == 4094:
+                bits += format(256, f"0{width}b")
+                known, size = {bytes([i]): i for i in range(256)}, 258
+            width = max(9, (size + 1 - 1).bit_length())
+            word = bytes([value])
+        bits += format(known[word], f"0{width}b")
+        size += 1
+        bits += format(257, f"0{max(9, size.bit_length())}b")
+        return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+    for data in (b"aaaaaaa", bytes(range(256)) * 3, np.random.default_rng(3).integers(0, 9, 30000).astype(np.uint8).tobytes()):
+        assert geotiff.unpacked(packed(data), geotiff.LZW) == data
+
+
+def test_ordering(spark):
+    from gridweave.operators import ordering
+
+    rows = spark.range(1000).withColumn("k", F.col("id") * 7 % 1000).repartition(5)
+    got = ordering.numbered(rows, "k").collect()
+    assert {(r["k"] + 1, r["nth"]) for r in got} == {(i, i) for i in range(1, 1001)}
+    assert ordering.limited(rows, "k", 3).count() == 3 and ordering.limited(rows, "k").count() == 1000
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "scene string")
+    assert ordering.named(names, "scene", " a, c ,").count() == 2 and ordering.named(names, "scene", None).count() == 3
+    one, two = (ordering.batches(rows, "id", 64, seed=s, drop_last=True).collect() for s in (1, 1))
+    assert {(r["id"], r["batch"], r["place"]) for r in one} == {(r["id"], r["batch"], r["place"]) for r in two}
+    assert len(one) == 960 and max(r["batch"] for r in one) == 14
+    assert ordering.numbered(rows.filter("false"), "k").count() == 0
+
+
+def test_learning(spark, tmp_path, scene):
+    from gridweave.operators import learning
+    from gridweave.sources import config as c
+
+    rng = learning.seeded(3)
+    x, y = rng.normal(size=50) * 9, (rng.random(50) < 0.4).astype(float)
+    frame = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    got = frame.agg(learning.bce(F.col("x"), F.col("y"), 3.0).alias("bce"), learning.head_loss(F.col("x"), F.col("y"), 0.25, 0.75).alias("head")).first()
+    p = 1 / (1 + np.exp(-x))
+    assert got["bce"] == pytest.approx(-(3 * y * np.log(p) + (1 - y) * np.log1p(-p)).mean(), rel=1e-6)
+    dice = 1 - (2 * (p * y).sum() + 1) / (p.sum() + y.sum() + 1)
+    assert got["head"] == pytest.approx(-0.25 * (y * np.log(p) + (1 - y) * np.log1p(-p)).mean() + 0.75 * dice, rel=1e-6)
+    with pytest.raises(ValueError):
+        learning.head_loss(F.col("x"), F.col("y"), region="none")
+    shapes = spark.createDataFrame([("a", [3, 4], True), ("b", [5], False), ("c", [], True)], "name string, shape array<int>, trainable boolean")
+    assert learning.parameter_count(shapes).first()["n"] == 13
+    state = {"w": rng.normal(size=(3, 2)).astype(np.float32), "n": np.array(7)}
+    learning.save_state(spark, state, str(tmp_path / "state"))
+    back = learning.load_state(spark, str(tmp_path / "state"))
+    assert set(back) == set(state) and all((back[k] == state[k]).all() and back[k].dtype == state[k].dtype for k in state)
+    c.snapshot({"a": {"b": [1, 2]}}, tmp_path / "c.yaml")
+    assert c.load(tmp_path / "c.yaml") == {"a": {"b": [1, 2]}}
+    chip = rng.integers(0, 255, (16, 16, 3)).astype(np.uint8)
+    assert (learning.amplitude_swapped(chip, chip, 0.2) == chip).all()
+    assert (learning.augmented(chip, np.random.default_rng(1)) == learning.augmented(chip, np.random.default_rng(1))).all()
+    _, interior, wall = scene
+    bands = {"r": interior, "g": wall, "b": interior, "interior": interior, "boundary": wall}
+    table = blocks.block_table(spark, blocks.to_rows("a", 64, **bands), *bands)
+    plain = {(r["row0"], r["col0"]): r for r in learning.tile_set(table, normalization="per_tile", green=True).collect()}
+    first = np.array(plain[(0, 0)]["x"]).reshape(4, 64, 64)
+    assert np.allclose(first.mean((1, 2)), 0, atol=1e-4) and np.allclose(first.std((1, 2)), 1, atol=1e-3)
+    assert (np.array(plain[(0, 0)]["y"]).reshape(2, 64, 64)[0] == (interior[:64, :64] > 127)).all()
+    one, two = (sorted(learning.tile_set(table, seed=5).collect()) for _ in range(2))
+    assert one == two
+
+
+def test_wkb_types(spark):
+    wkb = [(vectors.to_wkb([[(0, 0), (1, 0), (1, 1)]]),), (bytes.fromhex("0101000000") + bytes(16),), (None,)]
+    assert [r[0] for r in spark.createDataFrame(wkb, "g binary").select(vectors.is_polygon(F.col("g"))).collect()] == [True, False, False]
