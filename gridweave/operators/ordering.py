@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.sources.tables import materialised
@@ -22,7 +22,7 @@ def limited(df: DataFrame, ordinal: str, n: int = 0) -> DataFrame:
     return df.filter(F.col(ordinal) < n) if n else df
 
 
-def limited_by(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+def limited_by(df: DataFrame, group: str, order: list[Column | str], n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_nth") <= n).drop("_nth")
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.operators.kernels import labels
 from gridweave.sources.tables import materialised
 
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
@@ -43,29 +45,46 @@ def band_counts(pred: DataFrame, truth: DataFrame, d: int) -> DataFrame:
     return both.groupBy("scene").agg(F.lit(d).alias("d"), F.count_if(F.col("p") & F.col("t")).alias("tp"), F.count_if(F.col("p") & F.col("t").isNull()).alias("fp"), F.count_if(F.col("p").isNull() & F.col("t")).alias("fn"))
 
 
-def components(cells: DataFrame, eight: bool = False) -> DataFrame:
+def components(cells: DataFrame, eight: bool = False, size: int = 1024) -> DataFrame:
     """Cells with label: the least row * 2^31 + col of their 4- or 8-connected component.
 
-    Horizontal runs are found with one window, so only runs, not cells, are linked; runs that touch in
-    neighbouring rows are then contracted to the least of their neighbourhood until no link is left.
+    Squares of size x size cells are labelled each in a task; only labels that touch across the edge of
+    a square are linked, and contracted to the least of their neighbourhood until no link is left.
     """
-    line = Window.partitionBy("scene", "row").orderBy("col")
-    runs = cells.select("scene", "row", "col", (F.col("col") - F.row_number().over(line)).alias("run"))
-    runs = runs.withColumn("first", F.min("col").over(Window.partitionBy("scene", "row", "run")))
-    runs = materialised(runs.select("scene", "row", "col", (F.col("row").cast("long") * (1 << 31) + F.col("first")).alias("id")))
-    below = runs.select("scene", (F.col("row") - 1).alias("row"), F.col("col"), F.col("id").alias("b"))
-    if eight:
-        below = below.select("scene", "row", F.explode(F.array(F.col("col") - 1, F.col("col"), F.col("col") + 1)).alias("col"), "b")
-    links = materialised(runs.join(below, ["scene", "row", "col"]).select("scene", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).filter("a <> b").distinct())
-    labels = runs.select("scene", "id").distinct().withColumn("label", F.col("id"))
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        top, left = rows["row"].min(), rows["col"].min()
+        at = (rows["row"] - top).to_numpy(), (rows["col"] - left).to_numpy()
+        mask = np.zeros((at[0].max() + 1, at[1].max() + 1), bool)
+        mask[at] = True
+        found = labels.components(mask, eight)
+        ids = np.full(found.max() + 1, np.iinfo(np.int64).max)
+        own = found[at]
+        np.minimum.at(ids, own, rows["row"].to_numpy(np.int64) * (1 << 31) + rows["col"].to_numpy(np.int64))
+        return rows[["scene", "row", "col"]].assign(id=ids[own])
+
+    kinds = dict(cells.dtypes)
+    square = [F.floor(F.col(c) / size).alias(f"{c}_square") for c in ("row", "col")]
+    runs = cells.select("scene", "row", "col", *square).groupBy("scene", "row_square", "col_square").applyInPandas(label, f"scene {kinds['scene']}, row {kinds['row']}, col {kinds['col']}, id long")
+    runs = materialised(runs)
+    last = lambda c: F.pmod(F.col(c), F.lit(size)) == size - 1
+    step = lambda r, c: F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col"))
+    sides = (-1, 0, 1) if eight else (0,)
+    to = F.concat(F.when(last("row"), F.array(*[step(1, c) for c in sides])).otherwise(F.array()), F.when(last("col"), F.array(*[step(r, 1) for r in sides])).otherwise(F.array()), *([F.when(F.pmod(F.col("col"), F.lit(size)) == 0, F.array(step(1, -1), step(-1, -1))).otherwise(F.array())] if eight else []))
+    ways = runs.filter(last("row") | last("col") | (F.pmod(F.col("col"), F.lit(size)) == 0)).select("scene", F.col("id").alias("b"), F.explode(to).alias("t")).select("scene", "t.row", "t.col", "b")
+    links = materialised(runs.join(ways, ["scene", "row", "col"]).select("scene", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).filter("a <> b").distinct())
+    if links.isEmpty():
+        return runs.withColumnRenamed("id", "label")
+    ends = links.select("scene", F.col("a").alias("id")).unionByName(links.select("scene", F.col("b").alias("id"))).distinct()
+    moved = ends.withColumn("label", F.col("id"))
     while not links.isEmpty():
-        ends = links.select("scene", F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select("scene", F.col("b").alias("v"), F.col("a").alias("w")))
-        low = materialised(ends.groupBy("scene", "v").agg(F.least("v", F.min("w")).alias("to")))
-        labels = materialised(labels.join(low.withColumnRenamed("v", "label"), ["scene", "label"], "left").select("scene", "id", F.coalesce("to", "label").alias("label")))
+        both = links.select("scene", F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select("scene", F.col("b").alias("v"), F.col("a").alias("w")))
+        low = materialised(both.groupBy("scene", "v").agg(F.least("v", F.min("w")).alias("to")))
+        moved = materialised(moved.join(low.withColumnRenamed("v", "label"), ["scene", "label"], "left").select("scene", "id", F.coalesce("to", "label").alias("label")))
         side = lambda c: low.select("scene", F.col("v").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: E731, B023
-        moved = links.join(side("a"), ["scene", "a"]).join(side("b"), ["scene", "b"]).filter("to_a <> to_b")
-        links = materialised(moved.select("scene", F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-    return runs.join(labels, ["scene", "id"]).select("scene", "row", "col", "label")
+        open_ = links.join(side("a"), ["scene", "a"]).join(side("b"), ["scene", "b"]).filter("to_a <> to_b")
+        links = materialised(open_.select("scene", F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    return runs.join(moved, ["scene", "id"], "left").select("scene", "row", "col", F.coalesce("label", "id").alias("label"))
 
 
 def without_small(labelled: DataFrame, least: int = 16) -> DataFrame:

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.functions import measures as M
-from gridweave.operators import experiments, matching, pixels, raster
+from gridweave.operators import experiments, learning, matching, ordering, pixels, raster, scoring, tiles
 from gridweave.operators.kernels import polygons
 from gridweave.plans import vectorise
-from gridweave.sources.blocks import KEY, to_rows
+from gridweave.sources.blocks import KEY, cells, to_rows
 from gridweave.sources.tables import materialised, table
+from gridweave.sources.vectors import is_polygon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -341,13 +342,13 @@ def affine_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lattice(spark: SparkSession, d: str, above: float) -> DataFrame:
-    """Cells (scene, row, col): users by hours of three days."""
+    """Cells (scene, row, col): users by days."""
     e = table(spark, d, "events").filter(F.col("value") > above)
-    return e.select(F.lit(0).alias("scene"), (F.col("user_id") % 40).cast("int").alias("row"), (F.hour("ts") + 24 * (F.dayofmonth("ts") % 3)).cast("int").alias("col")).distinct()
+    return e.select(F.lit(0).alias("scene"), F.col("user_id").cast("int").alias("row"), F.dayofmonth("ts").alias("col")).distinct()
 
 
 def _lattice_sql(above: float, name: str = "cell") -> str:
-    return f"{name} as (select distinct (user_id % 40)::int as row, (hour(ts) + 24 * (day(ts) % 3))::int as col from events where value > {above})"
+    return f"{name} as (select distinct user_id::int as row, day(ts)::int as col from events where value > {above})"
 
 
 def _eroded_sql(cell: str, out: str, element: tuple[tuple[int, int], ...]) -> str:
@@ -403,16 +404,32 @@ def component_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with v as (select event_type as scene, (user_id % 40)::int as row, (hour(ts) + 24 * (day(ts) % 3))::int as col, value from events),
+    """with v as (select event_type as scene, user_id::int as row, (hour(ts) + 24 * day(ts))::int as col, value from events),
 p as (select scene, row // 8 as row, col // 8 as col, avg(value) as mean from v group by all)
 select scene, row, col, round(mean, 5) as mean from (select *, row_number() over (partition by scene order by round(mean, 9) desc, row, col) as nth from p where mean > 0) where nth = 1"""
 )
 def mean_pool_top_window(spark: SparkSession, d: str) -> DataFrame:
-    cells = table(spark, d, "events").select(F.col("event_type").alias("scene"), (F.col("user_id") % 40).cast("int").alias("row"), (F.hour("ts") + 24 * (F.dayofmonth("ts") % 3)).cast("int").alias("col"), "value")
-    pooled = raster.mean_pool(cells, "value", 8).withColumn("mean", F.round("mean", 9))
+    pooled = raster.mean_pool(hourly(spark, d), "value", 8).withColumn("mean", F.round("mean", 9))
     return raster.top_window(pooled).withColumn("mean", F.round("mean", 5))
 
 
+def hourly(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with values: a scene an event type, users by hours."""
+    return table(spark, d, "events").select(F.col("event_type").alias("scene"), F.col("user_id").cast("int").alias("row"), (F.hour("ts") + 24 * F.dayofmonth("ts")).cast("int").alias("col"), "value")
+
+
+@query(
+    """with v as (select event_type as scene, user_id::int as row, (hour(ts) + 24 * day(ts))::int as col, value from events),
+p as (select scene, row // 8 as row, col // 8 as col, avg(value) as mean from v group by all), z as (select scene, max(row) as bottom, max(col) as far from p group by scene),
+w as (select z.scene, 2 * r.k as row, 2 * c.k as col from z, unnest(range(z.bottom // 2 + 1)) r(k), unnest(range(z.far // 2 + 1)) c(k) where (r.k = 0 or 2 * r.k < z.bottom - 3) and (c.k = 0 or 2 * c.k < z.far - 3)),
+m as (select w.scene, w.row, w.col, round(sum(p.mean) / 16, 9) as mean from w join p on p.scene = w.scene and p.row >= w.row and p.row < w.row + 4 and p.col >= w.col and p.col < w.col + 4 group by all)
+select scene, row::int as row, col::int as col, round(mean, 5) as mean from (select *, row_number() over (partition by scene order by mean desc, row, col) as nth from m where mean > 0) where nth = 1"""
+)
+def densest_half_stride(spark: SparkSession, d: str) -> DataFrame:
+    found = raster.densest_window(raster.mean_pool(hourly(spark, d), "value", 8), 4)
+    return found.select("scene", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.round("mean", 5).alias("mean"))
+
+
 @query(
     """with t as (select distinct p_size * 100 + 512 as total from part), s as (select total, unnest(range(0, total - 512 + 1, 384)) as start from t union select total, total - 512 from t)
 select total, count(*) as windows, max(start)::int as last, sum(start)::bigint as starts from s group by total"""
@@ -564,6 +581,84 @@ def metrics_markdown(spark: SparkSession, d: str) -> DataFrame:
     return runs(spark, d).select("tag", experiments.markdown_cell(F.col("iou")).alias("cell"))
 
 
+# ---------------------------------------------------------------- limits, filters, learning
+
+
+@query("select s_nationkey, s_suppkey, s_acctbal from (select *, row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) as nth from supplier) where nth <= 3")
+def first_in_group(spark: SparkSession, d: str) -> DataFrame:
+    """A limit by group in a total order."""
+    rows = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    return ordering.limited_by(rows, "s_nationkey", [F.desc("s_acctbal"), "s_suppkey"], 3)
+
+
+@query("select n_nationkey, n_name from nation where n_name in ('FRANCE', 'NATION_1', 'NATION_12', 'CHINA')")
+def name_filter(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.named(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", " FRANCE, NATION_1 ,NATION_12,CHINA,")
+
+
+def _softplus(x: str) -> str:
+    return f"(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
+
+
+HEADS = """h as (select l_suppkey as tile, (l_quantity - 25) / 10 as xi, (l_returnflag = 'R')::int::double as yi, (l_discount - 0.05) * 40 as xb, (l_linestatus = 'F')::int::double as yb from lineitem)"""
+
+
+@query(
+    f"""with {HEADS}, p as (select *, 1 / (1 + exp(-xi)) as pi, 1 / (1 + exp(-xb)) as pb from h),
+s as (select tile, avg(yi * {_softplus("-xi")} + (1 - yi) * {_softplus("xi")}) as bi, avg(3 * yb * {_softplus("-xb")} + (1 - yb) * {_softplus("xb")}) as bb,
+  1 - (2 * sum(pi * yi) + 1) / (sum(pi) + sum(yi) + 1) as di, 1 - (2 * sum(pb * yb) + 1) / (sum(pb) + sum(yb) + 1) as db from p group by tile)
+select tile, round(bi, 6) as bce_int, round(bb, 6) as bce_bnd, round(0.5 * bi + 0.5 * di + 0.5 * (0.5 * bb + 0.5 * db), 6) as loss from s"""
+)
+def loss_total(spark: SparkSession, d: str) -> DataFrame:
+    """Both heads' losses, boundary positives weighted by 3."""
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("tile"), ((F.col("l_quantity") - 25) / 10).alias("xi"), (F.col("l_returnflag") == "R").cast("double").alias("yi"),
+        ((F.col("l_discount") - 0.05) * 40).alias("xb"), (F.col("l_linestatus") == "F").cast("double").alias("yb"),
+    )
+    i, b = (F.col("xi"), F.col("yi")), (F.col("xb"), F.col("yb"))
+    loss = learning.total_loss(learning.head_loss(*i), learning.head_loss(*b, pos_weight=3.0))
+    return rows.groupBy("tile").agg(r6(learning.bce(*i)).alias("bce_int"), r6(learning.bce(*b, 3.0)).alias("bce_bnd"), r6(loss).alias("loss"))
+
+
+@query("select o_orderstatus, round(avg(m), 4) as loss from (select o_orderstatus, o_custkey, avg(o_totalprice) as m from orders group by all) group by o_orderstatus")
+def epoch_means(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of batch means, whatever the batches' sizes."""
+    batches = table(spark, d, "orders").groupBy("o_orderstatus", "o_custkey").agg(F.avg("o_totalprice").alias("loss"))
+    return learning.epoch_means(batches, "o_orderstatus", "loss").withColumn("loss", F.round("loss", 4))
+
+
+@query(f"with {TRIPLES} select label, round(avg((r / 255 - 0.485) / 0.229), 5) as r, round(avg((g / 255 - 0.456) / 0.224), 5) as g, round(avg((b / 255 - 0.406) / 0.225), 5) as b from t group by label")
+def fixed_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return triples(spark, d).groupBy("label").agg(*[(F.round(F.avg(learning.normalised(c)), 5) + 0.0).alias(c) for c in "rgb"])
+
+
+@query("select c_custkey, (nth - 1) // 64 as batch, (nth - 1) % 64 as place from (select c_custkey, row_number() over (order by md5('7:' || c_custkey), c_custkey) as nth from customer)")
+def shuffled_batches(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.batches(table(spark, d, "customer").select("c_custkey"), "c_custkey", 64, seed=7)
+
+
+@query(f"with {BOXES} select scene, count(*) as polygons, count(*) filter (x1 >= 300 and x0 <= 556 and y1 >= 200 and y0 <= 456) as visible from box group by scene")
+def crop_visibility(spark: SparkSession, d: str) -> DataFrame:
+    """Every polygon counts, those whose box meets the crop are drawn."""
+    corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
+    every = boxes(spark, d, False).unionByName(boxes(spark, d, True))
+    return every.groupBy("scene").agg(F.count("*").alias("polygons"), F.count_if(raster.visible(corners, F.lit(200), F.lit(300), 256)).alias("visible"))
+
+
+@query("select p_size, count(*) filter (p_partkey % 3 = 1) as polygons, count(*) as n from part group by p_size")
+def polygon_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Geometries that are there and polygons, among missing ones and points."""
+    k = F.col("p_partkey")
+    wkb = F.when(k % 3 == 1, F.unhex(F.lit("010300000000000000"))).when(k % 3 == 2, F.unhex(F.lit("0101000000" + "00" * 16)))
+    return table(spark, d, "part").groupBy("p_size").agg(F.count_if(is_polygon(wkb)).alias("polygons"), F.count("*").alias("n"))
+
+
+@query("select coalesce(sum(p_size * (p_partkey % 7 + 1)) filter (p_partkey % 3 <> 0), 0)::bigint as n from part")
+def parameter_count(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return learning.parameter_count(table(spark, d, "part").select(F.array(F.col("p_size").cast("int"), (k % 7 + 1).cast("int")).alias("shape"), (k % 3 != 0).alias("trainable")))
+
+
 # ---------------------------------------------------------------- kernels, checked by tests and by their rows
 
 
@@ -585,8 +680,8 @@ def rect_regularize(spark: SparkSession, d: str) -> DataFrame:
     return rows.mapInPandas(square, "id long, n_vertices int, area_m2 double, orthogonality double")
 
 
-def part_scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Probability and label blocks: each part a building on a lattice, 256 a scene."""
+def part_scenes(spark: SparkSession, d: str, faint: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Probability and label blocks: each part a building on a lattice, 256 a scene. faint predicts those in odd slots too low."""
     k = F.col("p_partkey")
     rows = table(spark, d, "part").select(F.concat(F.lit("s"), F.floor(k / 256)).alias("scene"), (k % 256).cast("int").alias("slot"), (F.col("p_size") % 20 + 12).cast("int").alias("w"), (k % 17 + 12).cast("int").alias("h"))
 
@@ -595,7 +690,7 @@ def part_scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
             mask, wall = np.zeros((640, 640), np.uint8), np.zeros((640, 640), np.uint8)
             for _, slot, w, h in batch.itertuples(index=False):
                 r, c = slot // 16 * 40, slot % 16 * 40
-                mask[r : r + h, c : c + w] = 230
+                mask[r : r + h, c : c + w] = 100 if faint and kind == "prob" and slot % 2 else 230
                 wall[r : r + h, c : c + w] = 200
                 wall[r + 1 : r + h - 1, c + 1 : c + w - 1] = 20
             scene = batch["scene"].iloc[0]
@@ -616,3 +711,32 @@ def scene_to_matches(spark: SparkSession, d: str) -> DataFrame:
     found = vectorise.candidates(preds, gts, 20.0)
     ids = lambda df: df.select("scene", F.col("seq").alias("id"))
     return matching.scored(matching.mutual_best(found.select("scene", "pred", "gt", "iou")), ids(preds), ids(gts), (0.75,)).drop("threshold")
+
+
+@query(
+    """with b as (select 's' || (p_partkey // 256) as scene, p_partkey % 256 as slot, p_size % 20 + 12 as w, p_partkey % 17 + 12 as h from part),
+n as (select *, d, case when d = 0 then w * h else w * h - greatest(0, w - 2 * d) * greatest(0, h - 2 * d) end as cells from b, unnest([0, 1, 3, 7]) t(d))
+select scene, d::int as d, coalesce(sum(cells) filter (slot % 2 = 0), 0)::bigint as tp, 0::bigint as fp, coalesce(sum(cells) filter (slot % 2 = 1), 0)::bigint as fn from n group by scene, d"""
+)
+def block_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion of whole scenes (d = 0) and of boundary bands, counted in blocks with a halo."""
+    prob, label = (materialised(x) for x in part_scenes(spark, d, faint=True))
+    whole = tiles.confusion_of(tiles.graded_bytes(prob, label), "scene").select("scene", F.lit(0).alias("d"), "tp", "fp", "fn")
+    return whole.unionByName(tiles.band_counts(prob, label, (1, 3, 7), size=320))
+
+
+@query("select 'n' || n_nationkey as scene, (200 + n_nationkey * 7) * (150 + n_nationkey * 11) as cells, (n_nationkey * 9)::int as low, (n_nationkey * 9)::int as high from nation")
+def scene_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Windows, eight views and blending of one grey scene a nation, which must come out as they went in."""
+    k = F.col("n_nationkey")
+    scenes = table(spark, d, "nation").select(F.concat(F.lit("n"), k).alias("scene"), (200 + k * 7).cast("int").alias("tall"), (150 + k * 11).cast("int").alias("wide"), (k * 9).cast("int").alias("grey"))
+
+    def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for scene, tall, wide, grey in batch.itertuples(index=False):
+                plane = np.full((tall, wide), grey, np.uint8)
+                yield pd.DataFrame(to_rows(scene, 128, r=plane, g=plane, b=plane), columns=["scene", "row0", "col0", "h", "w", "r", "g", "b"])
+
+    images = scenes.mapInPandas(paint, f"{KEY}, r binary, g binary, b binary")
+    found = cells(scoring.scored_blocks(images, scoring.excess_green_scorer, tile=96, overlap=32, size=128), "interior")
+    return found.groupBy("scene").agg(F.count("*").alias("cells"), F.min("interior").alias("low"), F.max("interior").alias("high"))

@@ -67,7 +67,7 @@ def _lzw(data: bytes) -> bytes:
         if last:
             known.append(last + word[:1])
         last = word
-        width = max(9, (len(known) + 1).bit_length())
+        width = min(12, max(9, (len(known) + 1).bit_length()))
     return b"".join(out)
 
 

@@ -112,12 +112,14 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return place.select((F.row_number().over(Window.orderBy("file", "block", "nth")) - 1).alias("ord"), *fields)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_optional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     """A CSV result with a header, or None where there is none; nulls are empty."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return None
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).csv(path) if there(spark, path) else None
 
 
 def write_csv(df: DataFrame, path: str) -> None:

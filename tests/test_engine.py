@@ -113,10 +113,12 @@ def test_raster_cells_match_kernels(spark):
     mask = np.random.default_rng(8).random((25, 30)) < 0.5
     cells = spark.createDataFrame([(0, int(r), int(c)) for r, c in zip(*np.nonzero(mask), strict=True)], "scene int, row int, col int")
     for eight in (False, True):
-        got = raster.components(cells, eight).toPandas()
-        want = labels.components(mask, eight)
-        pairs = set(zip(got["label"], want[got["row"], got["col"]], strict=True))
-        assert len(pairs) == got["label"].nunique() == want.max()
+        for size in (1024, 4):
+            got = raster.components(cells, eight, size).toPandas()
+            want = labels.components(mask, eight)
+            pairs = set(zip(got["label"], want[got["row"], got["col"]], strict=True))
+            assert len(pairs) == got["label"].nunique() == want.max() and len(got) == mask.sum()
+            assert (got.groupby("label").apply(lambda g: (g["row"].astype("int64") * (1 << 31) + g["col"]).min()) == got.groupby("label")["label"].first()).all()
     for d in (1, 2, 3):
         kept = {(r["row"], r["col"]) for r in raster.eroded(cells, raster.ellipse(d)).collect()}
         assert kept == set(zip(*map(list, map(np.ndarray.tolist, np.nonzero(labels.eroded(mask, raster.ellipse(d))))), strict=True))
@@ -147,7 +149,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in last.collect()} == {("x", 52), ("y", 52)}
 
 
-FAST = ["confusion_by_region", "threshold_sweep", "strict_match", "merge_match", "ring_metrics", "erode_band", "blend_overlaps", "focal_tversky", "running_best"]
+FAST = ["confusion_by_region", "threshold_sweep", "strict_match", "merge_match", "ring_metrics", "erode_band", "blend_overlaps", "focal_tversky", "running_best", "components8", "boundary_counts", "mean_pool_top_window", "densest_half_stride", "first_in_group", "name_filter", "loss_total", "epoch_means", "fixed_normalize", "shuffled_batches", "round_robin_pick", "crop_visibility", "polygon_filter", "parameter_count", "block_counts", "scene_inference"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
@@ -370,3 +372,35 @@ def test_learning(spark, tmp_path, scene):
 def test_wkb_types(spark):
     wkb = [(vectors.to_wkb([[(0, 0), (1, 0), (1, 1)]]),), (bytes.fromhex("0101000000") + bytes(16),), (None,)]
     assert [r[0] for r in spark.createDataFrame(wkb, "g binary").select(vectors.is_polygon(F.col("g"))).collect()] == [True, False, False]
+
+
+def test_command_lines(spark, scene, tmp_path, capsys):
+    from gridweave.__main__ import main
+    from gridweave.sources import geotiff
+
+    mask, interior, wall = scene
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "images").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "images" / f"{name}.tif").write_bytes(geotiff.encoded(np.stack([mask] * 3, 2)))
+    main(["predict", "--images", at("images"), "--out", at("own"), "--limit", "1"], spark)
+    assert [r["scene"] for r in spark.read.parquet(at("own")).select("scene").distinct().collect()] == ["a"]
+    blocks.write_blocks(blocks.block_table(spark, blocks.to_rows("a", 64, interior=interior, boundary=wall), "interior", "boundary"), at("prob"))
+    blocks.write_blocks(blocks.block_table(spark, blocks.to_rows("a", 64, v=mask), "v"), at("label"))
+    main(["vectorize", "--blocks", at("prob"), "--out", at("pred")], spark)
+    main(["vectorize", "--blocks", at("prob"), "--out", at("raw"), "--no-regularize"], spark)
+    main(["vectorize", "--blocks", at("label"), "--out", at("gt"), "--ground-truth"], spark)
+    (tmp_path / "m.csv").write_text("scene,city,image_path,gt_path\na,x,i,g\nb,x,i,g\n")
+    inputs = ["--blocks", at("prob"), "--labels", at("label")]
+    main(["evaluate", *inputs, "--manifest", at("m.csv"), "--pred-vectors", at("pred"), "--gt-vectors", at("gt"), "--raw-vectors", at("raw"), "--out", at("ev")], spark)
+    shapes = {r["variant"]: r for r in spark.read.option("header", True).option("inferSchema", True).csv(at("ev/shapes")).collect()}
+    assert set(shapes) == {"pred_reg", "pred_raw", "gt_traced", "gt_simplified"} and shapes["gt_simplified"]["vertices"] <= shapes["gt_traced"]["vertices"]
+    assert "1 scenes skipped" in capsys.readouterr().out
+    main(["sweep", *inputs, "--manifest", at("m.csv"), "--out", at("sw")], spark)
+    assert spark.read.option("header", True).csv(at("sw/best")).count() == 2
+    for _ in range(2):
+        main(["score", *inputs, "--tag", "A", "--out", at("runs"), "--baseline", "A"], spark)
+    assert "| A |" in capsys.readouterr().out and spark.read.option("header", True).csv(at("runs")).count() == 1
+    main(["report", "--out", at("r.md"), "--section", f"Runs={at('runs')}", "--section", f"None={at('none')}"], spark)
+    text = (tmp_path / "r.md").read_text()
+    assert "## Runs" in text and "## None" not in text
