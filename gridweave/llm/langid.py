@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +23,44 @@ from pyspark.sql import types as T
 
 from gridweave.llm.shared import small_batches, table
 
-#: Code points below this are looked at one by one; all others are one symbol.
-PLANE = 0x3000
+#: Letters that are looked at one by one, of all languages together; others are told apart by blocks of
+#: code points, so scripts of many letters differ from each other too.
+MOST_LETTERS, MOST_BLOCKS, BLOCK = 96, 128, 256
 #: Symbols of a passage: a new phrase starts with each.
 PASSAGE = 512
 #: Bounds of the sample that a language is learnt from: documents, and symbols.
 MOST_DOCS, MOST_SYMBOLS = 64, 24_000
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For every code point 2 if it is a letter, else 1."""
+    return np.array([2 if chr(i).isalpha() else 1 for i in range(0x110000)], np.uint8)
+
+
 class Automata:
     """Suffix automata of several languages over one alphabet, as one table."""
 
-    def __init__(self, samples: dict[str, list[str]], most_symbols: int = MOST_SYMBOLS, most_letters: int = 60):
+    def __init__(self, samples: dict[str, list[str]], most_symbols: int = MOST_SYMBOLS, most_letters: int = MOST_LETTERS):
         self.langs = sorted(samples)
         folded = {lang: " ".join(samples[lang]).lower()[: 2 * most_symbols] for lang in self.langs}
-        seen = Counter(c for text in folded.values() for c in text if c.isalpha() and ord(c) < PLANE)
-        letters = sorted(c for c, _ in seen.most_common(most_letters))
-        # 0: padding, 1: whatever is no letter, 2: letters beyond the alphabet
-        self.width = len(letters) + 3
-        code = {c: i + 3 for i, c in enumerate(letters)}
-        self.symbols = np.array([code.get(c, 2) if (c := chr(i).lower()[:1] if chr(i).isalpha() else "") else 1 for i in range(PLANE)] + [2], np.uint8)
+        # each language's letters by frequency; the alphabet takes the first of all languages, then the second, ...
+        place: dict[str, int] = {}
+        for text in folded.values():
+            for i, (c, _) in enumerate(Counter(c for c in text if c.isalpha()).most_common()):
+                place[c] = min(i, place.get(c, i))
+        letters = sorted(sorted(place, key=lambda c: (place[c], c))[:most_letters])
+        rest = Counter(ord(c) // BLOCK for c in place.keys() - set(letters))
+        blocks = [b for b, _ in sorted(rest.items(), key=lambda x: (-x[1], x[0]))[:MOST_BLOCKS]]
+        # 0: padding, 1: whatever is no letter, 2: other letters; then those of a block beyond the alphabet, then the alphabet
+        self.width = 3 + len(blocks) + len(letters)
+        self.symbols = _letters().copy()
+        for i, block in enumerate(blocks):
+            part = self.symbols[block * BLOCK : (block + 1) * BLOCK]
+            part[part == 2] = 3 + i
+        for i, c in enumerate(letters):
+            for form in {c, *(f for f in (c.upper(), c.title()) if len(f) == 1 and f.lower()[:1] == c)}:
+                self.symbols[ord(form)] = 3 + len(blocks) + i
         tables, self.roots, at = [], [], 0
         self.bits = []
         for lang in self.langs:
@@ -56,7 +75,7 @@ class Automata:
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a text; runs of what is no letter become one."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return squeezed(self.symbols[np.minimum(points, PLANE)])
+        return squeezed(self.symbols[points])
 
     def _table(self, symbols: list[int], base: int) -> np.ndarray:
         go, link, length, last = [{}], [-1], [0], 0
@@ -165,12 +184,12 @@ def _judged(model: Automata, texts: list[str]) -> tuple[list[str], list[float]]:
         return ["und"] * len(texts), [0.0] * len(texts)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
-    symbols = model.symbols[np.minimum(points, PLANE)]
+    symbols = model.symbols[points]
     doc = np.repeat(np.arange(len(texts)), sizes)
     keep = np.ones(len(symbols), bool)
     keep[1:] = (symbols[1:] != 1) | (symbols[:-1] != 1) | (doc[1:] != doc[:-1])
     symbols, doc = symbols[keep], doc[keep]
-    letters = np.bincount(doc[symbols > 2], minlength=len(texts))  # of the alphabet
+    real = np.bincount(doc[symbols > 1], minlength=len(texts)) > 0
     sizes = np.bincount(doc, minlength=len(texts))
     counts = -(-sizes // PASSAGE)
     of = np.repeat(np.arange(len(texts)), counts)
@@ -182,7 +201,6 @@ def _judged(model: Automata, texts: list[str]) -> tuple[list[str], list[float]]:
     best = total.argmin(0)
     order = np.sort(total, 0)
     score = 1 - order[0] / np.maximum(order[1], 1e-9) if len(order) > 1 else np.ones(len(texts))
-    real = np.array([n > 0 or any(map(str.isalpha, t)) for n, t in zip(letters, texts, strict=True)], bool)
     return [model.langs[b] if r else "und" for b, r in zip(best, real, strict=True)], np.where(real, np.clip(score, 0, 1), 0.0).tolist()
 
 

@@ -260,3 +260,47 @@ def test_pipeline_drops_copies_of_four_fifths(spark):
     rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(changed), "en", "s", 1), (3, " ".join(f"x{j}" for j in range(50)), "en", "s", 1)]
     docs = spark.createDataFrame(rows, DOCS)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_scripts_of_many_letters(spark):
+    rng = np.random.default_rng(6)
+    first, last = {"han": 0x4E00, "kana": 0x3041, "hangul": 0xAC00, "cyrillic": 0x430}, {"han": 0x9FA5, "kana": 0x3096, "hangul": 0xD7A3, "cyrillic": 0x44F}
+    text = lambda lang: "".join(map(chr, rng.integers(first[lang], last[lang], 80)))
+    docs = spark.createDataFrame([(i, text(lang), lang) for lang in first for i in range(20)], "doc_id int, text string, lang string")
+    model = langid.learn(docs)
+    assert model.width <= 3 + langid.MOST_LETTERS + langid.MOST_BLOCKS
+    fresh = spark.createDataFrame([(i, text(lang), lang) for lang in first for i in range(10)], "doc_id int, text string, lang string")
+    got = langid.predict(fresh, model).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_capitals_are_the_same_letters():
+    model = langid.Automata({"x": ["Straße ÄÖ déjà"]})
+    assert (model.encode("STRASSE äö DÉJÀ") == model.encode("strasse ÄÖ déjà")).all()
+
+
+def test_audio_query_by_brute_force(spark):
+    import hashlib
+    import io
+    import wave
+    import zlib
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    got = media.op9_audio_features(spark, DATA).collect()
+    kept = {r["doc_id"]: r for r in media.audio_columns(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    by_text = {}
+    for r in got:
+        body = (docs[r["doc_id"]] or "").encode()
+        want = body.ljust(max(64, -(-len(body) // 64) * 64), bytes(1))
+        stored = kept[r["doc_id"]]["media"]
+        with wave.open(io.BytesIO(bytes(stored))) as sound:
+            assert sound.getsampwidth() == 1 and sound.readframes(sound.getnframes()) == want
+            seconds = sound.getnframes() / sound.getframerate()
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(body), len(want), zlib.crc32(want[-64:]))
+        assert r["payload_sha256"] == hashlib.sha256(want).hexdigest() and r["media_sha256"] == hashlib.sha256(stored).hexdigest() and r["media_bytes"] == len(stored)
+        tensor = np.array(kept[r["doc_id"]]["tensor"], np.float32).reshape(media.BINS, media.MELS)
+        assert np.isfinite(tensor).all() and f"mel={','.join(f'{v:.3f}' for v in tensor.mean(0))};" in r["feature"]
+        assert all(0 <= x["start"] < x["stop"] <= seconds for x in kept[r["doc_id"]]["spans"])
+        by_text.setdefault(docs[r["doc_id"]] or "", set()).add(r["feature"])
+    assert all(len(v) == 1 for v in by_text.values())
