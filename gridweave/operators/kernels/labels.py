@@ -56,11 +56,21 @@ def components(mask: np.ndarray, eight: bool = False) -> np.ndarray:
 
 
 def flooded(surface: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Marker watershed: labels grow over the mask from the lowest cells up, 4-connected, ties by arrival; parts of the mask without a marker stay 0."""
+    """Marker watershed: labels grow over the mask from the lowest cells up, 4-connected, ties by arrival; parts of the mask without a marker stay 0.
+
+    A part with one marker is all that marker's; only parts with several are walked cell by cell.
+    """
     h, w = mask.shape
-    out = np.where(mask, markers, 0).astype(np.int32)
+    parts = components(mask)
+    seeds = np.where(mask, markers, 0).astype(np.int32)
+    at = seeds > 0
+    low, high = np.full(parts.max() + 1, np.iinfo(np.int32).max, np.int32), np.zeros(parts.max() + 1, np.int32)
+    np.minimum.at(low, parts[at], seeds[at])
+    np.maximum.at(high, parts[at], seeds[at])
+    out = np.where((low == high)[parts], low[parts], seeds)
+    shared = (low < high)[parts]
     queue, age = [], 0
-    for r, c in zip(*np.nonzero(out), strict=True):
+    for r, c in zip(*np.nonzero(at & shared), strict=True):
         queue.append((surface[r, c], age, int(r), int(c)))
         age += 1
     heapq.heapify(queue)

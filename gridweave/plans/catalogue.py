@@ -294,7 +294,7 @@ polis as (select vec_id, sum(m) / 2 as polis from (select vec_id, s, avg(dist) a
 def displaced(spark: SparkSession, d: str) -> DataFrame:
     a = rings(spark, d)
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("ring").alias("next"))
-    return a.join(b, "vec_id").select("vec_id", "label", M.displacement(F.col("ring"), F.col("next")).alias("polis"))
+    return a.join(b, "vec_id").select("vec_id", "label", matching.ring_displacement(F.col("ring"), F.col("next")).alias("polis"))
 
 
 @query(f"with {DISPLACED} select vec_id, round(polis, 6) as polis from polis")

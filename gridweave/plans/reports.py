@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.functions.measures import displacement, orthogonality
+from gridweave.functions.measures import orthogonality
 from gridweave.operators import experiments, matching, pixels, tiles
 from gridweave.plans import vectorise
 from gridweave.sources.tables import materialised
@@ -69,7 +69,7 @@ def evaluated(preds: DataFrame, gts: DataFrame, prob: DataFrame, label: DataFram
     sums = strict.unionByName(merged).groupBy("matching", "threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     best = matching.best_match(found.select("scene", "pred", "gt", "iou"))
     rings = lambda df, side: df.select("scene", F.col("seq").alias(side), F.get("rings", F.lit(0)).alias(f"{side}_ring"))
-    polis = best.join(rings(preds, "pred"), ["scene", "pred"]).join(rings(gts, "gt"), ["scene", "gt"]).select(displacement(F.col("pred_ring"), F.col("gt_ring")).alias("polis"))
+    polis = best.join(rings(preds, "pred"), ["scene", "pred"]).join(rings(gts, "gt"), ["scene", "gt"]).select(matching.ring_displacement(F.col("pred_ring"), F.col("gt_ring")).alias("polis"))
     quantiles = polis.agg(F.count("polis").alias("n"), F.avg("polis").alias("mean"), F.percentile("polis", 0.5).alias("median"), F.percentile("polis", 0.9).alias("p90"))
     raw = raw.join(both, "scene", "left_semi") if raw is not None else None
     shapes = shape_table({"pred_reg": preds, "pred_raw": raw, "gt_traced": gts, "gt_simplified": gts}, {"gt_simplified": tolerance})

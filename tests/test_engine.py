@@ -106,7 +106,8 @@ def test_greedy_equals_mutual_best(spark):
             used_g.add((s, g))
             want.add((s, p, g, v))
     frame = spark.createDataFrame(rows, "scene int, pred int, gt int, iou double")
-    assert {tuple(r) for r in matching.mutual_best(frame).collect()} == want
+    for most in (1000, 100, 0):  # by scene, mixed, all in rounds
+        assert {tuple(r) for r in matching.mutual_best(frame, most).collect()} == want
 
 
 def test_raster_cells_match_kernels(spark):
@@ -404,3 +405,36 @@ def test_command_lines(spark, scene, tmp_path, capsys):
     main(["report", "--out", at("r.md"), "--section", f"Runs={at('runs')}", "--section", f"None={at('none')}"], spark)
     text = (tmp_path / "r.md").read_text()
     assert "## Runs" in text and "## None" not in text
+
+
+def test_displacement_kernel_equals_expression(spark):
+    from gridweave.functions import measures
+
+    rng = np.random.default_rng(9)
+    ring = lambda n: [{"x": float(x), "y": float(y)} for x, y in rng.normal(size=(n, 2))]
+    rows = [(ring(5), ring(9)), (ring(1), ring(3)), (ring(3)[:1] * 3, ring(4)), ([], ring(3)), (None, ring(3))]
+    frame = spark.createDataFrame(rows, "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    a, b = F.col("a"), F.col("b")
+    for r in frame.select(matching.ring_displacement(a, b).alias("k"), measures.displacement(a, b).alias("e")).collect():
+        assert (r["k"] is None) == (r["e"] is None) and (r["k"] is None or r["k"] == pytest.approx(r["e"]))
+
+
+def test_flooding_of_shared_parts():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        mask = rng.random((18, 21)) < 0.7
+        surface = rng.integers(0, 6, mask.shape).astype(np.uint8)
+        markers = np.where(rng.random(mask.shape) < 0.04, np.arange(mask.size).reshape(mask.shape) % 7 + 1, 0)
+        out, queue, age = np.where(mask, markers, 0), [], 0
+        for r, c in zip(*np.nonzero(out), strict=True):
+            queue.append((surface[r, c], age, r, c))
+            age += 1
+        while queue:  # cell by cell, over everything
+            queue.sort()
+            _, _, r, c = queue.pop(0)
+            for y, x in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
+                if 0 <= y < 18 and 0 <= x < 21 and mask[y, x] and not out[y, x]:
+                    out[y, x] = out[r, c]
+                    queue.append((surface[y, x], age, y, x))
+                    age += 1
+        assert (labels.flooded(surface, markers, mask) == out).all()
