@@ -21,38 +21,46 @@ def eroded(mask: np.ndarray, offsets) -> np.ndarray:
     return out
 
 
+def least_members(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of 0..n-1 the least member of its set under the links a[i] - b[i]: higher roots are hung under lower ones, then paths are halved until flat."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while ((up := root[root]) != root).any():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def pieces(values: np.ndarray, eight: bool = False) -> np.ndarray:
+    """Labels 1, 2, ... of the 4- or 8-connected pieces of equal values above 0, in the order of first cells by row. Runs of rows are linked to those they touch in the next row."""
+    h, w = values.shape
+    padded = np.zeros((h, w + 2), values.dtype)
+    padded[:, 1:-1] = values
+    step = padded[:, 1:] != padded[:, :-1]
+    rows, starts = np.nonzero(step & (padded[:, 1:] > 0))
+    stops = np.nonzero(step & (padded[:, :-1] > 0))[1]
+    slack, wide = int(eight), w + 2
+    first = np.searchsorted(rows * wide + stops, (rows + 1) * wide + starts - slack, "right")
+    after = np.searchsorted(rows * wide + starts, (rows + 1) * wide + stops + slack, "left")
+    many = np.maximum(after - first, 0)
+    above = np.repeat(np.arange(len(rows)), many)
+    below = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(above))
+    if values.dtype != bool:
+        of = values[rows, starts]
+        alike = of[above] == of[below]
+        above, below = above[alike], below[alike]
+    number = np.unique(least_members(above, below, len(rows)), return_inverse=True)[1] + 1
+    change = np.zeros((h, wide), np.int32)
+    change[rows, starts] = number
+    np.add.at(change, (rows, stops), -number)
+    return np.cumsum(change, 1, dtype=np.int32)[:, :w]
+
+
 def components(mask: np.ndarray, eight: bool = False) -> np.ndarray:
-    """Labels 1, 2, ... in the order of first cells by row; runs of rows are joined with union-find."""
-    h, w = mask.shape
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    rows, starts = np.nonzero(edge == 1)
-    stops = np.nonzero(edge == -1)[1]
-    parent = list(range(len(rows)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    first = np.searchsorted(rows, np.arange(h + 1))
-    slack = 1 if eight else 0
-    for r in range(1, h):
-        i, j = first[r - 1], first[r]
-        while i < first[r] and j < first[r + 1]:
-            if starts[i] < stops[j] + slack and starts[j] < stops[i] + slack:
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-            if stops[i] < stops[j]:
-                i += 1
-            else:
-                j += 1
-    roots = np.array([find(i) for i in range(len(rows))], np.int64)
-    number = np.unique(roots, return_inverse=True)[1] + 1 if len(roots) else roots
-    out = np.zeros((h, w), np.int32)
-    for r, a, b, n in zip(rows, starts, stops, number, strict=True):
-        out[r, a:b] = n
-    return out
+    """Labels 1, 2, ... of a mask's components in the order of first cells by row."""
+    return pieces(mask.astype(bool), eight)
 
 
 def flooded(surface: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -161,3 +169,70 @@ def outline(mask: np.ndarray) -> list[np.ndarray]:
         rings.append(np.array(ring, float))
     rings.sort(key=lambda r: -abs(float((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum())))
     return rings
+
+
+#: Steps along the sides of a cell, top, right, bottom, left, with the cell on the right, as columns and rows; what is outside lies along the side before.
+_DX, _DY = np.array([1, 0, -1, 0]), np.array([0, 1, 0, -1])
+
+
+def arcs(plane: np.ndarray, top: int = 0, left: int = 0) -> list[tuple[int, int, int | None, np.ndarray, np.ndarray]]:
+    """(label, start, next, xs, ys) of the walks along the borders of labels, inside a window with a rim of one cell of its neighbours.
+
+    A walk has its label on the right; xs and ys are the corners it passes. At a vertex where a
+    label meets itself like a chessboard it turns to the left. A closed walk has no next; an open one
+    goes on in a neighbour, with the side next, and start and next are sides' numbers in the whole
+    raster, so that walks can be put together. top and left are the place of the window's inner cells.
+    """
+    h, w = plane.shape[0] - 2, plane.shape[1] - 2
+    inner = plane[1:-1, 1:-1]
+    found = [np.nonzero((inner != plane[1 + _DY[s - 1] : 1 + _DY[s - 1] + h, 1 + _DX[s - 1] : 1 + _DX[s - 1] + w]) & (inner != 0)) for s in range(4)]
+    r, c = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    s = np.repeat(np.arange(4), [len(f[0]) for f in found])
+    key = (r * w + c) * 4 + s
+    order = np.argsort(key)
+    r, c, s, key = r[order], c[order], s[order], key[order]
+    n, v, out = len(r), inner[r, c], (s + 3) % 4
+
+    def mine(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        return plane[rows + 1, cols + 1] == v
+
+    ahead, beside = (r + _DY[s], c + _DX[s]), (r + _DY[s] + _DY[out], c + _DX[s] + _DX[out])
+    turns, straight = mine(*beside), mine(*ahead)
+    to_r, to_c = (np.where(turns, beside[k], np.where(straight, ahead[k], (r, c)[k])) for k in (0, 1))
+    to_s = np.where(turns, out, np.where(straight, s, (s + 1) % 4))
+    corner = mine(r - _DY[s] + _DY[out], c - _DX[s] + _DX[out]) | ~mine(r - _DY[s], c - _DX[s])
+    here = (to_r >= 0) & (to_r < h) & (to_c >= 0) & (to_c < w)
+    follows = np.searchsorted(key, ((to_r * w + to_c) * 4 + to_s)[here])
+    before = np.arange(n)
+    before[follows] = np.flatnonzero(here)
+    head = before == np.arange(n)
+    # a side of a closed walk sees no head however far it looks back; such walks are cut at their least side
+    rounds = range(max(1, int(n).bit_length()))
+    back, least = before.copy(), np.arange(n)
+    for _ in rounds:
+        least, back = np.minimum(least, least[back]), back[back]
+    closed = ~head[back]
+    cut = closed & (least == np.arange(n))
+    before[cut] = np.flatnonzero(cut)
+    back, far = before.copy(), (before != np.arange(n)).astype(np.int64)
+    for _ in rounds:
+        far, back = far + far[back], back[back]
+    order = np.lexsort((far, back))
+    begins = np.flatnonzero(np.diff(back[order], prepend=-1)) if n else np.zeros(0, np.int64)
+    x, y = c + (s == 1) + (s == 2) + left, r + (s >= 2) + top
+    number = lambda rows, cols, sides: ((rows + top) << 33) | ((cols + left) << 2) | sides
+    walks = []
+    for a, b in zip(begins.tolist(), np.append(begins, n)[1:].tolist(), strict=True):
+        sides = order[a:b]
+        first, last = sides[0], sides[-1]
+        kept = sides[corner[sides]]
+        on = None if closed[first] else int(number(to_r[last], to_c[last], to_s[last]))
+        walks.append((int(v[first]), int(number(r[first], c[first], s[first])), on, x[kept], y[kept]))
+    return walks
+
+
+def arranged(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """The rings of one piece in the form of outline(): each from its first corner by row, the outer one first, then by area."""
+    turned = [np.roll(r, -int(np.lexsort((r[:, 0], r[:, 1]))[0]), 0) for r in rings]
+    turned.sort(key=lambda r: (-abs(float((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum())), r[0, 1], r[0, 0]))
+    return turned

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.operators.graphs import least_ids
 from gridweave.operators.kernels import labels
 from gridweave.sources.tables import materialised
 
@@ -49,7 +50,7 @@ def components(cells: DataFrame, eight: bool = False, size: int = 1024) -> DataF
     """Cells with label: the least row * 2^31 + col of their 4- or 8-connected component.
 
     Squares of size x size cells are labelled each in a task; only labels that touch across the edge of
-    a square are linked, and contracted to the least of their neighbourhood until no link is left.
+    a square are linked, and graphs.least_ids() follows the links in few rounds.
     """
 
     def label(rows: pd.DataFrame) -> pd.DataFrame:
@@ -72,18 +73,8 @@ def components(cells: DataFrame, eight: bool = False, size: int = 1024) -> DataF
     sides = (-1, 0, 1) if eight else (0,)
     to = F.concat(F.when(last("row"), F.array(*[step(1, c) for c in sides])).otherwise(F.array()), F.when(last("col"), F.array(*[step(r, 1) for r in sides])).otherwise(F.array()), *([F.when(F.pmod(F.col("col"), F.lit(size)) == 0, F.array(step(1, -1), step(-1, -1))).otherwise(F.array())] if eight else []))
     ways = runs.filter(last("row") | last("col") | (F.pmod(F.col("col"), F.lit(size)) == 0)).select("scene", F.col("id").alias("b"), F.explode(to).alias("t")).select("scene", "t.row", "t.col", "b")
-    links = materialised(runs.join(ways, ["scene", "row", "col"]).select("scene", F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).filter("a <> b").distinct())
-    if links.isEmpty():
-        return runs.withColumnRenamed("id", "label")
-    ends = links.select("scene", F.col("a").alias("id")).unionByName(links.select("scene", F.col("b").alias("id"))).distinct()
-    moved = ends.withColumn("label", F.col("id"))
-    while not links.isEmpty():
-        both = links.select("scene", F.col("a").alias("v"), F.col("b").alias("w")).unionByName(links.select("scene", F.col("b").alias("v"), F.col("a").alias("w")))
-        low = materialised(both.groupBy("scene", "v").agg(F.least("v", F.min("w")).alias("to")))
-        moved = materialised(moved.join(low.withColumnRenamed("v", "label"), ["scene", "label"], "left").select("scene", "id", F.coalesce("to", "label").alias("label")))
-        side = lambda c: low.select("scene", F.col("v").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: E731, B023
-        open_ = links.join(side("a"), ["scene", "a"]).join(side("b"), ["scene", "b"]).filter("to_a <> to_b")
-        links = materialised(open_.select("scene", F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+    links = runs.join(ways, ["scene", "row", "col"]).select("scene", F.col("id").alias("a"), "b")
+    moved = least_ids(links).withColumnRenamed("least", "label")
     return runs.join(moved, ["scene", "id"], "left").select("scene", "row", "col", F.coalesce("label", "id").alias("label"))
 
 

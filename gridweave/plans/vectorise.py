@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridweave.operators import matching
+from gridweave.operators import matching, scenes
 from gridweave.operators.kernels import labels, polygons
-from gridweave.sources.blocks import from_rows
 from gridweave.sources.vectors import LAYER
 
 
@@ -20,45 +20,54 @@ def _mapped(rings: list[np.ndarray], transform: tuple[float, ...]) -> list[np.nd
     return [np.stack([a * r[:, 0] + b * r[:, 1] + c, d * r[:, 0] + e * r[:, 1] + f], 1) for r in rings]
 
 
-def _frame(scene: str, found: list[dict], variant: str) -> pd.DataFrame:
-    rows = [(scene, i, variant, [[{"x": float(x), "y": float(y)} for x, y in r] for r in p["rings"]], p["area_m2"], p["perimeter_m"], p["n_vertices"], p.get("raw_vertices"), p.get("orthogonality")) for i, p in enumerate(found)]
-    return pd.DataFrame(rows, columns=[f.name for f in LAYER.fields])
+def _layer(pieces: DataFrame, transform: tuple[float, ...], variant: str, one: Callable[[list[np.ndarray]], dict | None]) -> DataFrame:
+    """LAYER of pieces of labels: one makes a polygon's attributes of its rings on the ground, or None. seq counts a scene's polygons by their first cells."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for scene, walks in zip(rows["scene"], rows["rings"], strict=True):
+                rings = labels.arranged([np.stack([w["xs"], w["ys"]], 1).astype(float) for w in walks])
+                first = rings[0][0]
+                p = one(_mapped(rings, transform))
+                if p:
+                    points = [[{"x": float(x), "y": float(y)} for x, y in r] for r in p["rings"]]
+                    out.append((scene, int(first[1]), int(first[0]), variant, points, p["area_m2"], p["perimeter_m"], p["n_vertices"], p.get("raw_vertices"), p.get("orthogonality")))
+            yield pd.DataFrame(out, columns=names)
+
+    fields = [T.StructField("scene", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *LAYER.fields[2:]]
+    names = [f.name for f in fields]
+    found = scenes.outlines(pieces)
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not coalesced by size
+    found = found.select("scene", "rings").repartition(parts).mapInPandas(build, T.StructType(fields))
+    nth = F.row_number().over(Window.partitionBy("scene").orderBy("y", "x"))
+    return found.withColumn("seq", (nth - 1).cast("int")).select(*LAYER.fieldNames())
 
 
 def prediction_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), regularise: bool = True, **options) -> DataFrame:
     """LAYER of blocks with bytes interior and boundary: instances, traced and cleaned.
 
-    A scene, two bytes a pixel, is one task's input; a scene without instances gives no rows.
+    A task holds a square of a scene, the cells of one part of the mask that several seeds share, or some polygons; a
+    scene without instances gives no rows.
     """
-    variant = "regularized" if regularise else "simplified"
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        records = rows.to_dict("records")
-        found = labels.instances(from_rows(records, "interior"), from_rows(records, "boundary"))
-        cleaned = (polygons.cleaned(_mapped(r, transform), regularise=regularise, **options) for _, r in labels.traced(found))
-        return _frame(records[0]["scene"], [c for c in cleaned if c], variant)
-
-    return by_scene(blocks).applyInPandas(one, LAYER)
+    clean = lambda rings: polygons.cleaned(rings, regularise=regularise, **options)
+    return _layer(scenes.instance_pieces(blocks), transform, "regularized" if regularise else "simplified", clean)
 
 
 def label_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), area_least: float = 20.0) -> DataFrame:
     """LAYER of label blocks (v): 8-connected components as traced, without simplification."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        records = rows.to_dict("records")
-        found = []
-        for _, rings in labels.traced(labels.components(from_rows(records, "v") > 127, eight=True)):
-            rings = _mapped(rings, transform)
-            if not polygons.is_simple(rings[0]):
-                parts = polygons.simple_parts(rings[0])
-                if len(parts) != 1:
-                    continue
-                rings = [parts[0], *rings[1:]]
-            if polygons.area(rings) >= area_least:
-                found.append({"rings": rings, "area_m2": round(polygons.area(rings), 2), "perimeter_m": round(polygons.length(rings), 2), "n_vertices": len(rings[0])})
-        return _frame(records[0]["scene"], found, "ground_truth")
-
-    return by_scene(blocks).applyInPandas(one, LAYER)
+    def whole(rings: list[np.ndarray]) -> dict | None:
+        if not polygons.is_simple(rings[0]):
+            parts = polygons.simple_parts(rings[0])
+            if len(parts) != 1:
+                return None
+            rings = [parts[0], *rings[1:]]
+        if polygons.area(rings) < area_least:
+            return None
+        return {"rings": rings, "area_m2": round(polygons.area(rings), 2), "perimeter_m": round(polygons.length(rings), 2), "n_vertices": len(rings[0])}
+
+    return _layer(scenes.component_pieces(blocks), transform, "ground_truth", whole)
 
 
 def simplified_layer(layer: DataFrame, tolerance: float) -> DataFrame:

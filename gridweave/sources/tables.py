@@ -27,4 +27,15 @@ def materialised(df: DataFrame) -> DataFrame:
     """df as a Parquet table that survives the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gridweave_path = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Removes a table of materialised() that nothing reads any more."""
+    path = getattr(df, "_gridweave_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
