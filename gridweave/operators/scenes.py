@@ -26,11 +26,16 @@ from gridweave.sources.blocks import SIZE
 from gridweave.sources.tables import discarded, materialised
 
 STRIP = "struct<kind:string,line:int,at:int,role:int,planes:array<binary>>"
-SQUARE = f"scene string, row0 int, col0 int, counts array<int>, strips array<{STRIP}>"
+SQUARE = f"scene string, row0 int, col0 int, h int, w int, counts array<int>, strips array<{STRIP}>"
 #: A piece of a raster of labels: codes (packed, h x w) count from 1 into values; 0 is no label.
 PIECE = "scene string, row0 int, col0 int, h int, w int, codes binary, values array<long>"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all tasks by keys: packed planes are few bytes but much work, so they aren't coalesced by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def packed(plane: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(plane).tobytes(), 1)
 
@@ -41,6 +46,7 @@ def unpacked(data: bytes, h: int, w: int, kind: str = "<i4") -> np.ndarray:
 
 def _strips(top: int, left: int, size: int, planes: list[np.ndarray], eight: bool) -> list[tuple]:
     """The edge cells of a square for each neighbour: kind, line and at name the border; role 0 is the upper or left side. Corners count only for eight."""
+    planes = [np.pad(p, [(0, size - p.shape[0]), (0, size - p.shape[1])]) if p.shape != (size, size) else p for p in planes]
     whole, last = slice(None), slice(-1, None)
     places = [("row", top, left, 1, (slice(1), whole)), ("row", top + size, left, 0, (last, whole)), ("col", left, top, 1, (whole, slice(1))), ("col", left + size, top, 0, (whole, last))]
     if eight:
@@ -86,15 +92,17 @@ def numbered_squares(blocks: DataFrame, planes: Callable[[dict], list[np.ndarray
 
     def one(parts: pd.DataFrame) -> pd.DataFrame:
         top, left = int(parts["top"].iloc[0]) + reach, int(parts["left"].iloc[0]) + reach
-        found, more = label(*(assembled(parts, n) for n in names))
-        if not any(p.any() for p in found):
+        tall, wide = int((parts["row0"] + parts["h"]).max()) - top, int((parts["col0"] + parts["w"]).max()) - left
+        rim = (slice(min(tall, size) + 2 * reach), slice(min(wide, size) + 2 * reach))  # a square at the end of a scene is cut where its blocks end
+        found, more = label(*(assembled(parts, n)[rim] for n in names))
+        if min(found[0].shape) < 1 or not any(p.any() for p in found):
             return pd.DataFrame(columns=columns)
         counts = [int(p.max()) for p in found]
-        return pd.DataFrame([(parts["scene"].iloc[0], top, left, counts, _strips(top, left, size, found, eight), *more.values())], columns=columns)
+        return pd.DataFrame([(parts["scene"].iloc[0], top, left, *found[0].shape, counts, _strips(top, left, size, found, eight), *more.values())], columns=columns)
 
-    columns = ["scene", "row0", "col0", "counts", "strips", *(c.split()[0] for c in extra.split(", "))]
+    columns = ["scene", "row0", "col0", "h", "w", "counts", "strips", *(c.split()[0] for c in extra.split(", "))]
     pieces = dealt(blocks, with_halo(size, reach), planes, names)
-    return materialised(pieces.groupBy("scene", "top", "left").applyInPandas(one, f"{SQUARE}, {extra}"))
+    return materialised(spread(pieces, "scene", "top", "left").groupBy("scene", "top", "left").applyInPandas(one, f"{SQUARE}, {extra}"))
 
 
 def component_pieces(blocks: DataFrame, band: str = "v", least: int = 128, eight: bool = True, size: int = SIZE) -> DataFrame:
@@ -111,7 +119,7 @@ def component_pieces(blocks: DataFrame, band: str = "v", least: int = 128, eight
     own = squares.select("scene", "row0", "col0", F.posexplode(F.sequence(F.lit(1), F.col("counts")[0])).alias("i", "local")).withColumn("id", number(F.col("local"), size))
     values = rooted(own, roots, "id").groupBy("scene", "row0", "col0").agg(F.transform(F.array_sort(F.collect_list(F.struct("local", "id"))), lambda x: x["id"]).alias("values"))
     out = squares.join(values, ["scene", "row0", "col0"])
-    out = materialised(out.select("scene", "row0", "col0", F.lit(size).alias("h"), F.lit(size).alias("w"), F.col("plane").alias("codes"), "values"))
+    out = materialised(out.select("scene", "row0", "col0", "h", "w", F.col("plane").alias("codes"), "values"))
     for used in (squares, between, roots):
         discarded(used)
     return out
@@ -156,7 +164,8 @@ def instance_pieces(blocks: DataFrame, t_interior: float = 0.5, t_boundary: floa
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                parts = unpacked(row["parts"], size, size)
+                h, w = row["h"], row["w"]
+                parts = unpacked(row["parts"], h, w)
                 codes, values, out = np.zeros(int(parts.max()) + 1, np.int32), [], []
                 shared = {}
                 for k in row["known"]:
@@ -167,9 +176,9 @@ def instance_pieces(blocks: DataFrame, t_interior: float = 0.5, t_boundary: floa
                         codes[k["part_no"]] = len(values)
                 where = (row["scene"], row["row0"], row["col0"])
                 if values:
-                    out.append((*where, size, size, packed(codes[parts]), values, None, None))
+                    out.append((*where, h, w, packed(codes[parts]), values, None, None))
                 if shared:
-                    seeds, surface = unpacked(row["seeds"], size, size), unpacked(row["surface"], size, size, "u1")
+                    seeds, surface = unpacked(row["seeds"], h, w), unpacked(row["surface"], h, w, "u1")
                     roots = np.zeros(int(seeds.max()) + 1, np.int32)
                     names = [s["seed"] for s in row["own"] or []]
                     roots[[s["seed_no"] for s in row["own"] or []]] = np.arange(1, len(names) + 1)
@@ -182,9 +191,9 @@ def instance_pieces(blocks: DataFrame, t_interior: float = 0.5, t_boundary: floa
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=schema.names), schema, preserve_index=False)
 
     schema = pa.schema([("scene", pa.string()), *((n, pa.int32()) for n in ("row0", "col0", "h", "w")), ("codes", pa.binary()), ("values", pa.list_(pa.int64())), ("part", pa.int64()), ("surface", pa.binary())])
-    known = squares.select(*place, "parts", "seeds", "surface").join(of_square, place).join(own_seeds, place, "left")
-    cut = materialised(known.mapInArrow(split, f"{PIECE}, part long, surface binary"))
-    flooded = cut.filter("part is not null").groupBy("scene", "part").applyInPandas(_flood, PIECE)
+    known = squares.select(*place, "h", "w", "parts", "seeds", "surface").join(of_square, place).join(own_seeds, place, "left")
+    cut = materialised(spread(known, *place).mapInArrow(split, f"{PIECE}, part long, surface binary"))
+    flooded = spread(cut.filter("part is not null"), "scene", "part").groupBy("scene", "part").applyInPandas(_flood, PIECE)
     out = materialised(cut.filter("part is null").drop("part", "surface").unionByName(flooded))
     for used in (squares, between, of_parts, of_seeds, cut):
         discarded(used)
@@ -229,9 +238,11 @@ def outlines(pieces: DataFrame, size: int = SIZE) -> DataFrame:
                         bottom, right = min((i + 1) * size + 1, r0 + row["h"]), min((j + 1) * size + 1, c0 + row["w"])
                         part = codes[top - r0 : bottom - r0, left - c0 : right - c0]
                         if min(part.shape) > 0 and part.any():
-                            used, part = np.unique(part, return_inverse=True)
-                            values = [0 if k == 0 else row["values"][k - 1] for k in used]
-                            out.append((row["scene"], i, j, top, left, bottom - top, right - left, packed(part.astype("<i4")), values))
+                            used = np.flatnonzero(np.bincount(part.ravel()))
+                            short = np.zeros(used[-1] + 1, "<i4")
+                            short[used] = np.arange(len(used))
+                            values = [0 if k == 0 else row["values"][k - 1] for k in used.tolist()]
+                            out.append((row["scene"], i, j, top, left, bottom - top, right - left, packed(short[part]), values))
             if out:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=schema.names), schema, preserve_index=False)
 
@@ -247,7 +258,7 @@ def outlines(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 
     schema = pa.schema([("scene", pa.string()), *((n, pa.int32()) for n in ("i", "j", "row0", "col0", "h", "w")), ("codes", pa.binary()), ("values", pa.list_(pa.int64()))])
     parts = pieces.mapInArrow(deal, "scene string, i int, j int, row0 int, col0 int, h int, w int, codes binary, values array<long>")
-    walks = materialised(parts.groupBy("scene", "i", "j").applyInPandas(walk, "scene string, label long, id long, next long, xs array<int>, ys array<int>"))
+    walks = materialised(spread(parts, "scene", "i", "j").groupBy("scene", "i", "j").applyInPandas(walk, "scene string, label long, id long, next long, xs array<int>, ys array<int>"))
     closed = walks.filter("next is null").select("scene", "label", "xs", "ys")
     open_ = walks.filter("next is not null")
     if not open_.isEmpty():
