@@ -662,24 +662,46 @@ def parameter_count(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- kernels, checked by tests and by their rows
 
 
-@query()
+@query(
+    """with r as (select p_partkey as id, 10 + p_size as w, 10 + p_partkey % 23 as h, [0, 0.1, 0.2, 0.3, 0.4, 0.56, 0.66][p_partkey % 7 + 1]::double as bend from part)
+select id, (case when bend > 0.6 then 8 else 4 end)::int as n_vertices, round(w * (h - case when bend > 0.5 then bend / 2 else 0 end) - case when bend > 0.6 then 2 * 5.98::double else 12 end, 2) as area_m2, 1.0::double as orthogonality from r"""
+)
 def rect_regularize(spark: SparkSession, d: str) -> DataFrame:
-    """A turned rectangle with a bent wall for each part, squared."""
+    """A turned rectangle with a bent wall and a hole near it for each part: bends up to the tolerance are thinned away, others squared, and a wall that moves into the hole cuts it."""
     k = F.col("p_partkey")
-    rows = table(spark, d, "part").select(k.alias("id"), (10.0 + F.col("p_size")).alias("w"), (10.0 + k % 23).alias("h"), F.radians(k % 90).alias("theta"), (k % 7 / 10).alias("bend"))
+    bend = F.element_at(F.array(*map(F.lit, (0.0, 0.1, 0.2, 0.3, 0.4, 0.56, 0.66))), (k % 7 + 1).cast("int"))
+    rows = table(spark, d, "part").select(k.alias("id"), (10.0 + F.col("p_size")).alias("w"), (10.0 + k % 23).alias("h"), F.radians(k % 90).alias("theta"), bend.alias("bend"))
 
     def square(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, w, h, theta, bend in batch.itertuples(index=False):
-                ring = np.array([[0, 0], [w / 2, bend], [w, 0], [w, h], [0, h]])
-                got = polygons.cleaned([polygons.turned(ring, theta, np.zeros(2))], edge_least=1.0)
+                rings = np.array([[0, 0], [w / 2, bend], [w, 0], [w, h], [0, h]]), np.array([[w - 2.5, 0.31], [w - 2.5, 6.31], [w - 0.5, 6.31], [w - 0.5, 0.31]])
+                got = polygons.cleaned([polygons.turned(r, theta, np.zeros(2)) for r in rings], edge_least=1.0)
                 out.append((i, got["n_vertices"], got["area_m2"], got["orthogonality"]) if got else (i, 0, 0.0, 0.0))
             yield pd.DataFrame(out, columns=["id", "n_vertices", "area_m2", "orthogonality"])
 
     return rows.mapInPandas(square, "id long, n_vertices int, area_m2 double, orthogonality double")
 
 
+@query(
+    """with b as (select p_partkey // 4 as g, p_partkey * 7 % 15 as x0, p_partkey * 11 % 13 as y0, p_size % 9 + 2 as w, p_partkey % 6 + 2 as h from part),
+c as (select distinct g, x0 + i as x, y0 + j as y from b, range(11) u(i), range(8) v(j) where i < w and j < h),
+q as (select g, x + i as x, y + j as y, count(*) as n, bool_or(i = j) and bool_or(i <> j) as beside from c, range(2) u(i), range(2) v(j) group by all)
+select g, (select count(*) from c where c.g = q.g)::double as area, sum(case when n in (1, 3) then 1 when n = 2 and not beside then 2 else 0 end)::bigint as vertices,
+  (sum(case when n = 1 then 1 when n = 3 then -1 when n = 2 and not beside then 2 else 0 end) // 4)::bigint as parts_less_holes from q group by g"""
+)
+def union_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Unions of four boxes as geometry: area, corners of all rings, and parts less holes."""
+    k = F.col("p_partkey")
+    boxes_ = table(spark, d, "part").select(F.floor(k / 4).alias("g"), (k * 7 % 15).alias("x0"), (k * 11 % 13).alias("y0"), (F.col("p_size") % 9 + 2).alias("w"), (k % 6 + 2).alias("h"))
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
+    found = vectorise.united_layer(boxes_.select("g", F.array(F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))).alias("rings")), "g")
+    rings = F.flatten("parts")
+    return found.select("g", r6("area").alias("area"), F.aggregate(rings, F.lit(0).cast("long"), lambda n, r: n + F.size(r)).alias("vertices"), (2 * F.size("parts") - F.size(rings)).cast("long").alias("parts_less_holes"))
+
+
 def part_scenes(spark: SparkSession, d: str, faint: bool = False) -> tuple[DataFrame, DataFrame]:
     """Probability and label blocks: each part a building on a lattice, 256 a scene. faint predicts those in odd slots too low."""
     k = F.col("p_partkey")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.operators import matching, scenes
-from gridweave.operators.kernels import labels, polygons
+from gridweave.operators.kernels import arrangement, labels, polygons
 from gridweave.sources.vectors import LAYER
 
 
@@ -58,11 +58,11 @@ def label_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), ar
     """LAYER of label blocks (v): 8-connected components as traced, without simplification."""
 
     def whole(rings: list[np.ndarray]) -> dict | None:
-        if not polygons.is_simple(rings[0]):
-            parts = polygons.simple_parts(rings[0])
+        if not polygons.is_valid(rings):
+            parts = polygons.repaired(rings)
             if len(parts) != 1:
                 return None
-            rings = [parts[0], *rings[1:]]
+            rings = parts[0]
         if polygons.area(rings) < area_least:
             return None
         return {"rings": rings, "area_m2": round(polygons.area(rings), 2), "perimeter_m": round(polygons.length(rings), 2), "n_vertices": len(rings[0])}
@@ -129,6 +129,21 @@ def merged_unions(found: DataFrame, preds: DataFrame, gts: DataFrame) -> DataFra
     return rows.select("scene", "gt", "preds", "shapes", "gt_rings").mapInPandas(united, f"scene {kind['scene']}, gt {kind['gt']}, preds array<{kind['pred']}>, members long, iou double")
 
 
+def united_layer(layer: DataFrame, *keys: str) -> DataFrame:
+    """keys, parts (arrays of rings, largest first), area of the union of each group's polygons (rings); one row of a group and its polygons at a time."""
+
+    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [arrangement.united([[np.array([[p["x"], p["y"]] for p in r]) for r in rings] for rings in shapes]) for shapes in rows["shapes"]]
+            points = [[[[{"x": float(x), "y": float(y)} for x, y in r] for r in polygon] for polygon in parts] for parts in found]
+            yield rows[[*keys]].assign(parts=points, area=[sum(map(polygons.area, parts)) for parts in found])
+
+    shapes = layer.filter(F.col("rings").isNotNull()).groupBy(*keys).agg(F.collect_list("rings").alias("shapes"))
+    kinds = dict(shapes.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return shapes.mapInPandas(unite, f"{schema}, parts array<array<array<struct<x:double,y:double>>>>, area double")
+
+
 def by_scene(blocks: DataFrame):
     """Blocks grouped by scene, dealt to all tasks: scenes are few bytes but much work, so they aren't coalesced by size."""
     return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scene").groupBy("scene")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from gridweave.operators import scoring
+from gridweave.operators.kernels import arrangement as A
 from gridweave.operators.kernels import labels as L
 from gridweave.operators.kernels import polygons as P
 from gridweave.operators.raster import ellipse, taper
@@ -65,10 +66,59 @@ def test_simplify_and_square():
     assert P.cleaned([ELL])["n_vertices"] == 6
 
 
-def test_bow_tie_is_cut():
+def test_repair_of_whole_polygons():
     bow = np.array([[0, 0], [10, 10], [10, 0], [0, 10]], float)
     assert not P.is_simple(bow)
-    assert sorted(abs(P.ring_area(r)) for r in P.simple_parts(bow)) == pytest.approx([25, 25])
+    assert [P.area(p) for p in A.repaired([bow])] == pytest.approx([25, 25])
+    shell = np.array([[0, 0], [20, 0], [18.2, 10], [20, 20], [0, 20]])
+    hole = np.array([[10, 0.3], [19.7, 0.3], [19.3, 3], [10, 3]])  # squaring moves the wall into it
+    out = P.regularised([shell, hole])
+    assert P.is_valid(out) and P.area(out) == pytest.approx(357.43)
+    assert P.cleaned([shell, hole])["area_m2"] == 357.43
+    assert P.cleaned([bow + 5], area_least=1, tolerance=0, regularise=False) is None  # two parts
+    touching = np.array([[0, 0], [6, 0], [6, 6], [0, 6], [0, 0], [3, 1], [5, 3], [3, 3]], float)  # a ring that comes back to its first corner
+    (whole,) = A.repaired([touching])
+    assert [len(r) for r in whole] == [4, 4] and P.area(whole) == pytest.approx(31)
+    inner = [SQUARE, SQUARE * 0.5 + 2, SQUARE * 0.5 + 4]
+    (cut,) = A.repaired(inner)
+    assert P.area(cut) == pytest.approx(100 - 41) and len(cut) == 2
+    assert A.repaired([]) == [] and A.repaired([SQUARE * 0]) == [] and A.repaired([SQUARE[:2]]) == [] and not P.is_valid([])
+    assert not P.is_valid([SQUARE, SQUARE * 0.2 + 20]) and not P.is_valid([SQUARE, SQUARE * 0.6 + 1, SQUARE * 0.2 + 3]) and P.is_valid([SQUARE, SQUARE * 0.2 + 2])
+
+
+def test_arrangements_equal_sweeps():
+    rng = np.random.default_rng(0)
+    for t in range(150):
+        drawn = (lambda k: rng.integers(0, 7, (k, 2)).astype(float)) if t % 2 else (lambda k: rng.random((k, 2)) * 10)
+        polygon = [drawn(rng.integers(3, 9)), *(drawn(rng.integers(3, 6)) for _ in range(rng.integers(0, 3)))]
+        (want,) = P.areas_where([[r] for r in polygon], [lambda i: i[0] & ~i[1:].any(0)])
+        far = np.array([5e5, 4e6]) if t % 3 == 0 else np.zeros(2)
+        parts = A.repaired([r + far for r in polygon])
+        assert sum(map(P.area, parts)) == pytest.approx(want, abs=1e-5)
+        for p in parts:  # shells one way, holes the other, and none across another
+            assert P.ring_area(p[0]) > 0 and all(P.ring_area(h) < 0 for h in p[1:])
+            assert P.areas_where([[r - far] for r in p], [lambda i: i[0] & ~i[1:].any(0)])[0] == pytest.approx(P.area(p), abs=1e-4)
+        shapes = [[drawn(4)] for _ in range(4)]
+        assert sum(map(P.area, A.united(shapes))) == pytest.approx(P.areas_where(shapes, [lambda i: i.any(0)])[0], abs=1e-6)
+
+
+def test_rings_are_simplified_together():
+    wave = np.array([[x, 0.45 * (x % 2)] for x in range(21)] + [[20, 10], [0, 10]], float)
+    near = np.array([[4.4, 0.3], [5.6, 0.3], [5.6, 3], [4.4, 3]])[[0, 3, 2, 1]]  # in a notch of the wall, which thinning would fill
+    near[:, 1] += 0.16
+    polygon = [wave, near]
+    assert P.is_valid(polygon)
+    out = P.simplified(polygon, 0.5)
+    assert P.is_valid(out) and len(out[0]) <= len(wave)
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        angles = np.linspace(0, 2 * math.pi, 80, endpoint=False)
+        shell = np.stack([np.cos(angles), np.sin(angles)], 1) * (10 + rng.uniform(-0.4, 0.4, 80))[:, None]
+        hole = shell[::-2] * rng.uniform(0.93, 0.96)
+        if P.is_valid([shell, hole]):
+            thin = P.simplified([shell, hole], 0.8)
+            assert P.is_valid(thin) and len(thin[0]) < 80
+    assert len(P.simplified([SQUARE, SQUARE * 0.2 + 2], 0.5)[1]) == 4
 
 
 def test_components_and_erosion():
