@@ -17,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links with a host of their own, from href attributes.
 LINK = r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'<>\s]+)"
 DAMPING, ROUNDS, CLOSE = 0.85, 50, 1e-6
+#: Labels that a host's name has at most.
+MOST_LABELS = 127
 #: A host is blocked if its distrust exceeds its trust and this: what a host has that is blocked by half, without any link.
 LEAST = 0.5 * (1 - DAMPING)
 
@@ -76,11 +78,17 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rou
 
 
 def family(parsed: DataFrame) -> DataFrame:
-    """(src, dst) both ways between each host and the host it is directly a subdomain of, if both have pages."""
-    hosts = parsed.select("host").distinct()
-    up = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst")).filter("dst <> ''")
-    kin = up.join(hosts.select(F.col("host").alias("dst")), "dst").select("src", "dst")
-    return kin.unionByName(kin.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    """(src, dst) both ways between each host and its parent, that between its parent and the parent's, and so on, whether parents have pages or not.
+
+    The last parent has two labels: a bare top-level domain has no owner. Addresses of digits, and hosts of more labels than
+    names can have, have no parents.
+    """
+    labels = F.split("host", r"\.")
+    hosts = parsed.select("host").distinct().filter((F.size(labels) <= MOST_LABELS) & ~F.col("host").rlike(r"^[0-9.]*$"))
+    line = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    steps = F.transform(F.slice("line", F.lit(2), F.size("line")), lambda up, i: F.struct(F.get("line", i).alias("src"), up.alias("dst")))
+    up = hosts.filter(F.size(labels) > 2).withColumn("line", line).select(F.explode(steps).alias("e")).select("e.*").distinct()
+    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
 def judged(pages: DataFrame, rules: DataFrame, least: float = LEAST, families: bool = True) -> DataFrame:
@@ -88,7 +96,7 @@ def judged(pages: DataFrame, rules: DataFrame, least: float = LEAST, families: b
 
     The verdict is that of the longest rule that fits, or the graph's: block if the host's distrust
     is above its trust and above least, else allow. Edges are the links between hosts, and with families
-    one link each way between a host and the host it is a subdomain of, where both have pages. A host's seeds are the shares of its pages that
+    one link each way between a host and the host it is a subdomain of, see family(). A host's seeds are the shares of its pages that
     rules allow and block. A null url, or one without ://, has an empty host and path, no links, and is allowed;
     null html has no links; repeated rows count as pages. An empty table gives an empty result.
     """

@@ -117,7 +117,7 @@ def test_plan_uses_every_piece():
         assert [used[i] for i in range(65)] == counts.tolist()
 
 
-RULES = [("com", "/", "allow"), ("bad.org", "/", "block"), ("x.bad.org", "/ok", "allow"), ("bad.org", "/", "allow")]
+RULES = [("com", "/", "allow"), ("bad.org", "/", "block"), ("x.bad.org", "/ok", "allow"), ("bad.org", "/", "allow"), ("net", "/es/", "block")]
 
 
 def brute_graph(pages, rules, least=linkgraph.LEAST):
@@ -138,11 +138,16 @@ def brute_graph(pages, rules, least=linkgraph.LEAST):
         s[1] += best is not None and best[1] == "allow"
         s[2] += best is not None and best[1] == "block"
     edges = Counter((h, d.lower()) for _, h, _, html in parsed for d in re.findall(linkgraph.LINK, html or "") if h and d.lower() != h)
+    kin = set()
     for h in {p[1] for p in parsed}:
-        up = h.partition(".")[2]
-        if up and h.partition(".")[0] and up in {p[1] for p in parsed}:
-            edges[h, up] += 1
-            edges[up, h] += 1
+        line = h.split(".")
+        if len(line) <= linkgraph.MOST_LABELS and re.search("[^0-9.]", h):
+            ups = [".".join(line[i:]) for i in range(len(line) - 1)]
+            kin |= set(zip(ups, ups[1:], strict=False))
+    for a, b in kin:
+        if a and b:
+            edges[a, b] += 1
+            edges[b, a] += 1
     hosts = set(share) | {h for e in edges for h in e}
     own = {h: tuple(0.15 * x / share[h][0] for x in share[h][1:]) if h in share else (0, 0) for h in hosts}
     score = dict(own)
@@ -164,13 +169,14 @@ def brute_graph(pages, rules, least=linkgraph.LEAST):
 
 def test_link_graph(spark):
     link = lambda *hosts: "".join(f'<a href="https://{h}/p">x</a><A HREF = //{h}>' for h in hosts)
-    pages = [(1, "http://A.com/x", link("good.net")), (2, "http://bad.org/x?q#f", ""), (3, "https://shady.net/", link("bad.org", "bad.org")), (4, "http://good.net", link("a.com")), (5, "http://x.bad.org/ok/1", None), (6, None, link("bad.org")), (7, "no scheme", ""), (8, "u://lonely.io#x", link("lonely.io")), (9, "http://farm.net/1", link("shady.net", "bad.org", "good.net")), (9, "http://farm.net/1", link("shady.net"))]
+    pages = [(1, "http://A.com/x", link("good.net")), (2, "http://bad.org/x?q#f", ""), (3, "https://shady.net/", link("bad.org", "bad.org")), (4, "http://good.net", link("a.com")), (5, "http://x.bad.org/ok/1", None), (6, None, link("bad.org")), (7, "no scheme", ""), (8, "u://lonely.io#x", link("lonely.io")), (9, "http://farm.net/1", link("shady.net", "bad.org", "good.net")), (10, "http://a.b.kin.net/es/1", ""), (11, "http://a.b.kin.net/1", None), (12, "http://c.kin.net", ""), (13, "http://10.0.0.1/", ""), (14, "http://" + "x." * 200 + "long.net/es/", ""), (15, "http://..odd..net/es/", ""), (9, "http://farm.net/1", link("shady.net"))]
     frame = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, host string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     got = linkgraph.judged(frame, rules).select("page_id", "host", "path", "rule", "verdict").collect()
     want = brute_graph(pages, RULES)
     assert sorted(map(tuple, got), key=str) == want
     assert {w[1]: w[4] for w in want}["shady.net"] == "block"
+    assert ("a.b.kin.net", "block") in {(w[1], w[4]) for w in want if w[3] is None}
     assert linkgraph.judged(frame.limit(0), rules).collect() == []
 
 
