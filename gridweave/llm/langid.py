@@ -63,14 +63,16 @@ class Automata:
                 self.symbols[ord(form)] = 3 + len(blocks) + i
         tables, self.roots, at = [], [], 0
         self.bits = []
-        for lang in self.langs:
-            symbols = self.encode(folded[lang])[:most_symbols]
+        every = [self.encode(folded[lang])[:most_symbols] for lang in self.langs]
+        # an automaton has at most two states a symbol; offsets are doubled in the table
+        self.kind = np.int32 if sum(2 * len(s) + 2 for s in every) * self.width < 1 << 30 else np.int64
+        for symbols in every:
             part = self._table(symbols.tolist(), at)
             tables.append(part)
             at += len(part)
             self.roots.append(at - self.width)
             self.bits.append(float(np.log2(max(2, len(symbols)))))
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables) if tables else np.zeros(0, self.kind)
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a text; runs of what is no letter become one."""
@@ -112,12 +114,12 @@ class Automata:
         fresh = np.where(out[0] >= 0, out[0], starts[-1] * 2) + 1
         out = np.where(out >= 0, out, fresh)
         out[:, 0] = starts * 2
-        return out.astype(np.int32).ravel()
+        return out.astype(self.kind).ravel()
 
     def phrases(self, passages: np.ndarray) -> np.ndarray:
         """passages: one per column; phrases of each, by language."""
         n = passages.shape[1]
-        state = np.repeat(np.array(self.roots, np.int32) * 2, n).reshape(len(self.roots), n)
+        state = np.repeat(np.array(self.roots, self.kind) * 2, n).reshape(len(self.roots), n)
         count = np.zeros_like(state)
         for row in passages:
             state = self.table.take((state >> 1) + row)

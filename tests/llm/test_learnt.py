@@ -304,3 +304,21 @@ def test_audio_query_by_brute_force(spark):
         assert all(0 <= x["start"] < x["stop"] <= seconds for x in kept[r["doc_id"]]["spans"])
         by_text.setdefault(docs[r["doc_id"]] or "", set()).add(r["feature"])
     assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_automata_of_many_languages(monkeypatch):
+    """Tables of 200 languages, and the same answers from wide offsets."""
+    rng = np.random.default_rng(11)
+    syllables = ["".join(rng.choice(list("bcdfghklmnprstvz"), 1)) + "".join(rng.choice(list("aeiou"), 1)) for _ in range(60)]
+    samples, texts = {}, {}
+    for k in range(200):
+        own = rng.choice(syllables, 8)
+        draw = lambda n: " ".join("".join(rng.choice(own, 3)) for _ in range(n))  # noqa: B023, E731
+        samples[f"l{k:03}"], texts[f"l{k:03}"] = [draw(60)], draw(40)
+    model = langid.Automata(samples, 400)
+    got, _ = langid._judged(model, list(texts.values()))
+    assert sum(a == b for a, b in zip(got, texts, strict=True)) >= 190
+    assert model.table.dtype == np.int32
+    wide = langid.Automata.__new__(langid.Automata)
+    wide.__dict__.update(model.__dict__, table=model.table.astype(np.int64), kind=np.int64)
+    assert langid._judged(wide, list(texts.values()))[0] == got
