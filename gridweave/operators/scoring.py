@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +56,11 @@ def scene_probabilities(image: np.ndarray, scorer: Scorer, tile: int = 512, over
     return np.rint(np.clip(total / np.maximum(seen, 1e-6), 0, 1) * 255).astype(np.uint8)[:, :h, :w]
 
 
-def scored_blocks(images: DataFrame, scorer: Scorer, tile: int = 512, overlap: int = 128, views: int = 8, symmetric: bool = True, size: int = SIZE) -> DataFrame:
+def scored_blocks(images: DataFrame, scorer: Scorer, tile: int = 512, overlap: int = 128, views: int = 8, symmetric: bool = True, size: int = SIZE, chips_at_once: int = 8) -> DataFrame:
     """Blocks (size x size) with interior and boundary from image blocks with r, g and b: what scene_probabilities() gives for the whole scene.
 
-    A window is one task's input, then the few windows that meet a block: scenes may be of any size.
+    A task streams its windows and scores chips_at_once of them together, the scorer being sent to it once; then the few
+    windows that meet a block are one group: scenes may be of any size.
     """
     sizes = images.groupBy("scene").agg(F.max(F.col("row0") + F.col("h")).alias("height"), F.max(F.col("col0") + F.col("w")).alias("width"))
     meets = lambda total, start, length: F.filter(window_starts(F.col(total), tile, tile - overlap), lambda s: (s < F.col(start) + F.col(length)) & (s + tile > F.col(start)))
@@ -68,16 +70,36 @@ def scored_blocks(images: DataFrame, scorer: Scorer, tile: int = 512, overlap: i
     edge = taper(tile, overlap // 2, symmetric)
     weight = np.outer(edge, edge)
 
-    def score(pieces: pd.DataFrame) -> pd.DataFrame:
-        scene, top, left, height, width = pieces[["scene", "top", "left", "height", "width"]].iloc[0]
-        p = viewed(np.stack([tiles.assembled(pieces, b) for b in "rgb"], 2)[None], scorer, views)[0]
+    def parts_of(where: tuple, p: np.ndarray) -> list[tuple]:
+        scene, top, left, height, width = where
         out = []
         for r in range(top // size * size, min(top + tile, height), size):
             for c in range(left // size * size, min(left + tile, width), size):
                 a, b, z, y = max(r, top), max(c, left), min(r + size, top + tile, height), min(c + size, left + tile, width)
                 part = np.ascontiguousarray(p[:, a - top : z - top, b - left : y - left])
                 out.append((scene, r, c, min(size, height - r), min(size, width - c), top, left, a, b, z, y, part.dtype.str, part.tobytes()))
-        return pd.DataFrame(out, columns=names)
+        return out
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[tuple, np.ndarray]] = []
+
+        def scored() -> pa.RecordBatch:
+            maps = viewed(np.stack([chip for _, chip in waiting]), scorer, views)
+            rows = [row for (where, _), p in zip(waiting, maps, strict=True) for row in parts_of(where, p)]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for row in (row for batch in batches for row in batch.to_pylist()):  # sorted, so a window's pieces follow each other
+            where = tuple(row[k] for k in ("scene", "top", "left", "height", "width"))
+            if not waiting or waiting[-1][0] != where:
+                if len(waiting) == chips_at_once:
+                    yield scored()
+                waiting.append((where, np.zeros((tile, tile, 3), np.uint8)))
+            at = (slice(row["row0"] - row["top"], row["row0"] - row["top"] + row["h"]), slice(row["col0"] - row["left"], row["col0"] - row["left"] + row["w"]))
+            for k, band in enumerate("rgb"):
+                waiting[-1][1][*at, k] = np.frombuffer(row[band], np.uint8).reshape(row["h"], row["w"])
+        if waiting:
+            yield scored()
 
     names = ["scene", "row0", "col0", "h", "w", "top", "left", "r0", "c0", "r1", "c1", "kind", "p"]
 
@@ -91,5 +113,8 @@ def scored_blocks(images: DataFrame, scorer: Scorer, tile: int = 512, overlap: i
         planes = np.rint(np.clip(total / np.maximum(seen, 1e-6), 0, 1) * 255).astype(np.uint8)
         return pd.DataFrame([(scene, row0, col0, h, w, planes[0].tobytes(), planes[1].tobytes())], columns=[*names[:5], "interior", "boundary"])
 
-    scored = chips.groupBy("scene", "top", "left").applyInPandas(score, f"{KEY}, top int, left int, r0 int, c0 int, r1 int, c1 int, kind string, p binary")
+    kinds = [pa.string(), *[pa.int32()] * 10, pa.string(), pa.binary()]
+    parts = int(chips.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not coalesced by size
+    sorted_ = chips.repartition(parts, "scene", "top", "left").sortWithinPartitions("scene", "top", "left")
+    scored = sorted_.mapInArrow(score, f"{KEY}, top int, left int, r0 int, c0 int, r1 int, c1 int, kind string, p binary")
     return scored.groupBy("scene", "row0", "col0").applyInPandas(blend, f"{KEY}, interior binary, boundary binary")

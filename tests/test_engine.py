@@ -291,6 +291,86 @@ def test_geotiff(spark, tmp_path):
         geotiff.tags(b"GIF89a__")
 
 
+def big_tiff(path, planes, side, start):
+    """A file with 64-bit offsets and deflated tiles, the first of which begins at start; what lies before stays unwritten."""
+    import struct
+    import zlib
+
+    h, w, n = planes.shape
+    tiles = []
+    for r in range(0, h, side):
+        for c in range(0, w, side):
+            tile = np.zeros((side, side, n), np.uint8)
+            part = planes[r : r + side, c : c + side]
+            tile[: part.shape[0], : part.shape[1]] = part
+            tiles.append(zlib.compress(tile.tobytes()))
+    offsets = [start + sum(map(len, tiles[:i])) for i in range(len(tiles))]
+    after = offsets[-1] + len(tiles[-1])
+    entries = [(256, "Q", [w]), (257, "Q", [h]), (258, "H", [8] * n), (259, "H", [8]), (277, "H", [n]), (322, "I", [side]), (323, "I", [side]), (324, "Q", offsets), (325, "Q", [len(t) for t in tiles])]
+    at, extra = after + 8 + 20 * len(entries) + 8, b""
+    body = struct.pack("<Q", len(entries))
+    for tag, form, values in entries:
+        packed = struct.pack(f"<{len(values)}{form}", *values)
+        kind = {"H": 3, "I": 4, "Q": 16}[form]
+        body += struct.pack("<HHQ", tag, kind, len(values))
+        body += packed.ljust(8, b"\0") if len(packed) <= 8 else struct.pack("<Q", at + len(extra))
+        extra += packed if len(packed) > 8 else b""
+    with path.open("wb") as file:
+        file.write(b"II" + struct.pack("<HHHQ", 43, 8, 0, after))
+        file.seek(start)
+        file.write(b"".join(tiles) + body + b"\0" * 8 + extra)
+
+
+def test_windows_of_raster_files(spark, tmp_path, monkeypatch):
+    from gridweave.sources import geotiff
+
+    rng = np.random.default_rng(8)
+    planes = np.repeat(rng.integers(0, 255, (200, 60, 2)), 5, 1).astype(np.uint8)  # 200 x 300
+    big_tiff(tmp_path / "big_prob.tif", planes, 32, (2 << 30) + 12345)
+    assert (tmp_path / "big_prob.tif").stat().st_size > 2 << 30
+    (tmp_path / "other_prob.tif").write_bytes(geotiff.encoded(planes[:50], None, 16))
+    whole = geotiff.read_geotiff(spark, str(tmp_path), ("a", "b"), "_prob.tif", 64)
+    rows = [r.asDict() for r in whole.filter("scene = 'big'").collect()]
+    assert all((blocks.from_rows(rows, band) == planes[..., i]).all() for i, band in enumerate("ab"))
+    assert whole.select("scene").distinct().count() == 2
+    part = geotiff.read_geotiff(spark, str(tmp_path), ("a", "b"), "_prob.tif", 64, "big", (70, 130, 20, 30))
+    assert [(r["scene"], r["row0"], r["col0"]) for r in part.collect()] == [("big", 64, 128)]
+    # the same window, decoded here: a block of 64 meets four tiles of 32, and nothing else is decoded
+    reader = geotiff.RasterReader({"path": str(tmp_path), "bands": "a,b", "suffix": "_prob.tif", "size": "64", "scene": "big", "window": "70,130,20,30"})
+    monkeypatch.setattr(geotiff, "SPLIT", 64 * 300 * 2)  # a partition a row of blocks
+    decoded = []
+    monkeypatch.setattr(geotiff, "unpacked", lambda data, kind, real=geotiff.unpacked: decoded.append(1) or real(data, kind))
+    (one,) = reader.partitions()
+    assert (one.first, one.stop) == (1, 2)
+    (batch,) = reader.read(one)
+    assert len(decoded) == 4 and batch.num_rows == 1
+    assert (np.frombuffer(batch["b"][0].as_py(), np.uint8).reshape(64, 64) == planes[64:128, 128:192, 1]).all()
+    with pytest.raises(Exception, match="bands"):
+        geotiff.read_geotiff(spark, str(tmp_path), ("a", "b", "c"), "_prob.tif").collect()
+
+
+def test_scorer_gets_batches_of_chips(spark):
+    rng = np.random.default_rng(9)
+    image = rng.integers(0, 255, (130, 170, 3)).astype(np.uint8)
+    rows = blocks.to_rows("a", 50, r=image[..., 0], g=image[..., 1], b=image[..., 2])
+
+    def scorer(chips):
+        if len(chips) > 3:
+            raise ValueError("more chips than asked for")
+        return scoring.excess_green_scorer(chips) * (1.0 if len(chips) > 1 else 0.5)  # a lone chip would show
+
+    sizes = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = [r.asDict() for r in scoring.scored_blocks(blocks.block_table(spark, rows, "r", "g", "b"), scorer, tile=40, overlap=10, size=64, chips_at_once=3).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", sizes)
+    want = scoring.scene_probabilities(image, scoring.excess_green_scorer, 40, 10)
+    windows = len(scoring.starts(130, 40, 30)) * len(scoring.starts(170, 40, 30))
+    assert windows % 3 != 1
+    assert all((blocks.from_rows(got, band) == want[k]).all() for k, band in enumerate(("interior", "boundary")))
+
+
 def test_lzw_decoding():
     from gridweave.sources import geotiff
 
