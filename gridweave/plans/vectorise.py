@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gridweave.operators import matching, scenes
 from gridweave.operators.kernels import arrangement, labels, polygons
+from gridweave.sources.tables import materialised
 from gridweave.sources.vectors import LAYER
 
 
@@ -93,8 +94,8 @@ def boxed(layer: DataFrame) -> DataFrame:
 
 
 def candidates(preds: DataFrame, gts: DataFrame, cell: float = 64.0) -> DataFrame:
-    """scene, pred, gt, iou, overlap, pred_area, gt_area of all pairs that share area: a grid join of boxes, then exact overlay."""
-    pairs = matching.grid_join(boxed(preds), boxed(gts), cell, "scene")
+    """scene, pred, gt, iou, overlap, pred_area, gt_area of all pairs that share area: a join of boxes by cells, then exact overlay."""
+    pairs = matching.adaptive_join(materialised(boxed(preds)), materialised(boxed(gts)), cell, "scene")  # read several times
 
     def overlaid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         as_polygon = lambda rings: [np.array([[p["x"], p["y"]] for p in r]) for r in rings]

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from gridweave.sources.blocks import KEY, SIZE
+from gridweave.sources.tables import store_of
 
 # Numbers of tags and the byte widths of their types, as the format defines them.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES = 256, 257, 258, 259, 273, 277, 278, 279
@@ -186,7 +187,7 @@ class RasterReader(DataSourceReader):
         self.rows, self.cols = ((max(0, at) // self.size * self.size, at + length) for at, length in ((row, h), (col, w)))  # from, below
 
     def _files(self) -> Iterator[tuple[str, str, int]]:
-        store, folder = _store(self.path)
+        store, folder = store_of(self.path)
         for f in sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path):
             scene = f.base_name.removesuffix(self.suffix)
             if f.type == fs.FileType.File and f.base_name.endswith(self.suffix) and self.scene in (None, scene):
@@ -204,7 +205,9 @@ class RasterReader(DataSourceReader):
                 out += [Blocks(path, scene, at, min(at + step, stop)) for at in range(first, stop, step)]
         return out
 
-    def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Blocks | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no file
+            return
         schema = pa.schema([("scene", pa.string()), *((n, pa.int32()) for n in ("row0", "col0", "h", "w")), *((b, pa.binary()) for b in self.names), ("affine", pa.list_(pa.float64()))])
         with _opened(self.path, partition.path) as raster:
             if raster.bands < len(self.names):
@@ -223,13 +226,9 @@ class RasterReader(DataSourceReader):
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 @contextmanager
 def _opened(folder: str, path: str) -> Iterator[Raster]:
-    with _store(folder)[0].open_input_file(path) as file:
+    with store_of(folder)[0].open_input_file(path) as file:
         yield Raster(lambda at, n: file.read_at(n, at))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +40,8 @@ def discarded(df: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, for sources that read and write files by themselves, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
