@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.measures import sigmoid
 from gridweave.operators.experiments import focal_tversky, soft_dice
+from gridweave.operators.ordering import numbered
+from gridweave.sources.tables import materialised
 
 # Means and deviations of red, green and blue in the published ImageNet statistics.
 IMAGENET = {"r": (0.485, 0.229), "g": (0.456, 0.224), "b": (0.406, 0.225)}
@@ -91,11 +93,37 @@ def augmented(chip: np.ndarray, rng: np.random.Generator, scale: tuple[float, fl
     return out
 
 
-def tile_set(blocks: DataFrame, seed: int | None = None, normalization: str = "imagenet", green: bool = False) -> DataFrame:
+def partnered(blocks: DataFrame, seed: int, intra: bool = False) -> DataFrame:
+    """blocks (scene, row0, col0, city, h, w, r, g, b, ...) with partner_h, partner_w, partner_r, partner_g, partner_b of another block, or of itself where there is no other.
+
+    All blocks, with intra those of each city, are put in an order that depends on the seed and on their places only; a block's
+    partner is the next one, the last one's the first. The order is numbered by ranges; pixels are joined once.
+    """
+    group = F.col("city") if intra else F.lit("")
+    name = F.md5(F.concat_ws(":", F.lit(str(seed)), "scene", F.col("row0").cast("string"), F.col("col0").cast("string")))
+    keys = ["scene", "row0", "col0"]
+    order = materialised(numbered(blocks.select(*keys, group.alias("group"), name.alias("name")), "group", "name", *keys))
+    sizes = order.groupBy("group").agg(F.min("nth").alias("first"), F.count("*").alias("n"))
+    after = order.join(sizes, order["group"].eqNullSafe(sizes["group"])).select(*keys, (F.col("first") + (F.col("nth") - F.col("first") + 1) % F.col("n")).alias("nth"))
+    to = after.join(order.select("nth", *[F.col(k).alias(f"to_{k}") for k in keys]), "nth").drop("nth")
+    others = blocks.select(*[F.col(k).alias(f"to_{k}") for k in keys], *[F.col(c).alias(f"partner_{c}") for c in ("h", "w", "r", "g", "b")])
+    return blocks.join(to, keys).join(others, [f"to_{k}" for k in keys]).drop(*[f"to_{k}" for k in keys])
+
+
+def zoomed(planes: np.ndarray, zoom: float) -> np.ndarray:
+    """planes (h x w x bands) around their middle, by nearest cells; cells beyond repeat the edge."""
+    rows, cols = (np.clip(((np.arange(n) - n / 2) / zoom + n / 2).astype(int), 0, n - 1) for n in planes.shape[:2])
+    return planes[rows][:, cols]
+
+
+def tile_set(blocks: DataFrame, seed: int | None = None, normalization: str = "imagenet", green: bool = False, p_zoom: float = 0.0, zooms: tuple[float, float] = (0.75, 1.35), p_swap: float = 0.0) -> DataFrame:
     """scene, row0, col0, x, y of blocks with r, g, b, interior, boundary: flat float tensors, bands first. A seed augments, the same way in every run.
 
-    imagenet scales by fixed statistics, per_tile by the tile's own; green adds excess green as a band.
+    imagenet scales by fixed statistics, per_tile by the tile's own; green adds excess green as a band. With a seed, p_zoom is
+    the chance that picture and labels are zoomed together, and p_swap, for blocks of partnered(), that the low frequencies'
+    amplitudes come from the partner, if it has the same size.
     """
+    swaps = ["partner_h", "partner_w", "partner_r", "partner_g", "partner_b"] if p_swap else []
     if normalization not in ("imagenet", "per_tile"):
         raise ValueError(f"no such normalization: {normalization}")
 
@@ -108,6 +136,12 @@ def tile_set(blocks: DataFrame, seed: int | None = None, normalization: str = "i
                     rng = np.random.default_rng([seed, row["row0"], row["col0"], *row["scene"].encode()])
                     colours = rng.integers(0, 2**31)
                     turns, flip = int(rng.integers(0, 4)), bool(rng.integers(0, 2))
+                    more = np.random.default_rng(colours + 1)
+                    if p_swap and more.random() < p_swap and (row["partner_h"], row["partner_w"]) == shape:
+                        other = np.stack([np.frombuffer(row[f"partner_{b}"], np.uint8).reshape(shape) for b in "rgb"], 2)
+                        planes = np.concatenate([amplitude_swapped(planes[..., :3], other), planes[..., 3:]], 2)
+                    if p_zoom and more.random() < p_zoom:
+                        planes = zoomed(planes, more.uniform(*zooms))
                     planes = np.rot90(planes[:, ::-1] if flip else planes, turns)
                     planes = np.concatenate([augmented(planes[..., :3], np.random.default_rng(colours), p_scale=0.0), planes[..., 3:]], 2)
                 x = planes[..., :3].astype(np.float32) / 255
@@ -121,7 +155,7 @@ def tile_set(blocks: DataFrame, seed: int | None = None, normalization: str = "i
                 flat = [pa.array([v.transpose(2, 0, 1).ravel().astype(np.float32)], pa.list_(pa.float32())) for v in (x, y)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["scene"]]), pa.array([row["row0"]], pa.int32()), pa.array([row["col0"]], pa.int32()), *flat], ["scene", "row0", "col0", "x", "y"])
 
-    return blocks.select("scene", "row0", "col0", "h", "w", "r", "g", "b", "interior", "boundary").mapInArrow(tensors, "scene string, row0 int, col0 int, x array<float>, y array<float>")
+    return blocks.select("scene", "row0", "col0", "h", "w", "r", "g", "b", "interior", "boundary", *swaps).mapInArrow(tensors, "scene string, row0 int, col0 int, x array<float>, y array<float>")
 
 
 def save_state(spark: SparkSession, state: dict[str, np.ndarray], path: str) -> None:

@@ -124,11 +124,11 @@ def window_starts(total: Column, tile: int, stride: int) -> Column:
     return F.when(total <= tile, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(regular, F.array((total - tile).cast("int")))))
 
 
-def taper(size: int, overlap: int, symmetric: bool = False) -> np.ndarray:
+def taper(size: int, overlap: int, symmetric: bool = True) -> np.ndarray:
     """Weights along one axis of a window, at least 1e-3.
 
-    A half cosine rises over 2 * overlap samples from 0 to pi; its first half weighs the leading and
-    its second the trailing edge, as published. symmetric mirrors the leading edge instead.
+    A half cosine rises over 2 * overlap samples from 0 to pi; its first half weighs the leading edge, and mirrored
+    the trailing one. Without symmetric its second half weighs the trailing edge, as published.
     """
     w = np.ones(size)
     if overlap > 0:
@@ -139,9 +139,10 @@ def taper(size: int, overlap: int, symmetric: bool = False) -> np.ndarray:
 
 
 def taper_column(offset: Column, size: int, overlap: int) -> Column:
-    """The symmetric linear form of the weights, as an expression."""
-    edge = F.least(offset + 1, F.lit(size) - offset) / F.lit(float(overlap))
-    return F.greatest(F.lit(1e-3), F.least(F.lit(1.0), edge))
+    """taper() with symmetric as an expression of the offset in a window."""
+    edge = F.least(offset, F.lit(size - 1) - offset)
+    rise = 0.5 - 0.5 * F.cos(F.lit(math.pi) * edge / (2 * overlap - 1))
+    return F.greatest(F.lit(1e-3), F.when(edge < overlap, rise).otherwise(F.lit(1.0)))
 
 
 def blended(windows: DataFrame, *keys: str) -> DataFrame:

@@ -441,15 +441,21 @@ def window_starts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with strip as (select user_id % 150 as pos, avg(value) / 400 as v from events group by 1), w as (select unnest([0, 48, 86]) as start),
-c as (select pos, v * (1 + start / 1000.0::double) as value, greatest(1e-3::double, least(1, least(pos - start + 1, 64 - (pos - start)) / 16.0::double)) as weight from strip join w on pos >= start and pos < start + 64)
-select pos, round(greatest(0, least(1, sum(value * weight) / greatest(sum(weight), 1e-6::double))), 6) as blend, count(*) as windows from c group by pos"""
+    """with strip as (select user_id as pos, avg(value) / 400 as v from events group by 1), total as (select max(pos) + 1 as n from strip),
+w as (select unnest(range(0, greatest(n - 64, 0) + 1, 48)) as start from total union select greatest(n - 64, 0) from total),
+c as (select pos, v * (1 + start % 97 / 1000.0::double) as value, least(pos - start, 63 - (pos - start)) as edge from strip join w on pos >= start and pos < start + 64),
+g as (select pos, value, greatest(1e-3::double, case when edge < 16 then 0.5::double - 0.5::double * cos(pi() * edge / 31) else 1 end) as weight from c)
+select pos, round(greatest(0, least(1, sum(value * weight) / greatest(sum(weight), 1e-6::double))), 6) as blend, count(*) as windows from g group by pos"""
 )
 def blend_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    strip = table(spark, d, "events").groupBy((F.col("user_id") % 150).alias("pos")).agg((F.avg("value") / 400).alias("v"))
-    windows = strip.select("pos", "v", F.explode(raster.window_starts(F.lit(150), 64, 48)).alias("start")).filter("pos >= start and pos < start + 64")
-    cells = windows.select("pos", (F.col("v") * (1 + F.col("start") / 1000.0)).alias("value"), raster.taper_column(F.col("pos") - F.col("start"), 64, 16).alias("weight"))
-    return raster.blended(cells, "pos").withColumn("blend", r6("blend"))
+    """A strip as long as there are users, seen by overlapping windows that differ in their values, blended by the taper that scenes are blended by."""
+    strip = table(spark, d, "events").groupBy(F.col("user_id").alias("pos")).agg((F.avg("value") / 400).alias("v"))
+    total = strip.agg((F.max("pos") + 1).cast("int").alias("n"))
+    starts = total.select(F.explode(raster.window_starts(F.col("n"), 64, 48)).alias("start"))
+    # a position lies in the windows of at most two regular starts and the last one
+    cells = starts.select("start", F.explode(F.sequence(F.col("start"), F.col("start") + 63)).alias("pos")).join(strip, "pos")
+    cells = cells.select("pos", (F.col("v") * (1 + F.col("start") % 97 / 1000.0)).alias("value"), raster.taper_column(F.col("pos") - F.col("start"), 64, 16).alias("weight"))
+    return raster.blended(cells.withColumn("pos", F.col("pos").cast("long")), "pos").withColumn("blend", r6("blend"))
 
 
 TRIPLES = "t as (select vec_id, label, i, embedding[3 * i + 1]::double as r, embedding[3 * i + 2]::double as g, embedding[3 * i + 3]::double as b from embeddings, unnest(range(len(embedding) // 3)) u(i))"
@@ -747,18 +753,24 @@ def block_counts(spark: SparkSession, d: str) -> DataFrame:
     return whole.unionByName(tiles.band_counts(prob, label, (1, 3, 7), size=320))
 
 
-@query("select 'n' || n_nationkey as scene, (200 + n_nationkey * 7) * (150 + n_nationkey * 11) as cells, (n_nationkey * 9)::int as low, (n_nationkey * 9)::int as high from nation")
+@query(
+    """with n as (select n_nationkey as k, 200 + n_nationkey * 7 as tall, 150 + n_nationkey * 11 as wide from nation),
+c as (select k, y, x, (y * 3 + x * 5 + (y // 9) * (x // 7) + k * 9) % 256 as grey from n, range(375) v(y), range(420) u(x) where y < tall and x < wide)
+select 'n' || k as scene, count(*) as cells, min(grey)::int as low, max(grey)::int as high, sum(grey * ((y * 31 + x * 17) % 101))::bigint as placed from c group by k"""
+)
 def scene_inference(spark: SparkSession, d: str) -> DataFrame:
-    """Windows, eight views and blending of one grey scene a nation, which must come out as they went in."""
+    """Windows, eight views and blending of one textured grey scene a nation, every cell of which must come out where it was and as it was."""
     k = F.col("n_nationkey")
-    scenes = table(spark, d, "nation").select(F.concat(F.lit("n"), k).alias("scene"), (200 + k * 7).cast("int").alias("tall"), (150 + k * 11).cast("int").alias("wide"), (k * 9).cast("int").alias("grey"))
+    scenes = table(spark, d, "nation").select(F.concat(F.lit("n"), k).alias("scene"), (200 + k * 7).cast("int").alias("tall"), (150 + k * 11).cast("int").alias("wide"), (k * 9).cast("int").alias("shade"))
 
     def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for scene, tall, wide, grey in batch.itertuples(index=False):
-                plane = np.full((tall, wide), grey, np.uint8)
+            for scene, tall, wide, shade in batch.itertuples(index=False):
+                y, x = np.mgrid[:tall, :wide]
+                plane = ((y * 3 + x * 5 + (y // 9) * (x // 7) + shade) % 256).astype(np.uint8)
                 yield pd.DataFrame(to_rows(scene, 128, r=plane, g=plane, b=plane), columns=["scene", "row0", "col0", "h", "w", "r", "g", "b"])
 
     images = scenes.mapInPandas(paint, f"{KEY}, r binary, g binary, b binary")
     found = cells(scoring.scored_blocks(images, scoring.excess_green_scorer, tile=96, overlap=32, size=128), "interior")
-    return found.groupBy("scene").agg(F.count("*").alias("cells"), F.min("interior").alias("low"), F.max("interior").alias("high"))
+    placed = F.sum(F.col("interior") * ((F.col("row") * 31 + F.col("col") * 17) % 101)).cast("long")
+    return found.groupBy("scene").agg(F.count("*").alias("cells"), F.min("interior").alias("low"), F.max("interior").alias("high"), placed.alias("placed"))

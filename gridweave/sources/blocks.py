@@ -43,6 +43,12 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
     blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("scene").parquet(path)
 
 
+def write_block_table(blocks: DataFrame, name: str, buckets: int) -> None:
+    """A table bucketed and sorted by place: layers of as many buckets are joined by place without an exchange. Each bucket is one file."""
+    placed = blocks.repartition(buckets, "scene", "row0", "col0").sortWithinPartitions("scene", "row0", "col0")
+    placed.write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, "scene", "row0", "col0").sortBy("scene", "row0", "col0").saveAsTable(name)
+
+
 def read_window(spark: SparkSession, path: str, scene: str, row0: int, col0: int, h: int, w: int) -> DataFrame:
     """Blocks that meet a window: partition and row-group statistics prune all others."""
     meets = (F.col("row0") < row0 + h) & (F.col("col0") < col0 + w) & (F.col("row0") + F.col("h") > row0) & (F.col("col0") + F.col("w") > col0)

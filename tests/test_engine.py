@@ -450,6 +450,54 @@ def test_learning(spark, tmp_path, scene):
     assert one == two
 
 
+def test_partners_and_zoom(spark):
+    from gridweave.operators import learning
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(14):
+        planes = rng.integers(0, 255, (5, 16, 16)).astype(np.uint8)
+        rows += [(*r, "north" if k % 3 else "south") for r in blocks.to_rows(f"t{k}", 16, **dict(zip(("r", "g", "b", "interior", "boundary"), planes, strict=True)))]
+    table = spark.createDataFrame([*rows, (*rows[0][:5], *rows[0][5:10], None)][:14], blocks.KEY + ", r binary, g binary, b binary, interior binary, boundary binary, city string").repartition(3)
+    of = {bytes(r["r"]): (r["scene"], r["city"]) for r in table.collect()}
+    for intra in (False, True):
+        pairs = {r["scene"]: (r["city"], *of[bytes(r["partner_r"])]) for r in learning.partnered(table, 5, intra).collect()}
+        assert len(pairs) == 14 and {p[1] for p in pairs.values()} == set(pairs) and all(p[1] != s for s, p in pairs.items())
+        assert pairs == {r["scene"]: (r["city"], *of[bytes(r["partner_r"])]) for r in learning.partnered(table.repartition(5), 5, intra).collect()}
+        assert all(a == b for a, _, b in pairs.values()) == intra
+    assert pairs != {r["scene"]: (r["city"], *of[bytes(r["partner_r"])]) for r in learning.partnered(table, 6, True).collect()}
+    key = lambda df: {r["scene"]: (r["x"], r["y"]) for r in df.collect()}
+    both = learning.partnered(table, 5)
+    once, again = (key(learning.tile_set(both.repartition(n), 5, p_zoom=0.5, p_swap=0.5)) for n in (2, 4))
+    plain, swapped = key(learning.tile_set(both, 5)), key(learning.tile_set(both, 5, p_swap=1.0))
+    assert once == again and once != plain
+    assert all(plain[s][1] == swapped[s][1] and plain[s][0] != swapped[s][0] for s in plain)  # labels aren't swapped
+    mask = np.zeros((16, 16, 4), np.uint8)
+    mask[4:12, 4:12] = 255
+    assert (learning.zoomed(mask, 2.0)[..., 0] == learning.zoomed(mask, 2.0)[..., 3]).all() and learning.zoomed(mask, 2.0).all() and (learning.zoomed(mask, 1.0) == mask).all()
+
+
+def test_bucketed_layers_join_without_exchange(spark):
+    from gridweave.operators import tiles
+
+    plane = np.random.default_rng(13).integers(0, 255, (64, 64)).astype(np.uint8)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, band in (("prob_blocks", "interior"), ("label_blocks", "v")):
+            blocks.write_block_table(blocks.block_table(spark, blocks.to_rows("a", 16, **{band: plane}), band), name, 4)
+        prob, label = spark.table("prob_blocks"), spark.table("label_blocks")
+        joined = tiles.paired(prob, label)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        got = {(r["byte"]): (r["pos"], r["neg"]) for r in tiles.graded_bytes(prob, label).collect()}
+        assert sum(p + n for p, n in got.values()) == plane.size and all(p == 0 or b > 127 for b, (p, n) in got.items())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("prob_blocks", "label_blocks"):
+            spark.sql(f"drop table if exists {name}")
+
+
 def test_wkb_types(spark):
     wkb = [(vectors.to_wkb([[(0, 0), (1, 0), (1, 1)]]),), (bytes.fromhex("0101000000") + bytes(16),), (None,)]
     assert [r[0] for r in spark.createDataFrame(wkb, "g binary").select(vectors.is_polygon(F.col("g"))).collect()] == [True, False, False]
