@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import measures as M
 from gridweave.operators import experiments, learning, matching, ordering, pixels, raster, scoring, tiles
 from gridweave.operators.kernels import polygons
-from gridweave.plans import vectorise
+from gridweave.plans import reports, vectorise
 from gridweave.sources.blocks import KEY, cells, to_rows
 from gridweave.sources.tables import materialised, table
 from gridweave.sources.vectors import is_polygon
@@ -318,6 +318,30 @@ def shape_summary(spark: SparkSession, d: str) -> DataFrame:
     return scenes.agg(F.sum("n").alias("rings"), F.round(F.avg("m"), 5).alias("macro_area"), F.round(F.sum("s") / F.sum("n"), 5).alias("mean_area"))
 
 
+@query(
+    """with p as (select p_partkey as k, p_partkey % 7 as scene, 10 + p_size as w from part),
+v as (select 'pred_reg' as variant, scene, 4 as v, 1.0::double as o from p where k % 11 <> 0
+  union all select 'pred_raw', scene, 5, (2 + case when degrees(atan(4.0::double / w)) <= 10 then 2 else 0 end + case when 2 * degrees(atan(4.0::double / w)) <= 10 then 1 else 0 end) / 5.0::double from p where k % 11 <> 0
+  union all select 'gt_traced', scene, 8, 1.0::double from p union all select 'gt_simplified', scene, 4, 1.0::double from p),
+s as (select variant, scene, count(*) as n, avg(v) as v, avg(o) as o from v group by all)
+select variant, sum(n)::bigint as buildings, round(avg(v), 6) as vertices, round(avg(o), 6) as orthogonality from s group by variant"""
+)
+def shape_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The four variants of one layer: squared, with a bump in a wall, traced with a corner in the middle of each wall, and that simplified. Missing shapes don't count."""
+    k, w, h = F.col("p_partkey"), 10.0 + F.col("p_size"), 10.0 + F.col("p_partkey") % 23
+    p = lambda x, y: F.struct((F.lit(0.0) + x).alias("x"), (F.lit(0.0) + y).alias("y"))
+    zero = F.lit(0.0)
+    shapes = {
+        "pred_reg": [p(zero, zero), p(w, zero), p(w, h), p(zero, h)],
+        "pred_raw": [p(zero, zero), p(w / 2, F.lit(2.0)), p(w, zero), p(w, h), p(zero, h)],
+        "gt_traced": [p(zero, zero), p(w / 2, zero), p(w, zero), p(w, h / 2), p(w, h), p(w / 2, h), p(zero, h), p(zero, h / 2)],
+    }
+    rows = table(spark, d, "part")
+    layers = {n: rows.select((k % 7).cast("string").alias("scene"), F.when((k % 11 != 0) | F.lit(n == "gt_traced"), F.array(F.array(*c))).alias("rings")) for n, c in shapes.items()}
+    found = reports.shape_table(layers | {"gt_simplified": layers["gt_traced"]}, {"gt_simplified": 0.5})
+    return found.withColumns({c: r6(c) for c in ("vertices", "orthogonality")})
+
+
 @query("select r_name as region, round(quantile_cont(s_acctbal, 0.5), 4) as median, round(quantile_cont(s_acctbal, 0.9), 4) as p90, count(*) as n from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name")
 def area_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact quantiles by linear interpolation."""
