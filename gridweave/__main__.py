@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import argparse
 import importlib
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.operators import experiments, ordering, scoring
 from gridweave.plans import reports, vectorise
-from gridweave.sources import blocks, geotiff, vectors
+from gridweave.sources import blocks, config, geotiff, vectors
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +26,8 @@ def parser() -> argparse.ArgumentParser:
         for path in (*paths, "out"):
             out.add_argument(f"--{path}", required=True)
         out.add_argument("--limit", type=int, default=0, help="the first scenes only; 0 takes all")
+        out.add_argument("--config", help="a YAML file whose sections inference, vectorize and evaluate replace the defaults")
+        out.add_argument("--set", action="append", default=[], metavar="KEY=VALUE", help="changes a name of the configuration")
         return out
 
     p = command("predict", "probability blocks of images", "images")
@@ -34,8 +37,10 @@ def parser() -> argparse.ArgumentParser:
     p = command("vectorize", "polygon layers of blocks", "blocks")
     p.add_argument("--no-regularize", action="store_true")
     p.add_argument("--ground-truth", action="store_true", help="trace label blocks instead")
+    p.add_argument("--suffix", help="folder below out")
     p = command("evaluate", "tables of pixels, instances, shapes and displacement", "blocks", "labels", "manifest", "pred-vectors", "gt-vectors")
     p.add_argument("--raw-vectors")
+    p.add_argument("--max-instance-scenes", type=int, default=0, help="polygons of the first scenes of the manifest only; 0 takes all")
     command("sweep", "threshold curves by city", "blocks", "labels", "manifest")
     p = command("score", "one row of an experiment table, replaced if its tag is there", "blocks", "labels", "tag")
     p.add_argument("--baseline", default="", help="tag that prints the changes of all rows")
@@ -51,6 +56,14 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     globals()[f"_{a.command}"](spark, a)
 
 
+def _settings(a: argparse.Namespace, section: str, **names: str) -> dict[str, Any]:
+    """Arguments from a section of the configuration, for the names that it has; names maps arguments to its names."""
+    if a.set and not a.config:
+        raise ValueError("--set needs --config")
+    found = config.overridden(config.load(a.config), a.set).get(section) or {} if a.config else {}
+    return {argument: found[name] for argument, name in names.items() if name in found}
+
+
 def _first(df: DataFrame, n: int) -> DataFrame:
     """Blocks of the first n scenes by name."""
     if not n:
@@ -62,12 +75,20 @@ def _first(df: DataFrame, n: int) -> DataFrame:
 def _predict(spark: SparkSession, a: argparse.Namespace) -> None:
     module, _, name = a.scorer.partition(":")
     images = _first(ordering.named(geotiff.read_geotiff(spark, a.images, ("r", "g", "b")), "scene", a.scenes), a.limit)
-    blocks.write_blocks(scoring.scored_blocks(images, getattr(importlib.import_module(module), name), views=8 if a.tta else 1), a.out)
+    options = _settings(a, "inference", tile="tile_size", overlap="overlap", chips_at_once="batch_size")
+    blocks.write_blocks(scoring.scored_blocks(images, getattr(importlib.import_module(module), name), views=8 if a.tta else 1, **options), a.out)
 
 
 def _vectorize(spark: SparkSession, a: argparse.Namespace) -> None:
     source = _first(spark.read.parquet(a.blocks), a.limit)
-    vectors.write_layer(vectorise.label_layer(source) if a.ground_truth else vectorise.prediction_layer(source, regularise=not a.no_regularize), a.out)
+    least = _settings(a, "vectorize", area_least="min_area_m2")
+    if a.ground_truth:
+        layer = vectorise.label_layer(source, **least)
+    else:
+        shape = _settings(a, "vectorize", regularise="regularize", tolerance="simplify_tolerance_m", snap_degrees="angle_snap_deg", edge_least="min_edge_m", hole_least="hole_min_area_m2")
+        thresholds = _settings(a, "inference", t_interior="threshold_interior", t_boundary="threshold_boundary")
+        layer = vectorise.prediction_layer(source, **least | shape | ({"regularise": False} if a.no_regularize else {}), thresholds=thresholds)
+    vectors.write_layer(layer, f"{a.out}/{a.suffix}" if a.suffix else a.out)
 
 
 def _inputs(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -79,7 +100,12 @@ def _inputs(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, Data
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     prob, label, cities = _inputs(spark, a)
     raw = spark.read.parquet(a.raw_vectors) if a.raw_vectors else None
-    found = reports.evaluated(spark.read.parquet(a.pred_vectors), spark.read.parquet(a.gt_vectors), prob, label, cities, raw=raw)
+    layers = [spark.read.parquet(a.pred_vectors), spark.read.parquet(a.gt_vectors)]
+    if a.max_instance_scenes:
+        kept = ordering.limited(vectors.read_manifest(spark, a.manifest), "ord", a.max_instance_scenes).select("scene")
+        layers = [layer.join(kept, "scene", "left_semi") for layer in layers]
+    options = _settings(a, "evaluate", thresholds="iou_thresholds") | _settings(a, "vectorize", tolerance="simplify_tolerance_m")
+    found = reports.evaluated(*layers, prob, label, cities, raw=raw, **{k: tuple(v) if isinstance(v, list) else v for k, v in options.items()})
     for name in ("pixels", "instances", "shapes", "displacement"):
         vectors.write_csv(getattr(found, name), f"{a.out}/{name}")
     print(f"{found.skipped} scenes skipped")

@@ -45,14 +45,14 @@ def _layer(pieces: DataFrame, transform: tuple[float, ...], variant: str, one: C
     return found.withColumn("seq", (nth - 1).cast("int")).select(*LAYER.fieldNames())
 
 
-def prediction_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), regularise: bool = True, **options) -> DataFrame:
-    """LAYER of blocks with bytes interior and boundary: instances, traced and cleaned.
+def prediction_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), regularise: bool = True, thresholds: dict[str, float] | None = None, **options) -> DataFrame:
+    """LAYER of blocks with bytes interior and boundary: instances, traced and cleaned. thresholds: see scenes.instance_pieces(); options: see polygons.cleaned().
 
     A task holds a square of a scene, the cells of one part of the mask that several seeds share, or some polygons; a
     scene without instances gives no rows.
     """
     clean = lambda rings: polygons.cleaned(rings, regularise=regularise, **options)
-    return _layer(scenes.instance_pieces(blocks), transform, "regularized" if regularise else "simplified", clean)
+    return _layer(scenes.instance_pieces(blocks, **thresholds or {}), transform, "regularized" if regularise else "simplified", clean)
 
 
 def label_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), area_least: float = 20.0) -> DataFrame:

@@ -519,18 +519,25 @@ def test_command_lines(spark, scene, tmp_path, capsys):
     main(["vectorize", "--blocks", at("prob"), "--out", at("pred")], spark)
     main(["vectorize", "--blocks", at("prob"), "--out", at("raw"), "--no-regularize"], spark)
     main(["vectorize", "--blocks", at("label"), "--out", at("gt"), "--ground-truth"], spark)
+    (tmp_path / "c.yaml").write_text("inference: {threshold_interior: 0.5}\nvectorize: {min_area_m2: 20.0}\nevaluate: {iou_thresholds: [0.5]}\n")
+    main(["vectorize", "--blocks", at("prob"), "--out", at("none"), "--suffix", "large", "--config", at("c.yaml"), "--set", "vectorize.min_area_m2=1000000000.0"], spark)
+    assert spark.read.schema(vectors.LAYER).parquet(at("none/large")).count() == 0 < spark.read.parquet(at("pred")).count()
+    with pytest.raises(KeyError):
+        main(["vectorize", "--blocks", at("prob"), "--out", at("none"), "--config", at("c.yaml"), "--set", "vectorize.nothing=1"], spark)
     (tmp_path / "m.csv").write_text("scene,city,image_path,gt_path\na,x,i,g\nb,x,i,g\n")
     inputs = ["--blocks", at("prob"), "--labels", at("label")]
     main(["evaluate", *inputs, "--manifest", at("m.csv"), "--pred-vectors", at("pred"), "--gt-vectors", at("gt"), "--raw-vectors", at("raw"), "--out", at("ev")], spark)
     shapes = {r["variant"]: r for r in spark.read.option("header", True).option("inferSchema", True).csv(at("ev/shapes")).collect()}
     assert set(shapes) == {"pred_reg", "pred_raw", "gt_traced", "gt_simplified"} and shapes["gt_simplified"]["vertices"] <= shapes["gt_traced"]["vertices"]
     assert "1 scenes skipped" in capsys.readouterr().out
+    main(["evaluate", *inputs, "--manifest", at("m.csv"), "--pred-vectors", at("pred"), "--gt-vectors", at("gt"), "--out", at("ev1"), "--config", at("c.yaml"), "--max-instance-scenes", "1"], spark)
+    assert {r["threshold"] for r in spark.read.option("header", True).option("inferSchema", True).csv(at("ev1/instances")).collect()} == {0.5}
     main(["sweep", *inputs, "--manifest", at("m.csv"), "--out", at("sw")], spark)
     assert spark.read.option("header", True).csv(at("sw/best")).count() == 2
     for _ in range(2):
         main(["score", *inputs, "--tag", "A", "--out", at("runs"), "--baseline", "A"], spark)
     assert "| A |" in capsys.readouterr().out and spark.read.option("header", True).csv(at("runs")).count() == 1
-    main(["report", "--out", at("r.md"), "--section", f"Runs={at('runs')}", "--section", f"None={at('none')}"], spark)
+    main(["report", "--out", at("r.md"), "--section", f"Runs={at('runs')}", "--section", f"None={at('nowhere')}"], spark)
     text = (tmp_path / "r.md").read_text()
     assert "## Runs" in text and "## None" not in text
 
