@@ -1,11 +1,13 @@
 """Jaccard metric-space join of word n-gram sets.
 
-1. Level 0 splits the space into regions that no link crosses. Under one order of all shingles,
-   rare ones first, two sets of similarity t or more share a shingle among the first
-   |x| - ceil(t |x|) + 1 of each. Sets that share such a shingle are joined to one of them, and
-   connected components of these stars are the regions: documents outside of them have no link at
-   all, and no document is replicated. Any order is exact; this one goes by counts in a sketch of
-   fixed size, so common lines come last and chain nothing.
+1. Level 0 splits the space into regions that no link crosses. A set's shingles are cut into groups by
+   ranges of their hashes, as many groups as sets of that size get. Two sets of similarity t or more
+   differ in at most (1 - t) / t |x| shingles, and a group that isn't in both has one of these, so of
+   each set's groups, in one order of all groups, one of the first (1 - t) / t |x| + 1 is in both. Sets
+   that share such a group are joined to one of them, and connected components of these stars are the
+   regions: documents outside of them have no link at all, and no document is replicated. Any order
+   is exact; this one puts large groups of rare shingles first, by counts in a sketch of fixed size.
+   Unrelated sets share single shingles, the more the larger the corpus, but hardly whole groups.
 2. Regions of more than region_most sets are divided in the same way by the exact counts inside them.
 3. What is still larger is split around pivots: every set goes to the Voronoi cell of its nearest
    pivot, and also into the cells of other pivots q if d(x, q) <= d(x, nearest) + 2 r, the triangle
@@ -33,6 +35,7 @@ from gridweave.llm.shared import buffer_of, dropped, lowered, mixed, prefix_sums
 #: Sets that one task joins without splitting their region around pivots.
 REGION_MOST = 4000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_GROUP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +89,77 @@ def _counters(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _prefix(h: np.ndarray, bounds: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that another set within the radius may share as its rarest, and the index of their sets.
+def rarities(levels: np.ndarray) -> np.ndarray:
+    """For each level how far it is below eight times the median count of levels.
 
-    Level 0 is a count of one: no other text has that shingle.
+    Nothing is dropped for being rare: a sketch tells what no other text has only while it is large for
+    its corpus, so what is sent would grow faster than the input.
     """
+    spread = sum(np.bincount(part, minlength=256) for part in levels.reshape(-1, 1 << BLOCK_BITS))
+    median = int(np.searchsorted(np.cumsum(spread), len(levels) / 2))
+    return np.clip(median + 24 - np.arange(256), 0, 255).astype(np.uint8)
+
+
+#: Groups of the smallest sets, and the share of a set's groups, at most, that are in its prefix, if groups had one size.
+LEAST_GROUPS, GROUPED = 16, 0.6
+
+
+def _prefix(h: np.ndarray, bounds: np.ndarray, rare: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which another set within the radius shares at least one, and the index of their sets; rare is the rarity of each shingle.
+
+    A set has as many groups as its size, rounded up to a power of two, asks for; where a set that links
+    with it may be larger by such a step, it has the larger one's groups as well. Sets with too few groups that aren't
+    empty for one of them to be in both also give their rarest shingles, by which they find each other.
+    """
+    sizes = np.diff(bounds)
+    step = np.frexp(sizes)[1]
+    larger = np.frexp(100 * sizes // percent)[1]
+    keys, owners, few = _grouped(h, bounds, rare, percent, step)
+    again = np.flatnonzero(larger != step)
+    more, of, few_more = _grouped(*_taken(h, bounds, rare, again), percent, larger[again])
+    few = np.union1d(few, again[few_more])
+    single, one = _rarest(*_taken(h, bounds, rare, few), percent)
+    return np.concatenate([keys, more, single]), np.concatenate([owners, again[of], few[one]])
+
+
+def _taken(h: np.ndarray, bounds: np.ndarray, rare: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """h, bounds and rare of some rows only."""
+    sizes = np.diff(bounds)[rows]
+    stops = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+    at = np.arange(stops[-1]) + np.repeat(bounds[rows] - stops[:-1], sizes)
+    return h[at], stops, rare[at]
+
+
+def _grouped(h: np.ndarray, bounds: np.ndarray, rare: np.ndarray, percent: int, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the first groups of each set, the index of their sets, and the sets that have too few groups."""
+    sizes = np.diff(bounds)
+    most = (100 - percent) * sizes // percent  # shingles that only one of two linked sets has; none: linked sets are equal
+    n_groups = np.maximum(np.ceil(2.0**step * (100 - percent) / (GROUPED * percent)), LEAST_GROUPS).astype(np.uint64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    if not len(h):
+        return np.zeros(0, np.uint64), of, of
+    place = (h >> np.uint64(32)) * n_groups[of] >> np.uint64(32)
+    new = np.ones(len(h), bool)
+    new[1:] = (place[1:] != place[:-1]) | (of[1:] != of[:-1])  # hashes ascend, so groups are runs
+    at = np.flatnonzero(new)
+    owner = of[at]
+    value = np.add.reduceat(rare.astype(np.int64), at)
+    with np.errstate(over="ignore"):
+        key = mixed(np.add.reduceat(mixed(h + _GROUP), at) + n_groups[owner] * _GROUP)
+    order = np.lexsort((key, -value, owner))
+    count = np.bincount(owner, minlength=len(sizes))
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    keep = (within <= most[owner]) & (most[owner] > 0)
+    return key[order][keep], owner[keep], np.flatnonzero((most > 0) & (count <= most))
+
+
+def _rarest(h: np.ndarray, bounds: np.ndarray, rare: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles of each set, of which linked sets share at least one, and the index of their sets."""
     sizes = np.diff(bounds)
     of = np.repeat(np.arange(len(sizes)), sizes)
-    level = levels[_counters(h)]
-    order = np.lexsort((h, level, of))
+    order = np.lexsort((h, -rare.astype(np.int64), of))
     within = np.arange(len(h)) - np.repeat(bounds[:-1], sizes)
-    first = within <= np.repeat(sizes - (percent * sizes + 99) // 100, sizes)
-    keep = first & (level[order] > 0)
+    keep = within <= np.repeat(sizes - (percent * sizes + 99) // 100, sizes)
     return h[order][keep], of[keep]
 
 
@@ -145,18 +207,19 @@ def sketch_levels(sets: DataFrame) -> np.ndarray:
     return levels.ravel()
 
 
-#: Shingles of prefixes that a task gathers before it combines them.
+#: Keys of prefixes that a task gathers before it combines them.
 COMBINED = 1 << 20
 
 
 def stars(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
-    """Edges (a, b): sets that share a shingle of their prefixes are joined to one of them; levels is a broadcast.
+    """Edges (a, b): sets that share a key of their prefixes are joined to one of them; levels is a broadcast.
 
-    A task joins its own sets first and forwards one for each shingle, so a shingle that a third of
-    all sets share is a few rows for each task. What is forwarded is sorted by shingle and joined as
+    A task joins its own sets first and forwards one for each key, so a key that a third of
+    all sets share is a few rows for each task. What is forwarded is sorted by key and joined as
     it streams by.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rarity = rarities(levels.value)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, held = [], [], 0
@@ -171,7 +234,7 @@ def stars(docs: DataFrame, n: int, percent: int, levels) -> DataFrame:
             for at, to in slices(batch["text"]):
                 h, bounds = shingles(batch["text"].slice(at, to - at), n)
                 names = set_ids(h, bounds)
-                k, of = _prefix(h, bounds, levels.value, percent)
+                k, of = _prefix(h, bounds, rarity[levels.value[_counters(h)]], percent)
                 keys.append(k.view(np.int64))
                 ids.append(names[of])
                 held += len(k)

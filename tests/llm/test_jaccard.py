@@ -133,3 +133,50 @@ def test_null_and_repeated_ids(spark):
     rows = [(1, near(0)), (None, " ".join(words)), (2, near(59)), (2, near(59)), (None, "alone in the world"), (None, None)]
     got = jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 96).collect()
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (0, 3, 0), (0, 59, 1), (1, 59, 1), (2, 59, 1), (2, 59, 1)]
+
+
+def shared(seed, n_sets, lines):
+    """Texts that share many single shingles and have few of their own, with a close copy of every fifth."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"p{i}x{j}" for j in range(4)) for i in range(lines)]
+    rows = []
+    for i in range(n_sets):
+        words = " ".join(rng.sample(pool, 30)).split()
+        rows.append((len(rows), " ".join(words), "x", 1))
+        if i % 5 == 0:
+            rows.append((len(rows), " ".join([*words[:-1], f"new{i}"]), "x", 1))
+    return rows
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (3, 80)])
+def test_full_sketch_chains_no_region(spark, n, percent):
+    rows = shared(9, 150, 1500)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    full = spark.sparkContext.broadcast(np.full(1 << jaccard.SKETCH_BITS, 40, np.uint8))  # what a corpus far larger than the sketch leaves
+    found = jaccard.components(jaccard.stars(frame, n, percent, full)).groupBy("root").count().collect()
+    assert len(found) >= 30 and max(r["count"] for r in found) <= 8
+    got = jaccard.near_components(frame, n, percent).collect()
+    assert sorted(map(tuple, got)) == brute(rows, n, percent)
+
+
+@pytest.mark.parametrize(("percent", "most"), [(75, 400), (80, 400), (90, 400), (97, 400), (90, 12)])
+def test_prefixes_of_linked_sets_meet(percent, most):
+    rng = np.random.default_rng(percent + most)
+    for _ in range(300):
+        size = int(rng.integers(1, most))
+        a = rng.integers(0, 1 << 63, size, np.uint64)
+        if most < 100:  # all in few ranges of hashes
+            a >>= np.uint64(4)
+        out = int(rng.integers(0, size * (100 - percent) // 100 + 1))
+        extra = max(0, int((size - out) * 100 // percent) - size)
+        b = np.concatenate([a[out:], rng.integers(0, 1 << 63, int(rng.integers(0, extra + 1)), np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        common = len(np.intersect1d(a, b))
+        if 100 * common < percent * (len(a) + len(b) - common):
+            continue
+        if np.array_equal(a, b):
+            continue
+        h, bounds = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+        rare = (h >> np.uint64(3)).astype(np.uint8) // np.uint8(2)
+        keys, of = jaccard._prefix(h, bounds, rare, percent)
+        assert len(np.intersect1d(keys[of == 0], keys[of == 1]))
