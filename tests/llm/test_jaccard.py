@@ -180,3 +180,14 @@ def test_prefixes_of_linked_sets_meet(percent, most):
         rare = (h >> np.uint64(3)).astype(np.uint8) // np.uint8(2)
         keys, of = jaccard._prefix(h, bounds, rare, percent)
         assert len(np.intersect1d(keys[of == 0], keys[of == 1]))
+
+
+def test_keys_do_not_depend_on_the_sketch():
+    """A sparse sketch, as of a small corpus, must not let a task send less than a full one does: what is sent grows with the input."""
+    texts = pa.array([row[1] for row in shared(11, 40, 400)])
+    h, bounds = jaccard.shingles(texts, 5)
+    found = []
+    for level in (0, 40, 255):
+        rarity = jaccard.rarities(np.full(1 << jaccard.SKETCH_BITS, level, np.uint8))
+        found.append(len(jaccard._prefix(h, bounds, rarity[np.full(len(h), level)], 80)[0]))
+    assert found[0] == found[1] == found[2] > 0
