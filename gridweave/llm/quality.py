@@ -6,8 +6,9 @@ A document's score is the mean, over its n-grams, of the log ratio of the two. A
 its score reaches a threshold, the same for all: the one that nearly all of those trusted documents
 reach that weren't counted.
 
-The corpus is counted where it is read, one row a bucket and task; gains and thresholds, one number
-a bucket and one in all, are what tasks share. No text is shuffled.
+The corpus is counted one row a bucket and task; gains and thresholds, one number a bucket and one in
+all, are what tasks share. All trusted documents are counted or set the threshold; texts and trusted
+ids meet by one exchange, hashed, not sorted, so texts aren't held.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from gridweave.llm.shared import buffer_of, dropped, mixed, slices, small_batche
 GRAM, BUCKETS = 5, 65_521
 #: Gains and scores are whole numbers of this part of a nat.
 UNIT = 1_000_000
-#: Documents in all that the trusted multinomial and its threshold are fitted on: if more are trusted, a part by hash of doc_id.
-MOST_TRUSTED = 1 << 16
+#: Scores, in units, that the first of the two histograms which find the threshold takes together.
+TOGETHER = 1000
 #: One in so many trusted documents isn't counted but sets the threshold, which all but this share of them reach.
 SET_ASIDE, LOST = 4, 0.01
 #: Plain rules: a document fails with fewer words, or with more of them, in percent, in repeated windows of so many.
@@ -144,17 +145,34 @@ def scored(docs: DataFrame, gain: np.ndarray, gram: int = GRAM) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", score long")
 
 
-def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """(id, aside) of the doc_ids that all their rows of labels (doc_id, quality, toxic) call good and not toxic, or of a part by hash of about most of them; aside marks those that set the threshold."""
+def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, aside) of the doc_ids that all their rows of labels (doc_id, quality, toxic) call good and not toxic; aside marks those that set the threshold.
+
+    A caller that wants fewer names the most: if there are more, a part by hash of about so many.
+    """
     h = F.conv(F.substring(F.md5(F.concat(F.lit("trusted:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long")
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and coalesce(toxic, 0) = 0")
     good = good.select(F.col("doc_id").alias("id"), h.alias("h"))
-    n = good.count()
-    part = good if n <= most else good.filter(F.col("h") < (1 << 32) * most // n)
-    return part.select("id", (F.col("h") % SET_ASIDE == 0).alias("aside"))
-
-
-def judged(docs: DataFrame, labels: DataFrame, most: int = MOST_TRUSTED, lost: float = LOST) -> DataFrame:
+    if most is not None and (n := good.count()) > most:
+        good = good.filter(F.col("h") < (1 << 32) * most // n)
+    return good.select("id", (F.col("h") % SET_ASIDE == 0).alias("aside"))
+
+
+def _score_at(per: DataFrame, share: float) -> int | None:
+    """The least score, of per (score, count), that all but that share of the counted reach; a histogram of TOGETHER scores a row tells where to look."""
+    bin_ = F.floor(F.col("score") / TOGETHER)
+    bins = per.groupBy(bin_.alias("bin")).agg(F.sum("count").alias("count")).orderBy("bin").toArrow()  # bounded by the gains' range, not by the corpus
+    if not len(bins):
+        return None
+    n = np.cumsum(bins["count"].to_numpy())
+    nth = int(n[-1] * share)
+    at = int(np.searchsorted(n, nth, "right"))
+    inside = per.filter(bin_ == int(bins["bin"][at].as_py())).orderBy("score").toArrow()  # TOGETHER rows at most
+    before = int(n[at - 1]) if at else 0
+    return int(inside["score"][int(np.searchsorted(before + np.cumsum(inside["count"].to_numpy()), nth, "right"))].as_py())
+
+
+def judged(docs: DataFrame, labels: DataFrame, most: int | None = None, lost: float = LOST) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score, threshold of every row of docs (doc_id, text).
 
     kept is false if the plain rules fail, else whether score reaches threshold, which all but the share lost of the
@@ -163,15 +181,18 @@ def judged(docs: DataFrame, labels: DataFrame, most: int = MOST_TRUSTED, lost: f
     whole; an empty table gives an empty result, empty labels keep whatever passes the plain rules. Other columns are ignored.
     """
     ids = written(trusted_ids(labels, most))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left")  # about MOST_TRUSTED rows at most
+    # rows without an id, which match none, are dealt by their text
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("salt"))
+    salted = ids.withColumn("zero", F.lit(0).cast("long"))
+    marked = marked.join(salted.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (F.col("salt") == F.col("zero")), "left")
     gain = gains(counted(marked.select("text", F.coalesce(~F.col("aside"), F.lit(False)).alias("trusted"))))
     out = written(scored(docs, gain))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    # one row a distinct score of the documents set aside, which are about MOST_TRUSTED / SET_ASIDE ids
-    good = out.filter(~failed).join(F.broadcast(ids.filter("aside")), F.col("doc_id") == F.col("id")).groupBy("score").count().orderBy("score").toArrow()
-    n = np.cumsum(good["count"].to_numpy())
-    threshold = int(good["score"][int(np.searchsorted(n, int(n[-1] * lost), "right"))].as_py()) if len(n) else None
+    aside = ids.filter("aside")
+    per = written(out.filter(~failed).join(aside.hint("merge"), F.col("doc_id") == F.col("id")).groupBy("score").count())
+    threshold = _score_at(per, lost)
+    dropped(per)
     dropped(ids)
     reached = F.lit(True) if threshold is None else F.col("score") >= threshold
     return out.select("doc_id", *COLUMNS, "base_failed", (~F.col("base_failed") & reached).alias("kept"), "score", F.lit(threshold).cast("long").alias("threshold"))

@@ -177,3 +177,23 @@ def test_negatives_of_large_scores_and_none(spark):
     assert sorted(map(tuple, negatives.hard_negatives(frame, frame["vec_id"] % 10 == 0).collect())) == brute(rows, lambda i: i % 10 == 0, lambda i, c: c)
     assert negatives.hard_negatives(frame, frame["vec_id"] < 0).collect() == []
     assert negatives.hard_negatives(frame.limit(0), frame["vec_id"] % 10 == 0).collect() == []
+
+
+def test_all_trusted_count(spark):
+    """All trusted documents count, however many; rows without an id are dealt out and match none."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 50)) for _ in range(30)), "x") for i in range(300)]
+    rows += [(None, rows[0][1], "x"), (None, None, "x"), (7, rows[8][1], "x")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["score"])
+    got = sorted(quality.judged(docs, labels).collect(), key=key)
+    assert len(got) == len(rows) and got[0]["threshold"] is not None
+    texts = docs.filter("doc_id is not null").repartition(3).unionByName(docs.filter("doc_id is null"))
+    assert sorted(quality.judged(texts, labels).collect(), key=key) == got
+    many = spark.range(70_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted_ids(many).count() == 70_000
+    per = spark.createDataFrame([(s, 1 + abs(s) % 3) for s in range(-2500, 2500, 7)], "score long, count long")
+    every = sorted(s for s in range(-2500, 2500, 7) for _ in range(1 + abs(s) % 3))
+    for share in (0.0, 0.01, 0.37, 0.99):
+        assert quality._score_at(per, share) == every[int(len(every) * share)]
