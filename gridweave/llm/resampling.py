@@ -28,6 +28,8 @@ BUCKETS, MOST_WORDS_OF_A_FEATURE = 10_000, 2
 LEAST_WORDS, PERCENT, SEED = 20, 25, "7"
 #: Words longer than this take their checksum from zlib one by one, others all together.
 LONG_WORD = 64
+#: Blocks of a file: what a task holds of the matrix when it writes or reads it, however large its part of the input is.
+FILE_BLOCKS = 32
 BLOCK = "doc_ids array<long>, n_words array<long>, row_pointers array<int>, buckets array<int>, counts array<int>"
 
 
@@ -114,7 +116,7 @@ def csr_blocks(docs: DataFrame, buckets: int = BUCKETS, most: int = MOST_WORDS_O
                 columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in row]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_ids", "n_words", "row_pointers", "buckets", "counts"])
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, BLOCK))
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, BLOCK), most_rows=FILE_BLOCKS)
 
 
 def column_sums(blocks: DataFrame) -> DataFrame:

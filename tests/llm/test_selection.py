@@ -197,3 +197,12 @@ def test_all_trusted_count(spark):
     every = sorted(s for s in range(-2500, 2500, 7) for _ in range(1 + abs(s) % 3))
     for share in (0.0, 0.01, 0.37, 0.99):
         assert quality._score_at(per, share) == every[int(len(every) * share)]
+
+
+def test_blocks_of_a_file_are_bounded(spark):
+    """One task's large part of the input becomes many files, since a Parquet reader takes thousands of rows of a file at once."""
+    docs = spark.range(400, numPartitions=1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 60000) as text")
+    blocks = resampling.csr_blocks(docs)
+    files = [r["n"] for r in blocks.groupBy(resampling.F.input_file_name().alias("f")).agg(resampling.F.count("*").alias("n")).collect()]
+    assert sum(files) > 2 * resampling.FILE_BLOCKS and max(files) <= resampling.FILE_BLOCKS
+    assert blocks.select(resampling.F.sum(resampling.F.size("doc_ids"))).first()[0] == 400
