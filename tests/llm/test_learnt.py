@@ -322,3 +322,17 @@ def test_automata_of_many_languages(monkeypatch):
     wide = langid.Automata.__new__(langid.Automata)
     wide.__dict__.update(model.__dict__, table=model.table.astype(np.int64), kind=np.int64)
     assert langid._judged(wide, list(texts.values()))[0] == got
+
+
+def test_mixture_fits_all_documents(spark, monkeypatch):
+    """The start of weights and map comes from every training document, however many."""
+    seen, fitted = [], mixture.fitted
+
+    def watched(vocabulary, pairs, docs, *rest):
+        seen.append(docs.count())
+        return fitted(vocabulary, pairs, docs, *rest)
+
+    monkeypatch.setattr(mixture, "fitted", watched)
+    rows = spark.range(5000).selectExpr("id as doc_id", "concat('w', id % 7, ' v', id % 11) as text")
+    got = mixture.score_texts(rows, F.col("doc_id") % 10 == 0).agg(F.count("*"), F.count("score")).first()
+    assert seen == [4500] and tuple(got) == (5000, 5000)
