@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.jaccard import near_components
 from gridweave.llm.langid import learn, predict
-from gridweave.llm.mixing import fair_mix
+from gridweave.llm.mixing import fair_mix, row_name
 from gridweave.llm.packing import pack, token_pieces
-from gridweave.llm.shared import written
+from gridweave.llm.shared import dropped, written
 from gridweave.llm.suffixes import repeated_spans
 
 #: Words and percent of the near-duplicate stage; the mix's share of all words, without repeats.
@@ -25,12 +25,17 @@ WORDS, PERCENT, SHARE = 5, 80, 0.9
 
 
 #: Names of what stages add for their own use; no column of documents has them.
-ROW, LANG, SCORE, SPANS = "gridweave row", "gridweave lang", "gridweave score", "gridweave spans"
+ROW, LANG, SCORE, SPANS, TAKES, NTH = (f"gridweave {name}" for name in ("row", "lang", "score", "spans", "takes", "nth"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs as a table of its own, with a number for every row, since ids may be null or repeat."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def first_of_each(rows: DataFrame, names: list[str], most: Column | int, every: Column) -> DataFrame:
+    """The first rows, at most so many but where every holds, of those with one ROW, a hash: texts aren't written again only to number them.
+
+    Rows with one hash differ in other columns at most, whose hash is their order.
+    """
+    rest = [n for n, kind in rows.select(*names).dtypes if n != "text" and "map<" not in kind]
+    nth = F.row_number().over(Window.partitionBy(ROW).orderBy(F.xxhash64(*rest)))
+    return rows.withColumn(NTH, nth).filter(every | (F.col(NTH) <= most)).select(*names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +53,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without words are in no group and stay. An empty table stays empty; other columns are kept.
     """
-    rows = numbered(docs)
-    found = near_components(rows.select(F.col(ROW).alias("doc_id"), "text"), WORDS, PERCENT).select(F.col("doc_id").alias(ROW), "component_id")
-    groups = rows.select(ROW, "doc_id").join(found.hint("merge"), ROW).groupBy("component_id")
-    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))).alias("first")).select(F.col("first.row").alias(ROW))
-    return rows.join(first.hint("merge"), ROW, "left_semi").select(*docs.columns)
+    rows = docs.withColumn(ROW, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    near = near_components(rows.select(F.col(ROW).alias("doc_id"), "text"), WORDS, PERCENT)
+    found = near.groupBy(F.col("doc_id").alias(ROW)).agg(F.min("component_id").alias("component_id"), F.max("n_shingles").alias("size"))  # repeated rows have one hash
+    groups = rows.groupBy(ROW).agg(F.min("doc_id").alias("doc_id")).join(found.hint("merge"), ROW).groupBy("component_id")
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))).alias("first"), F.max("size").alias("size"))
+    first = written(first.select(F.col("first.row").alias(ROW), F.col("size").alias(TAKES)))
+    dropped(near)
+    return first_of_each(rows.join(first.hint("merge"), ROW), docs.columns, 1, F.col(TAKES) == 0)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,9 +103,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and repeated ids are rows like others, a null source is a source of its own, rows without
     words take no share and go, an empty table stays empty, other columns are kept.
     """
-    rows = numbered(docs)
-    taken = fair_mix(rows, share=SHARE, cap=1.0, key=ROW).filter("taken > 0").select(F.col("copy_no").alias(ROW))
-    return rows.join(taken.hint("merge"), ROW, "left_semi").select(*docs.columns)
+    mix = fair_mix(docs, share=SHARE, cap=1.0, key=F.monotonically_increasing_id()).filter("taken > 0")
+    taken = mix.groupBy(F.col("name").alias(ROW)).agg(F.count("*").alias(TAKES))
+    rows = docs.filter(F.col("text").isNotNull()).withColumn(ROW, row_name()).join(taken.hint("merge"), ROW)
+    return first_of_each(rows, docs.columns, F.col(TAKES), F.lit(False))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

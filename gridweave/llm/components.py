@@ -9,7 +9,7 @@ from gridweave.llm.shared import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) of every end of the edges (a, b): root is one vertex of v's component.
+    """(v, root) of every end of the edges (a, b), as a written table: root is one vertex of v's component.
 
     Each round maps every vertex to the least of its neighbourhood and contracts the edges, which
     leaves a constant share of them for ids that are hashes. The mapping is only composed from
@@ -24,12 +24,17 @@ def components(edges: DataFrame) -> DataFrame:
             labels = lowest
         else:
             step = lowest.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            labels = written(labels.join(step, "root", "left").select("v", F.coalesce("next", "root").alias("root")))
+            before = labels
+            labels = written(before.join(step, "root", "left").select("v", F.coalesce("next", "root").alias("root")))
+            dropped(before)
         to = lambda side: lowest.select(F.col("v").alias(side), F.col("root").alias(f"new_{side}"))
         moved = edges.join(to("a"), "a").join(to("b"), "b").filter("new_a <> new_b")
         moved = written(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
         dropped(edges)
+        if lowest is not labels:
+            dropped(lowest)
         edges = moved
     if labels is None:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+        labels = written(edges.select(F.col("a").alias("v"), F.col("b").alias("root")))
+    dropped(edges)
     return labels

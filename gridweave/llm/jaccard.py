@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.components import components
-from gridweave.llm.shared import buffer_of, dropped, lowered, mixed, prefix_sums, slices, small_batches, span_hash, table, whole_groups, words_of, written
+from gridweave.llm.shared import buffer_of, dropped, lowered, mixed, prefix_sums, scratch, slices, small_batches, span_hash, table, whole_groups, words_of, written
 
 #: Sets that one task joins without splitting their region around pivots.
 REGION_MOST = 4000
@@ -377,7 +377,7 @@ def _sorted_cells(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most: int = REGION_MOST) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), as a written table.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of n-word
     shingles (A-Z lower-cased; fewer words: one shingle of all). component_id is the least doc_id
@@ -391,30 +391,35 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, region_most:
     small_batches(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
-    sets = written(shingle_sets(docs, n))
-    levels = spark.sparkContext.broadcast(sketch_levels(sets))
-    sets = sets.filter("block is null").select("doc_id", "uid", "n_shingles", "set_id")
+    made = written(shingle_sets(docs, n))
+    levels = spark.sparkContext.broadcast(sketch_levels(made))
+    sets = written(made.filter("block is null").select("doc_id", "uid", "n_shingles", "set_id"))
+    dropped(made)
     held = sets.filter(F.col("set_id").isNotNull())
-    regions = components(stars(docs, n, percent, levels))
+    roots = components(stars(docs, n, percent, levels))
     levels.unpersist()
     least = held.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("uid").alias("uid"))
-    regions = written(regions.select(F.col("v").alias("set_id"), F.col("root").alias("cell")).join(least.select("set_id", "uid"), "set_id"))
+    regions = written(roots.select(F.col("v").alias("set_id"), F.col("root").alias("cell")).join(least.select("set_id", "uid"), "set_id"))
+    dropped(roots)
     texts = docs.select("uid", "text")
     large = regions.groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > region_most)
     large = written(large)
-    linked = _small_links(regions, large, texts, n, percent, partitions)
+    few = written(_small_links(regions, large, texts, n, percent, partitions))
+    linked, hot = few, few
     if not large.isEmpty():
-        linked = written(linked)
-        hot = components(_large_links(regions, large, texts, n, percent, region_most, partitions))
-        linked = linked.unionByName(hot.select(F.col("v").alias("a"), F.col("root").alias("b")))
-    linked = written(linked)
+        with scratch() as keep:
+            hot = keep(components(_large_links(regions, large, texts, n, percent, region_most, partitions)))
+        linked = few.unionByName(hot.select(F.col("v").alias("a"), F.col("root").alias("b")))
+    dropped(regions, large)
     linked = linked.groupBy("a").agg(F.min("b").alias("b"))  # a row repeated whole gives its set twice
     heads = least.join(linked, least["set_id"] == linked["a"], "left").select(least["set_id"], F.coalesce("b", least["set_id"]).alias("head"), "doc_id")
     named = heads.groupBy("head").agg(F.min("doc_id").alias("component_id"))
     named = heads.join(named, "head").select(F.col("set_id"), "component_id")
     # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
     full = held.select("doc_id", "n_shingles", "set_id").join(named.hint("merge"), "set_id").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(sets.filter(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = written(full.unionByName(sets.filter(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+    dropped(sets, few, hot)
+    return out
 
 
 def _small_links(regions: DataFrame, large: DataFrame, texts: DataFrame, n: int, percent: int, partitions: int) -> DataFrame:

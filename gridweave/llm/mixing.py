@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.shared import table, word_count, written
@@ -58,7 +58,12 @@ def _prefix(rows: DataFrame, group: list[str], bucket: list[str], order: list[st
     return rows.withColumn("run", F.sum("size").over(inside)).join(totals, keys).withColumn("cum", F.col("before") + F.col("run")).drop("before", "run")
 
 
-def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, key: str | None = None) -> DataFrame:
+def row_name() -> Column:
+    """A hash of a document's values; those without a text, which no mix takes, may share it with others."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
+def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, key: str | Column | None = None) -> DataFrame:
     """doc_id, copy_no, size, source_size, target, taken of every row of docs (doc_id, source, text).
 
     taken: words the mix takes of the row, a multiple of size up to ceil(cap) times. A null text
@@ -66,10 +71,12 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     own, told apart by copy_no. An empty table gives an empty result. Other columns are ignored.
     Reruns agree: the order within a source is that of an md5 of doc_id, copy_no, epoch and seed.
     key: a long column that tells all rows apart; it becomes copy_no, and the order is then that of an
-    md5 of the row's values, so it doesn't depend on key but among equal rows.
+    md5 of the row's values, so it doesn't depend on key but among equal rows. It is read once, so it need
+    not be the same when docs are read again; the result then also has name, a hash of doc_id, source and text.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.col(key).alias("copy_no"), F.xxhash64("doc_id", "source", "text").alias("name")] if key else []))
-    if not key:
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([(F.col(key) if isinstance(key, str) else key).alias("copy_no"), row_name().alias("name")] if key is not None else []))
+    names = ["name"] if key is not None else []
+    if not names:
         sized = sized.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size"))).withColumn("name", F.col("copy_no"))
     sized = written(sized)
     targets = written(source_targets(sized, weights, share, cap), 1)
@@ -92,7 +99,7 @@ def fair_mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     sorted_ = _prefix(queued, [], ["slot"], ["finish", "sid", "epoch", "h", "doc_id", "copy_no"])
     taken = sorted_.filter(F.col("cum") <= F.lit(budget)).groupBy(F.col("doc_id").alias("id_took"), F.col("copy_no").alias("no_took")).agg(F.sum("size").alias("took"))
     out = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("id_took")) & (F.col("copy_no") == F.col("no_took")), "left")
-    return out.select("doc_id", "copy_no", "size", "source_size", "target", F.coalesce("took", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "copy_no", "size", "source_size", "target", F.coalesce("took", F.lit(0)).cast("long").alias("taken"), *names)
 
 
 def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridweave.llm.shared import buffer_of, prefix_sums, slices, small_batches, span_hash, table, whole_groups, written
+from gridweave.llm.shared import buffer_of, dropped, prefix_sums, slices, small_batches, span_hash, table, whole_groups, written
 
 LENGTH, GRAM = 200, 32
 #: Windows of a part, at most a third of the length.
@@ -263,27 +263,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, into
     rows = docs.drop(into).withColumn(_UID, F.xxhash64("doc_id", "text"))
     names = rows.columns[:-1]
     docs = rows.select("doc_id", "text", F.col(_UID).alias("uid"))
-    found = occurrences(docs, length, gram)
-    shared = written(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))  # written: else the join can't split a hot gram
+    every = occurrences(docs, length, gram)
+    shared = written(every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))  # written: else the join can't split a hot gram
     # joins by sort and merge at every size: what is small here may not be at another scale, and hot keys are split
-    found = written(found.join(shared.hint("merge"), "gram"))
+    found = written(every.join(shared.hint("merge"), "gram"))
+    dropped(shared)
     kinds = found.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("uid", "first", "windows", "at")).alias("one"))
     kinds = written(kinds)
-    whole = found.join(kinds.filter("n > 1").select("gram", "seg").hint("merge"), ["gram", "seg"]).select("uid", "first", "windows")
+    # every table goes as soon as nothing reads it: texts are on disk twice at most, in an exchange and in a table
+    whole = written(found.join(kinds.filter("n > 1").select("gram", "seg").hint("merge"), ["gram", "seg"]).select("uid", "first", "windows"))
+    dropped(found)
     wanted = kinds.join(_open(kinds), "gram").select("one.uid", F.struct("gram", "one.first", "one.windows", "one.at", (F.col("n") == 1).alias("single")).alias("w"))
     texts = docs.select("uid", "text").join(wanted.groupBy("uid").agg(F.collect_list("w").alias("wanted")).hint("merge"), "uid")
     texts = written(texts)
+    dropped(kinds)
     parts = written(texts.mapInArrow(_parts(length, min(WIDTH, length // 3)), "gram long, seg long, uid long, first long, windows int, single boolean"))
     kinds = written(parts.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.max("single").alias("single"), F.min(F.struct("uid", "first", "windows")).alias("one")))
-    again = parts.filter("single").join(kinds.filter("n > 1").select("gram", "seg").hint("merge"), ["gram", "seg"]).select("uid", "first", "windows")
+    again = written(parts.filter("single").join(kinds.filter("n > 1").select("gram", "seg").hint("merge"), ["gram", "seg"]).select("uid", "first", "windows"))
+    dropped(parts)
     alone = (F.col("n") == 1) & F.col("single")
     left = kinds.join(_open(kinds.withColumn("n", F.when(alone, 1).otherwise(2))), "gram")
     left = left.select("one.uid", F.struct("gram", "one.first", "one.windows", alone.alias("single")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("wanted"))
     bodies = texts.select("uid", "text").join(left.hint("merge"), "uid").mapInArrow(_bodies(length), "gram long, uid long, first long, single boolean, body binary")
     indexed = bodies.repartition(partitions, "gram").sortWithinPartitions("gram").mapInArrow(_indexed(length), "uid long, first long, windows int")
-    whole = whole.unionByName(again)
-    marks = written(whole.unionByName(indexed))
-    marks = marks.groupBy("uid").agg(F.collect_set(F.struct("first", "windows")).alias("marks"))
+    indexed = written(indexed)
+    dropped(texts, kinds)
+    marks = written(whole.unionByName(again).unionByName(indexed).groupBy("uid").agg(F.collect_set(F.struct("first", "windows")).alias("marks")))
+    dropped(whole, again, indexed)
     joined = rows.join(marks.select(F.col("uid").alias(_UID), F.col("marks").alias(_MARKS)).hint("merge"), _UID, "left").select(*names, _MARKS)
     return joined.mapInArrow(_merged(length, names, into), T.StructType([*rows.schema.fields[:-1], T.StructField(into, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))]))
 

@@ -262,6 +262,26 @@ def test_pipeline_drops_copies_of_four_fifths(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
 
 
+def test_pipeline_leaves_no_texts(spark):
+    from pathlib import Path
+
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(i, words(f"w{i}x", 80), "en", f"s{i % 2}", 1) for i in range(6)]
+    rows += [rows[0], (None, rows[1][1], "en", "s0", 1), (7, None, None, "s1", 1), (7, None, None, "s1", 1), (8, words("w2x", 80) + " more", "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    stages = dict(corpus_pipeline.STAGES)
+    got = {}
+    for name in ("near_duplicates", "repeated_passages", "source_mix"):
+        before = set(folder.glob("gridweave-*"))
+        out = stages[name](spark, docs, "")
+        left = [spark.read.parquet(str(p)) for p in set(folder.glob("gridweave-*")) - before]
+        assert len(left) <= 2 and not any({"text", "body"} & set(t.columns) for t in left)
+        got[name] = sorted(((r["doc_id"], r["source"]) for r in out.collect()), key=str)
+    assert got["near_duplicates"] == [(0, "s0"), (1, "s1"), (2, "s0"), (3, "s1"), (4, "s0"), (5, "s1"), (7, "s1"), (7, "s1")]
+    assert (7, "s1") not in got["source_mix"] and 5 <= len(got["source_mix"]) < 9
+
+
 def test_scripts_of_many_letters(spark):
     rng = np.random.default_rng(6)
     first, last = {"han": 0x4E00, "kana": 0x3041, "hangul": 0xAC00, "cyrillic": 0x430}, {"han": 0x9FA5, "kana": 0x3096, "hangul": 0xD7A3, "cyrillic": 0x44F}
