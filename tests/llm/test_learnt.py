@@ -356,3 +356,40 @@ def test_mixture_fits_all_documents(spark, monkeypatch):
     rows = spark.range(5000).selectExpr("id as doc_id", "concat('w', id % 7, ' v', id % 11) as text")
     got = mixture.score_texts(rows, F.col("doc_id") % 10 == 0).agg(F.count("*"), F.count("score")).first()
     assert seen == [4500] and tuple(got) == (5000, 5000)
+
+
+def test_mixture_fits_from_counts(spark):
+    """One pass counts every bit of every training document, and the weights are those that all bits one by one give."""
+    model = small_model(TEXTS)
+    model.pairs &= 0x0F0F  # counts below 16
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["some", "words", "and", "other", "more", "rare", f"x{rng.randrange(50)}"]) for _ in range(60)) for _ in range(40)]
+    none = "array<struct<key:long,times:long,low:binary,high:binary>>"
+    docs = spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean").selectExpr("*", f"cast(null as {none}) as matches").repartition(3)
+    sent = [spark.sparkContext.broadcast(x) for x in (model.vocabulary, mixture.Pairs(model.pairs))]
+    stream = mixture.Stream(pa.array(texts)).named(model.vocabulary)
+    bits = list(model.bits(stream, np.ones(len(texts), bool), no_match(stream), np.arange(len(stream.of))))
+    counted = {r["block"]: mixture._decoded(pa.scalar(r["counts"]), mixture.FIT_CELLS, np.int64).sum() for r in mixture.fit_counts(docs, *sent).collect()}
+    gates = np.concatenate([first + gate.astype(int) for first, _, _, _, gate, _ in bits])
+    assert counted == {int(g): int(n) for g, n in zip(*np.unique(gates, return_counts=True), strict=True)}
+    x, bit = np.concatenate([b[3] for b in bits]).astype(float), np.concatenate([b[5] for b in bits])
+    got, start = mixture.fitted(*sent, docs), model.weights[0].astype(float)
+    for g in counted:
+        xs, y, w = x[gates == g], bit[gates == g], start
+        for _ in range(4):
+            p = 1 / (1 + np.exp(-xs @ w))
+            w = np.clip(w + np.clip(np.linalg.solve((xs.T * (p * (1 - p))) @ xs + 5 * np.eye(4), xs.T @ (y - p) - 5 * (w - start)), -1.5, 1.5), -8, 8)
+        loss = [np.logaddexp(0, -(2 * y - 1.0) * (xs @ v)).mean() for v in (w, got.weights[g])]
+        assert loss[1] == pytest.approx(loss[0], abs=0.01)
+
+
+def test_mixture_codes_repeats_once():
+    """What a symbol's bits depend on is coded once, however often it occurs; learnt texts, whose own occurrence is taken away, apart."""
+    model = small_model(TEXTS)
+    streams = [mixture.Stream(pa.array(TEXTS[:3] * n)).named(model.vocabulary) for n in (2, 40)]
+    one, many = (model.coded(s, np.arange(len(s.bounds) - 1) % 6 < 3, no_match(s)) for s in streams)
+    assert (len(one.words.bit), len(one.letters.bit)) == (len(many.words.bit), len(many.letters.bit))
+    for n, s in zip((2, 40), streams, strict=True):
+        kept = model.scores(s, np.arange(3 * n) % 6 < 3, no_match(s))
+        assert kept == pytest.approx(np.tile(kept[:6], n // 2), rel=1e-4)
+        assert kept[0] != kept[3]
