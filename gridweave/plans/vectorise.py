@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,35 @@ from gridweave.sources.tables import materialised
 from gridweave.sources.vectors import LAYER
 
 
+#: Polygons, or groups of them, that kernels take at a time.
+_TOGETHER = 2048
+
+
+def lengths(lists: pa.Array) -> np.ndarray:
+    """Of lists without nulls."""
+    return np.diff(lists.offsets.to_numpy())
+
+
+def rings_of(column: pa.Array) -> arrangement.Rings:
+    """Polygons of a column of arrays of rings without nulls, end to end."""
+    rings = column.flatten()
+    points = rings.flatten()
+    xy = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")], 1)
+    return arrangement.Rings(xy, lengths(rings), np.repeat(np.arange(len(column)), lengths(column)))
+
+
+def _offsets(sizes) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))]).astype(np.int32))
+
+
+def nested(found: list[list[np.ndarray]]) -> pa.Array:
+    """Polygons as a column of arrays of rings."""
+    rings = [r for p in found for r in p]
+    xy = np.concatenate(rings) if rings else np.zeros((0, 2))
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], ["x", "y"])
+    return pa.ListArray.from_arrays(_offsets(map(len, found)), pa.ListArray.from_arrays(_offsets(map(len, rings)), points))
+
+
 def _mapped(rings: list[np.ndarray], transform: tuple[float, ...]) -> list[np.ndarray]:
     a, b, c, d, e, f = transform
     return [np.stack([a * r[:, 0] + b * r[:, 1] + c, d * r[:, 0] + e * r[:, 1] + f], 1) for r in rings]
@@ -131,18 +161,25 @@ def merged_unions(found: DataFrame, preds: DataFrame, gts: DataFrame) -> DataFra
 
 
 def united_layer(layer: DataFrame, *keys: str) -> DataFrame:
-    """keys, parts (arrays of rings, largest first), area of the union of each group's polygons (rings); one row of a group and its polygons at a time."""
-
-    def unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found = [arrangement.united([[np.array([[p["x"], p["y"]] for p in r]) for r in rings] for rings in shapes]) for shapes in rows["shapes"]]
-            points = [[[[{"x": float(x), "y": float(y)} for x, y in r] for r in polygon] for polygon in parts] for parts in found]
-            yield rows[[*keys]].assign(parts=points, area=[sum(map(polygons.area, parts)) for parts in found])
+    """keys, parts (arrays of rings, largest first), area of the union of each group's polygons (rings); one row of a group and its polygons, some rows at a time."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _TOGETHER):
+                rows = batch.slice(at, _TOGETHER)
+                shapes = rows["shapes"]
+                polygon, rings = lengths(shapes.flatten()), rings_of(shapes.flatten())
+                of, nth = arrangement.spread(lengths(shapes))
+                found = arrangement.united_many(arrangement.Rings(rings.xy, rings.sizes, np.repeat(of, polygon)), np.repeat(nth, polygon), len(rows))
+                parts = nested([p for polygons_ in found for p in polygons_])
+                parts = pa.ListArray.from_arrays(_offsets(map(len, found)), parts)
+                area = np.array([sum(map(polygons.area, p)) for p in found], float)
+                yield pa.RecordBatch.from_arrays([*(rows[k] for k in keys), parts, pa.array(area)], [*keys, "parts", "area"])
 
     shapes = layer.filter(F.col("rings").isNotNull()).groupBy(*keys).agg(F.collect_list("rings").alias("shapes"))
     kinds = dict(shapes.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    return shapes.mapInPandas(unite, f"{schema}, parts array<array<array<struct<x:double,y:double>>>>, area double")
+    return scenes.spread(shapes, *keys).mapInArrow(unite, f"{schema}, parts array<array<array<struct<x:double,y:double>>>>, area double")
 
 
 def by_scene(blocks: DataFrame):

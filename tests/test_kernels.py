@@ -1,6 +1,7 @@
 """Polygon, label and scoring kernels: hand-solved cases and properties."""
 
 import math
+import time
 import random
 
 import numpy as np
@@ -102,6 +103,20 @@ def test_arrangements_equal_sweeps():
         assert sum(map(P.area, A.united(shapes))) == pytest.approx(P.areas_where(shapes, [lambda i: i.any(0)])[0], abs=1e-6)
 
 
+def test_sets_are_arranged_together():
+    rng = np.random.default_rng(5)
+    sets = [[[rng.integers(0, 9, (4, 2)).astype(float)] for _ in range(rng.integers(1, 5))] for _ in range(2000)]
+    rings = A.Rings.of_polygons([[r for p in s for r in p] for s in sets])
+    layer = np.concatenate([np.arange(len(s)) for s in sets])
+    began = time.process_time()
+    found = A.united_many(rings, layer, len(sets))
+    assert time.process_time() - began < 10  # a set at a time takes over 30 s
+    for k in range(0, len(sets), 20):
+        alone = A.united(sets[k])
+        assert [[r.tolist() for r in p] for p in alone] == [[r.tolist() for r in p] for p in found[k]]
+        assert sum(map(P.area, alone)) == pytest.approx(P.areas_where(sets[k], [lambda i: i.any(0)])[0], abs=1e-6)
+
+
 def test_rings_are_simplified_together():
     wave = np.array([[x, 0.45 * (x % 2)] for x in range(21)] + [[20, 10], [0, 10]], float)
     near = np.array([[4.4, 0.3], [5.6, 0.3], [5.6, 3], [4.4, 3]])[[0, 3, 2, 1]]  # in a notch of the wall, which thinning would fill
