@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import measures as M
 from gridweave.operators import experiments, learning, matching, ordering, pixels, raster, scoring, tiles
+from gridweave.operators.kernels import batches as many_polygons
 from gridweave.operators.kernels import polygons
+from gridweave.operators.scenes import spread
 from gridweave.plans import reports, vectorise
 from gridweave.sources.blocks import KEY, cells, to_rows
 from gridweave.sources.tables import materialised, table
@@ -704,14 +706,17 @@ def rect_regularize(spark: SparkSession, d: str) -> DataFrame:
 
     def square(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for i, w, h, theta, bend in batch.itertuples(index=False):
-                rings = np.array([[0, 0], [w / 2, bend], [w, 0], [w, h], [0, h]]), np.array([[w - 2.5, 0.31], [w - 2.5, 6.31], [w - 0.5, 6.31], [w - 0.5, 0.31]])
-                got = polygons.cleaned([polygons.turned(r, theta, np.zeros(2)) for r in rings], edge_least=1.0)
-                out.append((i, got["n_vertices"], got["area_m2"], got["orthogonality"]) if got else (i, 0, 0.0, 0.0))
-            yield pd.DataFrame(out, columns=["id", "n_vertices", "area_m2", "orthogonality"])
-
-    return rows.mapInPandas(square, "id long, n_vertices int, area_m2 double, orthogonality double")
+            w, h, theta, bend = (batch[c].to_numpy(float) for c in ("w", "h", "theta", "bend"))
+            ring = lambda *corners: np.stack([np.stack(np.broadcast_arrays(x, y, w)[:2], 1) for x, y in corners], 1)  # noqa: B023, E731
+            shells = ring((0, 0), (w / 2, bend), (w, 0), (w, h), (0, h))
+            holes = ring((w - 2.5, 0.31), (w - 2.5, 6.31), (w - 0.5, 6.31), (w - 0.5, 0.31))
+            turned = lambda rings: polygons.turned(rings, theta[:, None], np.zeros(2))  # noqa: B023, E731
+            many = [list(p) for p in zip(turned(shells), turned(holes), strict=True)]
+            got = [g for at in range(0, len(many), vectorise.TOGETHER) for g in many_polygons.cleaned(many[at : at + vectorise.TOGETHER], edge_least=1.0)]
+            out = [(g["n_vertices"], g["area_m2"], g["orthogonality"]) if g else (0, 0.0, 0.0) for g in got]
+            yield pd.DataFrame(out, columns=["n_vertices", "area_m2", "orthogonality"]).assign(id=batch["id"].to_numpy())
+
+    return spread(rows, "id").mapInPandas(square, "id long, n_vertices int, area_m2 double, orthogonality double")
 
 
 @query(

@@ -18,7 +18,7 @@ from gridweave.sources.vectors import LAYER
 
 
 #: Polygons, or groups of them, that kernels take at a time.
-_TOGETHER = 2048
+TOGETHER = 2048
 
 
 def lengths(lists: pa.Array) -> np.ndarray:
@@ -165,8 +165,8 @@ def united_layer(layer: DataFrame, *keys: str) -> DataFrame:
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), _TOGETHER):
-                rows = batch.slice(at, _TOGETHER)
+            for at in range(0, len(batch), TOGETHER):
+                rows = batch.slice(at, TOGETHER)
                 shapes = rows["shapes"]
                 polygon, rings = lengths(shapes.flatten()), rings_of(shapes.flatten())
                 of, nth = arrangement.spread(lengths(shapes))

@@ -1,8 +1,8 @@
 """Polygon, label and scoring kernels: hand-solved cases and properties."""
 
 import math
-import time
 import random
+import time
 
 import numpy as np
 import pytest
