@@ -38,7 +38,7 @@ def test_pairs_by_brute_force(whole):
     assert list(boxes.alike(a[:0], b, 0.5)) == [] and len(boxes.best(a, b[:0], ids[:0], 0.5)[0]) == 0
 
 
-def test_best_boxes(spark):
+def test_greedy_in_bands(spark, monkeypatch):
     rng = np.random.default_rng(2)
     frames = []
     for n in (700, 600):
@@ -47,4 +47,9 @@ def test_best_boxes(spark):
     preds, gts = (spark.createDataFrame(f) for f in frames)
     pairs = matching.grid_join(preds, gts, 32.0, "scene").select("scene", matching.F.col("l_id").alias("pred"), matching.F.col("r_id").alias("gt"), matching.box_iou().alias("iou"))
     order = lambda df: sorted(map(tuple, df.select("scene", "pred", "gt", "iou").collect()))
+    want = [r for r in order(matching.mutual_best(pairs)) if r[3] >= 0.25]
+    rows = []
+    monkeypatch.setattr(matching, "mutual_best", lambda found, f=matching.mutual_best: (rows.append(found.count()), f(found, most=50))[1])  # in rounds
+    assert order(matching.matched_boxes(preds, gts, 48.0, (0.25, 0.5, 0.75))) == want
+    assert sum(rows) < pairs.count() / 2
     assert order(matching.best_boxes(preds, gts, 48.0, 0.1, "scene")) == order(matching.best_match(pairs, 0.1))
