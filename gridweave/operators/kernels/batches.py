@@ -58,6 +58,12 @@ def areas(rings: Rings, n: int) -> np.ndarray:
     return np.bincount(rings.polygon, np.where(_shells(rings), size, -size), n)
 
 
+def lengths(rings: Rings, n: int) -> np.ndarray:
+    """Of all rings, holes too."""
+    d = rings.xy[rings.nxt] - rings.xy
+    return np.bincount(rings.polygon[rings.of], np.hypot(d[:, 0], d[:, 1]), n)
+
+
 def misplaced(rings: Rings, n: int) -> np.ndarray:
     """Of each ring: see polygons.misplaced()."""
     short = rings.sizes < 3
@@ -295,10 +301,93 @@ def cleaned(many: list[Polygon], area_least: float = 20.0, tolerance: float = 0.
     found = {k: parts[0] for k, parts in zip(again, repaired_many(list(again.values())), strict=True) if len(parts) == 1}
     rings = large(replaced(rings, broken, found))
     shells = rings.only(_shells(rings))
-    d = rings.xy[rings.nxt] - rings.xy
-    length = np.bincount(rings.polygon[rings.of], np.hypot(d[:, 0], d[:, 1]), n)
+    length = lengths(rings, n)
     area = areas(rings, n).tolist()
     result: list[dict | None] = [None] * n
     for (k, polygon), vertices, square in zip(picked(rings, np.ones(n, bool)).items(), shells.sizes.tolist(), orthogonality(shells).tolist(), strict=True):
         result[k] = {"rings": polygon, "area_m2": round(area[k], 2), "perimeter_m": round(float(length[k]), 2), "n_vertices": vertices, "raw_vertices": len(many[k][0]), "orthogonality": round(square, 4)}
     return result
+
+
+def valid(many: list[Polygon]) -> list[Polygon | None]:
+    """Each polygon as it is, or repaired if it isn't valid; None if that leaves no part or several."""
+    rings = Rings.of_polygons(many)
+    broken = np.flatnonzero(_rings_with(misplaced(rings, len(many)), rings, len(many))).tolist()
+    out: list[Polygon | None] = list(many)
+    for k, parts in zip(broken, repaired_many([many[k] for k in broken]), strict=True):
+        out[k] = parts[0] if len(parts) == 1 else None
+    return out
+
+
+def arranged(rings: Rings) -> Rings:
+    """labels.arranged() of each polygon: rings from their first corners by row, the outer one first, then by area."""
+    first = np.lexsort((rings.xy[:, 0], rings.xy[:, 1], rings.of))[rings.starts]
+    at = rings.starts[rings.of]
+    n = rings.sizes[rings.of]
+    xy = rings.xy[at + (first[rings.of] + np.arange(len(n)) - 2 * at) % n]
+    q = xy[rings.nxt]
+    size = np.abs(rings.sums(xy[:, 0] * q[:, 1] - xy[:, 1] * q[:, 0]))
+    corner = xy[rings.starts]
+    order = np.lexsort((corner[:, 0], corner[:, 1], -size, rings.polygon))
+    which, nth = spread(rings.sizes[order])
+    return Rings(xy[rings.starts[order][which] + nth], rings.sizes[order], rings.polygon[order])
+
+
+def overlays(rings: Rings, layer: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n sets (rings.polygon) of rings the areas inside layer 0, inside layer 1, and inside both, by parity; a row a set.
+
+    The plane is cut into slabs at the heights of all corners and crossings of a set. In a slab edges are ordered and don't cross.
+    """
+    a, b = rings.xy, rings.xy[rings.nxt]
+    keep = a[:, 1] != b[:, 1]
+    a, b, of, who = a[keep], b[keep], rings.polygon[rings.of][keep], layer[rings.of][keep]
+    down = (a[:, 1] > b[:, 1])[:, None]
+    a, b = np.where(down, b, a), np.where(down, a, b)
+    many = np.bincount(of, minlength=n)
+    ends = np.cumsum(many)
+    out = np.zeros((n, 3))
+    for first, stop in spans(many * many):
+        edges = slice(int(ends[first] - many[first]), int(ends[stop - 1]))
+        _overlaid(a[edges], b[edges], of[edges] - first, who[edges], out[first:stop])
+    return out
+
+
+def _overlaid(a: np.ndarray, b: np.ndarray, of: np.ndarray, who: np.ndarray, out: np.ndarray) -> None:
+    many = np.bincount(of, minlength=len(out))
+    ends = np.cumsum(many)
+    i, nth = spread(ends[of] - 1 - np.arange(len(of)))
+    j = i + 1 + nth
+    low, high = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
+    near = (a[i, 1] < b[j, 1]) & (a[j, 1] < b[i, 1]) & (low[j] <= high[i]) & (low[i] <= high[j])
+    i, j = i[near], j[near]
+    d, e, w = b[i] - a[i], b[j] - a[j], a[j] - a[i]
+    cross = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / cross, (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / cross
+    real = (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+    ys, sets = np.concatenate([a[:, 1], b[:, 1], (a[i, 1] + t * d[:, 1])[real]]), np.concatenate([of, of, of[i][real]])
+    order = np.lexsort((ys, sets))
+    ys, sets = ys[order], sets[order]
+    slab = np.flatnonzero((sets[1:] == sets[:-1]) & (ys[1:] != ys[:-1]))
+    bottom, top, sets = ys[slab], ys[slab + 1], sets[slab]
+    for first, stop in spans(many[sets]):
+        which, nth = spread(many[sets[first:stop]])
+        which += first
+        e = (ends - many)[sets[which]] + nth
+        middle = ((bottom + top) / 2)[which]
+        on = (a[e, 1] < middle) & (b[e, 1] > middle)
+        which, e, middle = which[on], e[on], middle[on]
+        x = a[e, 0] + (middle - a[e, 1]) / (b[e, 1] - a[e, 1]) * (b[e, 0] - a[e, 0])
+        order = np.lexsort((x, which))
+        which, x, layer = which[order], x[order], who[e[order]]
+        begins = np.flatnonzero(np.diff(which, prepend=-1))
+        sizes = np.diff(np.append(begins, len(which)))
+
+        def inside_of(k: int) -> np.ndarray:
+            seen = np.cumsum(layer == k)
+            return (seen - np.repeat((seen - (layer == k))[begins], sizes))[:-1] % 2 == 1  # anew in each slab: in the thinnest, rounding can miss an edge
+
+        one, two = inside_of(0), inside_of(1)
+        size = np.where(which[1:] == which[:-1], np.diff(x) * (top - bottom)[which[1:]], 0)
+        for k, on in enumerate((one, two, one & two)):
+            out[:, k] += np.bincount(sets[which[1:][on]], size[on], len(out))

@@ -246,14 +246,23 @@ def outlines(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=schema.names), schema, preserve_index=False)
 
+    none = pd.DataFrame(columns=["scene", "label", "id", "next", "xs", "ys"])
+
     def walk(parts: pd.DataFrame) -> pd.DataFrame:
         i, j = int(parts["i"].iloc[0]), int(parts["j"].iloc[0])
+        row0, col0, h, w = (parts[c].to_numpy() for c in ("row0", "col0", "h", "w"))
+        if not ((row0 < (i + 1) * size) & (row0 + h > i * size) & (col0 < (j + 1) * size) & (col0 + w > j * size)).any():
+            return none  # all rim, as at the ends of scenes
         plane = np.zeros((size + 2, size + 2), np.int64)
         for r in parts.itertuples(index=False):
             at = (slice(r.row0 - i * size + 1, r.row0 - i * size + 1 + r.h), slice(r.col0 - j * size + 1, r.col0 - j * size + 1 + r.w))
             found = np.asarray(r.values, np.int64)[unpacked(r.codes, r.h, r.w)]
             plane[at] = np.where(found, found, plane[at])
-        walks = labels.arcs(plane, i * size, j * size)
+        # no walk leaves the box of the square's own labels but into its rim
+        rows, cols = (np.flatnonzero(plane[1:-1, 1:-1].any(axis)) for axis in (1, 0))
+        if not len(rows):
+            return none
+        walks = labels.arcs(plane[rows[0] : rows[-1] + 3, cols[0] : cols[-1] + 3], i * size + int(rows[0]), j * size + int(cols[0]))
         return pd.DataFrame([(parts["scene"].iloc[0], *x[:2], x[2], x[3].astype(np.int32), x[4].astype(np.int32)) for x in walks], columns=["scene", "label", "id", "next", "xs", "ys"]).astype({"next": "Int64"})
 
     schema = pa.schema([("scene", pa.string()), *((n, pa.int32()) for n in ("i", "j", "row0", "col0", "h", "w")), ("codes", pa.binary()), ("values", pa.list_(pa.int64()))])

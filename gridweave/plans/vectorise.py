@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.operators import matching, scenes
-from gridweave.operators.kernels import arrangement, labels, polygons
+from gridweave.operators.kernels import arrangement, polygons
+from gridweave.operators.kernels import batches as batches_
 from gridweave.sources.tables import materialised
 from gridweave.sources.vectors import LAYER
 
@@ -46,31 +47,34 @@ def nested(found: list[list[np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(_offsets(map(len, found)), pa.ListArray.from_arrays(_offsets(map(len, rings)), points))
 
 
-def _mapped(rings: list[np.ndarray], transform: tuple[float, ...]) -> list[np.ndarray]:
+def _layer(pieces: DataFrame, transform: tuple[float, ...], variant: str, many: Callable[[list[list[np.ndarray]]], list[dict | None]]) -> DataFrame:
+    """LAYER of pieces of labels: many makes polygons' attributes, or None, of their rings on the ground, some polygons at a time. seq counts a scene's polygons by their first cells."""
+    fields = [T.StructField("scene", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *LAYER.fields[2:]]
+    attributes = {"area_m2": pa.float64(), "perimeter_m": pa.float64(), "n_vertices": pa.int32(), "raw_vertices": pa.int32(), "orthogonality": pa.float64()}
     a, b, c, d, e, f = transform
-    return [np.stack([a * r[:, 0] + b * r[:, 1] + c, d * r[:, 0] + e * r[:, 1] + f], 1) for r in rings]
-
 
-def _layer(pieces: DataFrame, transform: tuple[float, ...], variant: str, one: Callable[[list[np.ndarray]], dict | None]) -> DataFrame:
-    """LAYER of pieces of labels: one makes a polygon's attributes of its rings on the ground, or None. seq counts a scene's polygons by their first cells."""
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for scene, walks in zip(rows["scene"], rows["rings"], strict=True):
-                rings = labels.arranged([np.stack([w["xs"], w["ys"]], 1).astype(float) for w in walks])
-                first = rings[0][0]
-                p = one(_mapped(rings, transform))
-                if p:
-                    points = [[{"x": float(x), "y": float(y)} for x, y in r] for r in p["rings"]]
-                    out.append((scene, int(first[1]), int(first[0]), variant, points, p["area_m2"], p["perimeter_m"], p["n_vertices"], p.get("raw_vertices"), p.get("orthogonality")))
-            yield pd.DataFrame(out, columns=names)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), TOGETHER):
+                rows = batch.slice(at, TOGETHER)
+                walks = rows["rings"].flatten()
+                xy = np.stack([walks.field(k).flatten().to_numpy(zero_copy_only=False) for k in ("xs", "ys")], 1).astype(float)
+                rings = batches_.arranged(arrangement.Rings(xy, lengths(walks.field("xs")), np.repeat(np.arange(len(rows)), lengths(rows["rings"]))))
+                x, y = rings.xy[rings.starts[np.diff(rings.polygon, prepend=-1) != 0]].astype(np.int32).T
+                polygons_: list[list[np.ndarray]] = [[] for _ in range(len(rows))]
+                for k, ring in zip(rings.polygon.tolist(), rings.moved(np.stack([a * rings.xy[:, 0] + b * rings.xy[:, 1] + c, d * rings.xy[:, 0] + e * rings.xy[:, 1] + f], 1)).each(), strict=True):
+                    polygons_[k].append(ring)
+                found = many(polygons_)
+                kept = [k for k, p in enumerate(found) if p]
+                found = [found[k] for k in kept]
+                columns = [rows["scene"].take(pa.array(kept, pa.int64())), pa.array(y[kept]), pa.array(x[kept]), pa.array([variant] * len(kept), pa.string()), nested([p["rings"] for p in found])]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([p.get(k) for p in found], kind) for k, kind in attributes.items())], names)
 
-    fields = [T.StructField("scene", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *LAYER.fields[2:]]
     names = [f.name for f in fields]
+    assert names == ["scene", "y", "x", "variant", "rings", *attributes]
     found = scenes.outlines(pieces)
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not coalesced by size
-    found = found.select("scene", "rings").repartition(parts).mapInPandas(build, T.StructType(fields))
+    found = found.select("scene", "rings").repartition(parts).mapInArrow(build, T.StructType(fields))
     nth = F.row_number().over(Window.partitionBy("scene").orderBy("y", "x"))
     return found.withColumn("seq", (nth - 1).cast("int")).select(*LAYER.fieldNames())
 
@@ -81,22 +85,22 @@ def prediction_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0
     A task holds a square of a scene, the cells of one part of the mask that several seeds share, or some polygons; a
     scene without instances gives no rows.
     """
-    clean = lambda rings: polygons.cleaned(rings, regularise=regularise, **options)
+    clean = lambda many: batches_.cleaned(many, regularise=regularise, **options)
     return _layer(scenes.instance_pieces(blocks, **thresholds or {}), transform, "regularized" if regularise else "simplified", clean)
 
 
 def label_layer(blocks: DataFrame, transform=(0.3, 0.0, 0.0, 0.0, -0.3, 0.0), area_least: float = 20.0) -> DataFrame:
     """LAYER of label blocks (v): 8-connected components as traced, without simplification."""
 
-    def whole(rings: list[np.ndarray]) -> dict | None:
-        if not polygons.is_valid(rings):
-            parts = polygons.repaired(rings)
-            if len(parts) != 1:
-                return None
-            rings = parts[0]
-        if polygons.area(rings) < area_least:
-            return None
-        return {"rings": rings, "area_m2": round(polygons.area(rings), 2), "perimeter_m": round(polygons.length(rings), 2), "n_vertices": len(rings[0])}
+    def whole(many: list[list[np.ndarray]]) -> list[dict | None]:
+        found = batches_.valid(many)
+        there = [k for k, p in enumerate(found) if p is not None]
+        rings = arrangement.Rings.of_polygons([found[k] for k in there])
+        out: list[dict | None] = [None] * len(many)
+        for k, area, length in zip(there, batches_.areas(rings, len(there)).tolist(), batches_.lengths(rings, len(there)).tolist(), strict=True):
+            if area >= area_least:
+                out[k] = {"rings": found[k], "area_m2": round(area, 2), "perimeter_m": round(length, 2), "n_vertices": len(found[k][0])}
+        return out
 
     return _layer(scenes.component_pieces(blocks), transform, "ground_truth", whole)
 
@@ -127,18 +131,21 @@ def candidates(preds: DataFrame, gts: DataFrame, cell: float = 64.0) -> DataFram
     """scene, pred, gt, iou, overlap, pred_area, gt_area of all pairs that share area: a join of boxes by cells, then exact overlay."""
     pairs = matching.adaptive_join(materialised(boxed(preds)), materialised(boxed(gts)), cell, "scene")  # read several times
 
-    def overlaid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        as_polygon = lambda rings: [np.array([[p["x"], p["y"]] for p in r]) for r in rings]
-        for rows in batches:
-            out = []
-            for scene, a, b, p, g in zip(rows["scene"], rows["l_id"], rows["r_id"], rows["l_rings"], rows["r_rings"], strict=True):
-                one, two, both, _ = polygons.overlay([as_polygon(p)], [as_polygon(g)])
-                if both > 0:
-                    out.append((scene, a, b, both / (one + two - both + 1e-9), both, one, two))
-            yield pd.DataFrame(out, columns=["scene", "pred", "gt", "iou", "overlap", "pred_area", "gt_area"])
+    def overlaid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), TOGETHER):
+                rows = batch.slice(at, TOGETHER)
+                n = len(rows)
+                sides = [rings_of(rows[c]) for c in ("l_rings", "r_rings")]
+                order = np.argsort(np.concatenate([s.polygon for s in sides]), kind="stable")
+                layer = np.repeat([0, 1], [len(s.sizes) for s in sides])[order]
+                areas = batches_.overlays(batches_.joined(sides), layer, n)
+                share = areas[:, 2] / (areas[:, 0] + areas[:, 1] - areas[:, 2] + 1e-9)
+                out = pa.RecordBatch.from_arrays([rows["scene"], rows["l_id"], rows["r_id"], *map(pa.array, (share, areas[:, 2].copy(), areas[:, 0].copy(), areas[:, 1].copy()))], ["scene", "pred", "gt", "iou", "overlap", "pred_area", "gt_area"])
+                yield out.filter(pa.array(areas[:, 2] > 0))
 
     parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not coalesced by size
-    return pairs.select("scene", "l_id", "r_id", "l_rings", "r_rings").repartition(parts, "scene", "l_id").mapInPandas(overlaid, "scene string, pred int, gt int, iou double, overlap double, pred_area double, gt_area double")
+    return pairs.select("scene", "l_id", "r_id", "l_rings", "r_rings").repartition(parts, "scene", "l_id").mapInArrow(overlaid, "scene string, pred int, gt int, iou double, overlap double, pred_area double, gt_area double")
 
 
 def merged_unions(found: DataFrame, preds: DataFrame, gts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 
+from gridweave.operators.kernels import arrangement as A
 from gridweave.operators.kernels import batches as B
 from gridweave.operators.kernels import labels as L
 from gridweave.operators.kernels import polygons as P
@@ -52,3 +53,26 @@ def test_cleaning_together_is_fast():
     began = time.process_time()
     B.cleaned(many, edge_least=1.0)
     assert time.process_time() - began < 5  # one by one takes over 20 s
+
+
+def test_overlays_together():
+    rng = np.random.default_rng(4)
+    pairs = [[[rng.integers(0, 9, (rng.integers(3, 7), 2)).astype(float) if t % 2 else rng.random((rng.integers(3, 7), 2)) * 9 for _ in range(rng.integers(1, 3))] for _ in range(2)] for t in range(300)]
+    rings = A.Rings.of_polygons([[*p, *g] for p, g in pairs])
+    layer = np.concatenate([np.repeat([0, 1], [len(p), len(g)]) for p, g in pairs])
+    for (p, g), got in zip(pairs, B.overlays(rings, layer, len(pairs)), strict=True):
+        assert np.allclose(got, P.overlay([p], [g])[:3], atol=1e-9)
+    # walls that are level but for rounding
+    near = [[24.0, -1.7763568394002505e-15], [32.4, -2.6645352591003757e-15], [32.4, -4.199999999999998], [24.0, -4.1999999999999975]]
+    level = [[24.0, 0.0], [32.4, 0.0], [32.4, -4.2], [24.0, -4.2]]
+    rings = A.Rings.of_polygons([[np.array(near), np.array(level)]] * 2)
+    assert np.allclose(B.overlays(rings, np.array([0, 1, 0, 1]), 2), 35.28)
+
+
+def test_arranged_together():
+    rng = np.random.default_rng(5)
+    many = [[r for _, rings in L.traced((rng.random((12, 12)) < 0.6).astype(int)) for r in rings] for _ in range(30)]
+    many = [[np.roll(r, rng.integers(len(r)), 0) for r in rng.permutation(np.array(rings, object))] for rings in many]
+    got = B.picked(B.arranged(A.Rings.of_polygons(many)), np.ones(len(many), bool))
+    for k, rings in enumerate(many):
+        assert [r.tolist() for r in L.arranged([np.asarray(r, float) for r in rings])] == [r.tolist() for r in got[k]]
